@@ -134,7 +134,7 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, **sizes
             F.max(F.when(holds(high), F.col(value))).alias("_high"),
             F.max(at - low).alias("_part"),
         )
-        .select(*keys, F.round(F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part"), 6).alias("quantile"))
+        .select(*keys, F.round(F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part"), 9).alias("quantile"))
     )
 
 

@@ -22,12 +22,17 @@ def piece(df: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataF
 
 
 def first_of_each(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows of every key.
+    """The first page of ``n`` rows for every key."""
+    check_limit(n)
+    return top_of_each(df, keys, order, n)
+
+
+def top_of_each(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of every key, with their rank.
 
     Spark keeps n rows per key and task before the shuffle (WindowGroupLimit), so a key with
     most of the rows sends only n per task.
     """
-    check_limit(n)
     window = Window.partitionBy(*keys).orderBy(*order_columns(order))
     return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
 

@@ -57,37 +57,40 @@ def split_failures(df: DataFrame, key: str, required: list[str]) -> tuple[DataFr
 class KeyedTable:
     """A table with one current row per key, kept as appended batches of changes.
 
-    A batch goes to its own ``batch_id`` folder and overwrites it when replayed, so a batch
-    written twice counts once. Reading takes the newest row per key with one partial
-    aggregation. ``compact`` writes the current rows as a new table; the old one stays
-    whole for readers until the caller switches over.
+    A batch goes to its own folder and overwrites it when replayed, so a batch written twice
+    counts once; ``writer`` keeps the batches of several queries apart. Reading takes the
+    newest row per key with one partial aggregation: newest by ``version`` when the table
+    names such a column, then by batch. ``compact`` writes the current rows as a new table;
+    the old one stays whole for readers until the caller switches over.
     """
 
     spark: SparkSession
     path: str
     keys: list[str]
+    version: str | None = None
 
-    def _write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
-
-    def upsert(self, df: DataFrame, batch_id: int) -> None:
+    def upsert(self, df: DataFrame, batch_id: int, writer: str = "main") -> None:
         """Write one batch; it holds at most one row per key."""
-        self._write(df.withColumn("_deleted", F.lit(False)), batch_id)
+        self.change(df, F.lit(False), batch_id, writer)
 
-    def change(self, df: DataFrame, deleted: Column, batch_id: int) -> None:
+    def change(self, df: DataFrame, deleted: Column, batch_id: int, writer: str = "main") -> None:
         """Write one batch in which rows matching ``deleted`` remove their key."""
-        self._write(df.withColumn("_deleted", F.coalesce(deleted, F.lit(False))), batch_id)
+        marked = df.withColumn("_deleted", F.coalesce(deleted, F.lit(False)))
+        marked.write.mode("overwrite").parquet(f"{self.path}/writer={writer}/batch_id={batch_id}")
 
     def read(self) -> DataFrame:
-        stored = self.spark.read.option("basePath", self.path).parquet(self.path)
-        columns = [c for c in stored.columns if c not in (*self.keys, "_deleted", "batch_id")]
+        stored = self.spark.read.option("basePath", self.path).parquet(f"{self.path}/writer=*")
+        columns = [c for c in stored.columns if c not in (*self.keys, "_deleted", "writer", "batch_id")]
+        age = [F.col("batch_id").cast("long")]
+        if self.version:
+            age.insert(0, F.col(self.version))
         newest = stored.groupBy(*self.keys).agg(
-            F.max_by(F.struct("_deleted", *columns), F.col("batch_id").cast("long")).alias("_row")
+            F.max_by(F.struct("_deleted", *columns), F.struct(*age)).alias("_row")
         )
         return newest.where(~F.col("_row._deleted")).select(*self.keys, *[F.col(f"_row.{c}") for c in columns])
 
     def compact(self, path: str) -> KeyedTable:
-        compacted = KeyedTable(self.spark, path, self.keys)
+        compacted = KeyedTable(self.spark, path, self.keys, self.version)
         compacted.upsert(self.read(), 0)
         return compacted
 

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from listenlake.plans.registry import ORACLES, QUERIES
 
-AREAS = ["dashboard", "catalogue", "playlists", "sessions", "ingest", "http"]
+AREAS = ["dashboard", "catalogue", "playlists", "sessions", "ingest", "http", "search", "live"]
 
 
 def _load() -> None:

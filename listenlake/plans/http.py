@@ -99,7 +99,7 @@ def http_p95_bucket(d):
     "http_p95_exact",
     R + """
     SELECT time_bucket(INTERVAL 5 minute, ts) AS window_start, endpoint,
-           round(quantile_cont(duration_s, 0.95), 6) AS quantile FROM requests GROUP BY 1, 2""",
+           round(quantile_cont(duration_s, 0.95), 9) AS quantile FROM requests GROUP BY 1, 2""",
 )
 def http_p95_exact(d):
     return http.exact_p(d.requests())
@@ -107,7 +107,7 @@ def http_p95_exact(d):
 
 @query(
     "latency_p95_by_endpoint",
-    R + "SELECT endpoint, round(quantile_cont(duration_s, 0.95), 6) AS quantile FROM requests GROUP BY 1",
+    R + "SELECT endpoint, round(quantile_cont(duration_s, 0.95), 9) AS quantile FROM requests GROUP BY 1",
 )
 def latency_p95_by_endpoint(d):
     return http.exact_quantile(d.requests().select("endpoint", "duration_s"), ["endpoint"], "duration_s", 0.95)

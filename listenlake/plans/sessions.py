@@ -82,7 +82,7 @@ def session_state(d):
 
 VISITS = f"""
     WITH gaps AS (SELECT user_id, event_id, ts,
-            CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= {IDLE} * 1000000 THEN 1 ELSE 0 END AS opens
+            CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= CAST({IDLE} AS BIGINT) * 1000000 THEN 1 ELSE 0 END AS opens
           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     , numbered AS (SELECT user_id, event_id, ts, CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id
             ROWS UNBOUNDED PRECEDING) AS BIGINT) AS visit FROM gaps)"""
@@ -150,7 +150,7 @@ def seek_distance(d):
 
 @query(
     "status_map",
-    f"""SELECT event_id, CASE inner_status WHEN 'PAUSED' THEN 'PAUSED' WHEN 'STOPPED' THEN 'STOPPED' ELSE 'ACTIVE' END AS status
+    """SELECT event_id, CASE inner_status WHEN 'PAUSED' THEN 'PAUSED' WHEN 'STOPPED' THEN 'STOPPED' ELSE 'ACTIVE' END AS status
     FROM (SELECT event_id, ['STARTED', 'PAUSED', 'STOPPED', 'SHOULD_RESTART', 'ARTIFICIAL_CHUNK'][
               CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 + 1] AS inner_status FROM events)""",
 )
@@ -165,9 +165,9 @@ def status_map(d):
 @query(
     "chunk_math",
     """SELECT doc_id AS track_id, (n_chars + 511) // 512 AS chunks,
-           round(n_chars * 8 / (rate * 1000.0), 6) AS seconds,
+           round(n_chars * 8 / (rate * 1000.0), 9) AS seconds,
            CAST(round(n_chars * 8 / (rate * 1000.0) * 1000) AS BIGINT) AS duration_ms,
-           round((n_chars // 2) / (rate * 1000 / 8.0), 6) AS half_seconds,
+           round((n_chars // 2) / (rate * 1000 / 8.0), 9) AS half_seconds,
            greatest(0, least(CAST(floor((n_chars // 2) / (rate * 1000 / 8.0) * 40000.0) AS BIGINT), n_chars * 2 - 1)) AS switched,
            (n_chars // 2) // 512 AS half_chunk
        FROM (SELECT doc_id, n_chars, CASE doc_id % 3 WHEN 0 THEN 128 WHEN 1 THEN 192 ELSE 320 END AS rate FROM documents)""",
@@ -178,9 +178,9 @@ def chunk_math(d):
     return d.objects().select(
         scalars.object_track(F.col("path")).alias("track_id"),
         scalars.total_chunks(size, 512).alias("chunks"),
-        F.round(scalars.estimated_seconds(size, rate), 6).alias("seconds"),
+        F.round(scalars.estimated_seconds(size, rate), 9).alias("seconds"),
         scalars.duration_ms(scalars.estimated_seconds(size, rate)).alias("duration_ms"),
-        F.round(scalars.offset_seconds(half, rate), 6).alias("half_seconds"),
+        F.round(scalars.offset_seconds(half, rate), 9).alias("half_seconds"),
         scalars.carried_offset(half, rate, F.lit(320), size * 2).alias("switched"),
         scalars.chunk_number(half, 512).alias("half_chunk"),
     )

@@ -229,6 +229,30 @@ class Domain:
             "user_id", F.col("l_partkey").alias("track_id"), "l_quantity", F.col("l_shipdate").alias("ts")
         )
 
+    def search_requests(self) -> DataFrame:
+        """One search per customer: a misspelt track title, filters by market segment."""
+        titles = self.table("part").select("p_partkey", "p_name")
+        asked = self.table("customer").join(titles, F.col("c_custkey") == F.col("p_partkey"))
+        first, second, rest = (F.substring("p_name", 1, 1), F.substring("p_name", 2, 1), F.expr("substr(p_name, 3)"))
+        segment = F.col("c_mktsegment")
+        return asked.select(
+            F.col("c_custkey").alias("request_id"),
+            F.when(segment == "MACHINERY", None)
+            .when(segment == "BUILDING", F.concat(first, rest))
+            .when(segment == "FURNITURE", F.concat(second, first, rest))
+            .otherwise(F.col("p_name"))
+            .alias("title"),
+            F.when(segment == "FURNITURE", F.lit("suplier")).alias("artist_name"),
+            F.when(segment == "AUTOMOBILE", F.array(F.lit("PROMO"), F.lit("Brand#7"))).alias("genres"),
+            F.when(segment == "MACHINERY", (F.col("c_nationkey") * 10000)).alias("min_duration_ms"),
+            F.when(segment.isin("MACHINERY", "BUILDING"), 300000).alias("max_duration_ms"),
+            F.when(segment == "HOUSEHOLD", True).alias("explicit"),
+            F.when(segment == "FURNITURE", F.lit("1995-01-05").cast("date")).alias("released_from"),
+            F.lit(None).cast("date").alias("released_to"),
+            F.when(segment == "HOUSEHOLD", 2).otherwise(1).alias("page"),
+            F.lit(20).alias("page_size"),
+        )
+
     # -- change data capture -----------------------------------------------------------
 
     def cdc_lines(self, events: DataFrame | None = None) -> DataFrame:
@@ -277,6 +301,38 @@ class Domain:
         )
 
 
+    def playlist_cdc_lines(self) -> DataFrame:
+        """Insert envelopes of the playlist-event table, one per line item."""
+        return _insert_lines(
+            self.table("lineitem").select(
+                (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"),
+                F.lit("TrackAddedToPlaylist").alias("event_type"),
+                F.col("l_orderkey").cast("int").alias("playlist_id"),
+                F.col("l_partkey").cast("int").alias("track_id"),
+                F.col("l_suppkey").cast("int").alias("user_id"),
+                F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("timestamp"),
+            ),
+            "playlist_events",
+        )
+
+    def user_cdc_lines(self) -> DataFrame:
+        """Insert envelopes of the user-event table, one per order."""
+        return _insert_lines(
+            self.table("orders").select(
+                F.col("o_orderkey").alias("event_id"),
+                F.lit("UserRegistered").alias("event_type"),
+                F.col("o_custkey").cast("string").alias("user_id"),
+                F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("timestamp"),
+            ),
+            "users_events",
+        )
+
+
+def _insert_lines(rows: DataFrame, table: str) -> DataFrame:
+    payload = F.struct(F.struct(*rows.columns).alias("after"), F.lit("c").alias("op"))
+    return rows.select(F.to_json(F.struct(F.lit(table).alias("schema"), payload.alias("payload"))).alias("value"))
+
+
 CDC_ROW_FIELDS = [
     "event_id", "event_type", "session_id", "user_id", "track_id", "bitrate", "new_bitrate",
     "acked_chunk_count", "total_chunks_sent", "new_chunk_offset", "old_chunk_offset", "timestamp",
@@ -369,6 +425,20 @@ _CTE_SQL = {
     "likes": """
         SELECT o_custkey AS user_id, l_partkey AS track_id, l_shipdate AS liked_at
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'""",
+    "search_requests": """
+        SELECT c_custkey AS request_id,
+               CASE c_mktsegment WHEN 'MACHINERY' THEN NULL
+                    WHEN 'BUILDING' THEN substr(p_name, 1, 1) || substr(p_name, 3)
+                    WHEN 'FURNITURE' THEN substr(p_name, 2, 1) || substr(p_name, 1, 1) || substr(p_name, 3)
+                    ELSE p_name END AS title,
+               CASE WHEN c_mktsegment = 'FURNITURE' THEN 'suplier' END AS artist_name,
+               CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN ['PROMO', 'Brand#7'] END AS genres,
+               CASE WHEN c_mktsegment = 'MACHINERY' THEN c_nationkey * 10000 END AS min_duration_ms,
+               CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 300000 END AS max_duration_ms,
+               CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN TRUE END AS explicit,
+               CASE WHEN c_mktsegment = 'FURNITURE' THEN DATE '1995-01-05' END AS released_from,
+               CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 2 ELSE 1 END AS page, 20 AS page_size
+        FROM customer JOIN part ON p_partkey = c_custkey""",
     "listens": """
         SELECT o_custkey AS user_id, l_partkey AS track_id, CAST(l_quantity AS BIGINT) AS total_chunks_sent,
                CAST(50 AS BIGINT) AS total_chunks, l_shipdate AS "timestamp"

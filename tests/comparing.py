@@ -37,7 +37,7 @@ def _kind(value) -> str:
 
 def _plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 6) + 0.0
+        return "nan" if math.isnan(value) else round(value, 9) + 0.0
     if isinstance(value, dt.datetime):
         return value.replace(tzinfo=None)
     if isinstance(value, (list, tuple)):
