@@ -51,7 +51,7 @@ def from_micros(micros: Column) -> Column:
 
 def from_proto_time(seconds: Column, nanos: Column) -> Column:
     """Seconds and nanos since the epoch, in UTC, to microsecond precision."""
-    return F.timestamp_micros(seconds * 1_000_000 + F.floor(nanos / 1000))
+    return F.timestamp_micros(seconds.cast("long") * 1_000_000 + F.floor(nanos / 1000))
 
 
 def iso_day(day: Column) -> Column:
@@ -92,7 +92,7 @@ def bytes_per_second(bitrate: Column) -> Column:
 
 
 def estimated_seconds(size: Column, bitrate: Column) -> Column:
-    return size * 8 / (bitrate * 1000)
+    return size.cast("long") * 8 / (bitrate * 1000)
 
 
 def offset_seconds(offset: Column, bitrate: Column) -> Column:

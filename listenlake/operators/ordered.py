@@ -10,6 +10,7 @@ is carried by a scan over one summary row per (partition, group).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -22,6 +23,8 @@ from listenlake.session import freeze, planned_bytes
 HOT_ROWS = 5_000_000
 #: Inputs planned below this size cannot hold a group worth splitting.
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
+#: More pieces than this cost more in shuffle blocks than they save.
+MOST_PIECES = 20_000
 
 _CHUNK = "_chunk"
 
@@ -106,21 +109,21 @@ class OrderedRows:
     ) -> OrderedRows:
         if planned_bytes(df) <= small_input_bytes:
             return cls(keys, order, df)
-        hot = freeze(
-            df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows),
-            "hot-groups",
-        )
-        if hot.isEmpty():
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+        hot = freeze(counts, "hot-groups")
+        rows = hot.agg(F.sum("_n")).first()[0]
+        if rows is None:
             return cls(keys, order, df)
+        pieces = min(MOST_PIECES, 2 * math.ceil(rows / hot_rows))
         hot = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
         same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-        pieces = (
+        split = (
             df.join(hot, same, "left_semi")
-            .repartitionByRange(*[F.col(k) for k in keys], *order_columns(order))
+            .repartitionByRange(pieces, *[F.col(k) for k in keys], *order_columns(order))
             .withColumn(_CHUNK, F.spark_partition_id())
         )
         # The range bounds are sampled, so the pieces are fixed before they are read twice.
-        return cls(keys, order, df.join(hot, same, "left_anti"), freeze(pieces, "ordered-pieces"))
+        return cls(keys, order, df.join(hot, same, "left_anti"), freeze(split, "ordered-pieces"))
 
     def map(self, change: Callable[[DataFrame], DataFrame]) -> OrderedRows:
         """Apply a row-wise change that keeps keys and order columns."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,21 +44,27 @@ def live_states(events: DataFrame, lateness: str, idle_seconds: int = IDLE_SECON
                     }
                 )
             return
-        rows = pd.concat(list(batches)).sort_values(["timestamp", "event_id"])
+        rows = list(batches)
+        rows = rows[0] if len(rows) == 1 else pd.concat(rows)
+        times, ids, types = (rows[c].to_numpy() for c in ("timestamp", "event_id", "event_type"))
+        order = np.lexsort((ids, times))
         before, after, legal = [], [], []
-        for event_type in rows["event_type"]:
+        for event_type in types[order]:
             before.append(status)
             status, allowed = _step(status, event_type)
             after.append(status)
             legal.append(allowed)
-        newest = rows["timestamp"].iloc[-1]
+        newest = pd.Timestamp(times[order[-1]])
         last = newest if last is None else max(pd.Timestamp(last), newest)
         state.update((status, last.to_pydatetime()))
         deadline = int(last.timestamp() * 1000) + idle_seconds * 1000
         state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(state_before=before, state_after=after, legal=legal)[
-            ["session_id", "event_id", "event_type", "timestamp", "state_before", "state_after", "legal"]
-        ]
+        yield pd.DataFrame(
+            {
+                "session_id": key[0], "event_id": ids[order], "event_type": types[order], "timestamp": times[order],
+                "state_before": before, "state_after": after, "legal": legal,
+            }
+        )
 
     slim = events.select("session_id", "event_id", "event_type", F.col("timestamp")).withWatermark("timestamp", lateness)
     return slim.groupBy("session_id").applyInPandasWithState(
