@@ -106,10 +106,9 @@ class SearchIndex:
         stored = freeze(documents, "search-documents")
         # Sorted by token, so a batch's tokens prune row groups; ranges split a token found
         # in very many documents.
-        index = freeze(
-            postings(stored).repartitionByRange("field", "token", "track_id").sortWithinPartitions("field", "token"),
-            "search-postings",
-        )
+        pieces = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = postings(stored).repartitionByRange(pieces, "field", "token", "track_id")
+        index = freeze(placed.sortWithinPartitions("field", "token"), "search-postings")
         words = freeze(vocabulary(index).join(field_statistics(index), "field"), "search-words")
         return cls(stored, index, words, freeze(word_keys(words), "search-keys"))
 

@@ -49,14 +49,10 @@ def changes(lines: DataFrame, row: str) -> DataFrame:
     flat = " ".join(row.split())
     image = f"struct<{', '.join(c.strip().replace(' ', ': ', 1) for c in flat.split(','))}>"
     envelope = f"schema string, payload struct<before: {image}, after: {image}, op: string>"
-    parsed = F.from_json(F.col("value").cast("string"), envelope)
+    payload = F.from_json(F.col("value").cast("string"), envelope)["payload"]
     kept = [c for c in lines.columns if c != "value"]
-    return lines.select(*kept, parsed.alias("_e")).select(
-        *kept,
-        F.col("_e.payload.before").alias("before"),
-        F.col("_e.payload.after").alias("after"),
-        F.col("_e.payload.op").alias("op"),
-    )
+    # Generated columns keep later filters above the parsing, so each value is parsed once.
+    return lines.select(*kept, F.inline(F.array(payload)))
 
 
 def parse(lines: DataFrame, row: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,11 @@ REQUEST_SCHEMA = "ts timestamp, method string, route string, path string, status
 
 
 def list_objects(spark: SparkSession, root: str) -> DataFrame:
-    """Every audio object below ``root``: path and size, contents not read."""
+    """Audio objects below ``root``: path and size, contents not read.
+
+    Spark's file sources leave out empty files, and the listing is held by the driver; use
+    ``list_track_objects`` where either matters.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -21,6 +28,23 @@ def list_objects(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def list_track_objects(tracks: DataFrame, root: str) -> DataFrame:
+    """Audio objects of the given tracks, empty ones too; each task lists its own tracks."""
+
+    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            found = []
+            for track in batch["track_id"]:
+                folder = fs.FileSelector(f"{base}/{track}", allow_not_found=True)
+                found += [(f.path, f.size) for f in store.get_file_info(folder) if f.extension == "mp3"]
+            yield pd.DataFrame(found, columns=["path", "length"])
+
+    return tracks.select("track_id").mapInPandas(listing, "path string, length bigint")
+
+
 def object_rows(objects: DataFrame) -> DataFrame:
     """Listing rows with the track and bitrate read from each path."""
     return objects.select(
