@@ -94,11 +94,15 @@ def session_minutes(events: DataFrame) -> DataFrame:
     )
 
 
-def chunks_per_day(events: DataFrame) -> DataFrame:
-    """Chunks sent and acknowledged per day, and the acknowledged share."""
+def chunks_per_day(events: DataFrame, at: str = "timestamp") -> DataFrame:
+    """Chunks sent and acknowledged per day, and the acknowledged share.
+
+    Some events carry their session's start time; name an ingest-time column in ``at`` to
+    count by arrival instead.
+    """
     sums = (
         events.where(F.col("event_type").isin("SessionStopped", "ChunksAckEvent"))
-        .groupBy(F.col("timestamp").cast("date").alias("day"))
+        .groupBy(F.col(at).cast("date").alias("day"))
         .agg(
             F.coalesce(F.sum("total_chunks_sent"), F.lit(0)).alias("sent_chunks"),
             F.coalesce(F.sum("acked_chunk_count"), F.lit(0)).alias("acked_chunks"),

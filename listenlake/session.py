@@ -38,8 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/listenlake/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, grouped by application so it can be cleared."""
+    return f"{shared_dir(spark)}/listenlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def freeze(df: DataFrame, name: str) -> DataFrame:

@@ -76,3 +76,18 @@ def difference(df, con, sql: str) -> str | None:
             f"{sum(lacking.values())} only in SQL e.g. {list(lacking)[:2]}"
         )
     return None
+
+
+# Spark type names and the SQL names of the same types.
+SAME_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def type_differences(df, con, sql: str) -> list[str]:
+    """Columns whose declared types differ between the two results."""
+    declared = {row[0]: row[1] for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [
+        f"{name}: {kind} against {declared[name]}" for name, kind in df.dtypes if SAME_TYPES.get(kind) != declared[name]
+    ]

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
-from comparing import connect, difference  # noqa: E402
+from comparing import connect, difference, type_differences  # noqa: E402
 
 
 def main(names):
@@ -30,7 +30,8 @@ def main(names):
             df = queries[name](spark, sf_dir)
             if name in oracles:
                 problem = difference(df, con, oracles[name])
-                outcome = "ok" if problem is None else f"DIFFERENT {problem[:900]}"
+                types = type_differences(df, con, oracles[name])
+                outcome = f"ok {types or ''}" if problem is None else f"DIFFERENT {problem[:900]}"
             else:
                 outcome = f"ok, {df.count()} rows, no SQL"
         except Exception as error:  # report and go on with the next query

@@ -1,6 +1,7 @@
 """Streams over several batches equal their batch twins; replays change nothing."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from listenlake.operators import charts, history, sessions
 from listenlake.operators.sinks import KeyedTable
+from listenlake.sources import cdc
 from listenlake.streaming import live, pipelines
 from listenlake.streaming.session_machine import EXPIRED, live_states
 
@@ -159,3 +161,32 @@ def test_history_and_deletions(spark, tmp_path):
     deletions = spark.readStream.schema("user_id long, timestamp timestamp").parquet(gone)
     pipelines.each_batch(deletions, live.delete_users(table), str(tmp_path / "d"), once=True).awaitTermination()
     assert {(r["user_id"], r["track_id"]) for r in table.read().collect()} == {(1, 1), (3, 3), (2, 9)}
+
+
+def test_three_capture_pipelines_with_their_own_checkpoints(spark, tmp_path):
+    bodies = {
+        "session_events": {"event_id": 1, "event_type": "SessionPaused", "session_id": "s", "timestamp": 5},
+        "playlist_events": {"event_id": 2, "event_type": "TrackAddedToPlaylist", "playlist_id": 3, "timestamp": 5},
+        "users_events": {"event_id": 4, "event_type": "UserRegistered", "user_id": "u", "timestamp": 5},
+    }
+    sources = {}
+    for name, after in bodies.items():
+        folder = tmp_path / "topics" / name
+        folder.mkdir(parents=True)
+        lines = [json.dumps({"payload": {"after": after, "op": "c"}}), "garbage", json.dumps({"payload": {"op": "d"}})]
+        (folder / "0.json").write_text("\n".join(lines))
+        sources[name] = cdc.read_lines(spark, str(folder), 1)
+
+    def run():
+        queries = pipelines.run_cdc(sources, str(tmp_path / "out"), str(tmp_path / "checkpoints"), once=True)
+        for query in queries.values():
+            query.awaitTermination()
+        return {n: [r["event_id"] for r in spark.read.parquet(str(tmp_path / "out" / n)).collect()] for n in queries}
+
+    assert run() == {"session_events": [1], "playlist_events": [2], "users_events": [4]}
+    assert sorted(p.name for p in (tmp_path / "checkpoints").iterdir()) == sorted(bodies)
+    more = {"payload": {"after": {**bodies["users_events"], "event_id": 9}, "op": "c"}}
+    (tmp_path / "topics" / "users_events" / "1.json").write_text(json.dumps(more))
+    assert {n: sorted(ids) for n, ids in run().items()} == {
+        "session_events": [1], "playlist_events": [2], "users_events": [4, 9]
+    }
