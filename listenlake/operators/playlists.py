@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listenlake.functions.rules import visible
 from listenlake.operators import ordered
 from listenlake.operators.ordered import OrderedRows
 
@@ -37,7 +38,7 @@ def assemble(playlists: DataFrame, playlist_users: DataFrame, playlist_tracks: D
 def visible_to(playlists: DataFrame, playlist_users: DataFrame, requester: int) -> DataFrame:
     """Public playlists, and those the requester owns."""
     owned = playlists.join(owners(playlist_users), "playlist_id", "left")
-    return owned.where(F.coalesce("is_public", F.lit(False)) | (F.col("owner_id") == requester))
+    return owned.where(visible(F.col("is_public"), F.col("owner_id"), F.lit(requester)))
 
 
 def check_adds(adds: DataFrame, playlist_users: DataFrame, playlist_tracks: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ ONE_EDIT_FROM, TWO_EDITS_FROM = 3, 6
 DELETION_LENGTH = 24
 SEGMENTS, MAX_SHIFT = 5, 2
 
-FIELDS = {"title": "title", "artist_name": "artists"}
+FIELDS = ["title", "artist_name"]
 REQUEST_COLUMNS = """
 title string, artist_name string, genres array<string>, min_duration_ms int, max_duration_ms int,
 explicit boolean, released_from date, released_to date
@@ -121,49 +121,40 @@ def edit_budget(token: Column) -> Column:
     return F.when(length >= TWO_EDITS_FROM, 2).when(length >= ONE_EDIT_FROM, 1).otherwise(0)
 
 
-def _one_swap(a: Column, b: Column) -> Column:
+def _one_swap(a: str, b: str) -> str:
     """``b`` is ``a`` with one pair of neighbours exchanged."""
+    return f"""CASE WHEN length({a}) = length({b}) AND length({a}) >= 2 THEN exists(
+        sequence(1, length({a}) - 1),
+        s -> concat(substr({a}, 1, s - 1), substr({a}, s + 1, 1), substr({a}, s, 1), substr({a}, s + 2)) = {b}
+    ) ELSE false END"""
 
-    def swapped(i: Column) -> Column:
-        return F.concat(
-            a.substr(F.lit(1), i - 1), a.substr(i + 1, F.lit(1)), a.substr(i, F.lit(1)), a.substr(i + 2, F.char_length(a))
-        )
-
-    places = F.sequence(F.lit(1), F.char_length(a) - 1)
-    comparable = (F.char_length(a) == F.char_length(b)) & (F.char_length(a) >= 2)
-    return F.when(comparable, F.exists(places, lambda i: swapped(i) == b)).otherwise(False)
 
+def _one_edit(a: str, b: str) -> str:
+    return f"(levenshtein({a}, {b}, 1) >= 0 OR {_one_swap(a, b)})"
 
-def _one_edit(a: Column, b: Column) -> Column:
-    return (F.levenshtein(a, b, 1) >= 0) | _one_swap(a, b)
 
+def _two_edits(a: str, b: str) -> str:
+    """At most two edits, a swap of neighbours counting as one.
 
-def _two_edits(a: Column, b: Column) -> Column:
-    """At most two edits, a swap of neighbours counting as one."""
-
-    def swap_and_edit(i: Column) -> Column:
-        pair = F.concat(a.substr(i + 1, F.lit(1)), a.substr(i, F.lit(1)))
-        head, tail = a.substr(F.lit(1), i - 1), a.substr(i + 2, F.char_length(a))
-        edit_after = F.startswith(b, F.concat(head, pair)) & _one_edit(tail, b.substr(i + 2, F.char_length(b)))
-        before = F.char_length(b) - F.char_length(tail) - 2
-        edit_before = (
-            (before >= 0)
-            & F.endswith(b, F.concat(pair, tail))
-            & _one_edit(head, b.substr(F.lit(1), F.greatest(before, F.lit(0))))
-        )
-        return edit_after | edit_before
-
-    places = F.sequence(F.lit(1), F.char_length(a) - 1)
-    with_swap = F.when(F.char_length(a) >= 2, F.exists(places, swap_and_edit)).otherwise(False)
-    return (F.levenshtein(a, b, 2) >= 0) | with_swap
+    Besides plain edits: a swap at place i, and one edit in what lies before or after it.
+    """
+    pair = f"concat(substr({a}, i + 1, 1), substr({a}, i, 1))"
+    head, tail = f"substr({a}, 1, i - 1)", f"substr({a}, i + 2)"
+    before = f"(length({b}) - length({tail}) - 2)"
+    edit_after = f"(startswith({b}, concat({head}, {pair})) AND {_one_edit(tail, f'substr({b}, i + 2)')})"
+    edit_before = (
+        f"({before} >= 0 AND endswith({b}, concat({pair}, {tail})) "
+        f"AND {_one_edit(head, f'substr({b}, 1, greatest({before}, 0))')})"
+    )
+    return f"""(levenshtein({a}, {b}, 2) >= 0 OR CASE WHEN length({a}) >= 2 THEN
+        exists(sequence(1, length({a}) - 1), i -> {edit_after} OR {edit_before}) ELSE false END)"""
 
 
-def distance_within(a: Column, b: Column, budget: Column) -> Column:
-    """Edits between two tokens when within the budget (0 to 2), else null."""
-    return (
-        F.when(a == b, 0)
-        .when((budget >= 1) & _one_edit(a, b), 1)
-        .when((budget >= 2) & _two_edits(a, b), 2)
+def distance_within(a: str, b: str, budget: str) -> Column:
+    """Edits between two token columns when within the budget (0 to 2), else null."""
+    return F.expr(
+        f"CASE WHEN {a} = {b} THEN 0 WHEN {budget} >= 1 AND {_one_edit(a, b)} THEN 1 "
+        f"WHEN {budget} >= 2 AND {_two_edits(a, b)} THEN 2 END"
     )
 
 
@@ -235,7 +226,7 @@ def expand(query_tokens: DataFrame, keys: DataFrame) -> DataFrame:
     five parts of the query token that at most two edits must leave whole. No query token
     meets the whole vocabulary.
     """
-    q, t = F.col("query_token"), F.col("token")
+    q = F.col("query_token")
     asked = query_tokens.select("field", "query_token").distinct().withColumn("budget", edit_budget(q))
     own = F.when(F.char_length(q) > DELETION_LENGTH, _query_segments(q)).otherwise(_deletions(q, F.col("budget")))
     candidates = (
@@ -245,7 +236,7 @@ def expand(query_tokens: DataFrame, keys: DataFrame) -> DataFrame:
         .distinct()
     )
     return (
-        candidates.withColumn("distance", distance_within(q, t, F.col("budget")))
+        candidates.withColumn("distance", distance_within("query_token", "token", "budget"))
         .where(F.col("distance").isNotNull())
         .select("field", "query_token", "token", "distance")
     )
@@ -360,20 +351,19 @@ def _passes() -> Column:
     )
 
 
-def matches(bodies: DataFrame, index: SearchIndex) -> DataFrame:
-    """(body, track_id, score) of every document each request body matches."""
-    asked = None
-    for field in FIELDS:
-        words = bodies.select("body", F.lit(field).alias("field"), F.explode(tokens(F.col(field))).alias("query_token"))
-        asked = words if asked is None else asked.unionByName(words)
-    asked = asked.groupBy("body", "field", "query_token").agg(F.count(F.lit(1)).alias("times"))
-    has_title = F.coalesce(F.char_length("title") > 0, F.lit(False))
-    has_artist = F.coalesce(F.char_length("artist_name") > 0, F.lit(False))
-    needed = has_title.cast("int") + has_artist.cast("int")
-    sized = bodies.withColumn("needed", needed)
-    text = text_scores(asked, index).join(sized.select("body", "needed"), "body").where("fields = needed")
-    plain = _filter_candidates(sized.where("needed = 0"), index.documents)
-    candidates = text.select("body", "track_id", "score").unionByName(plain)
+def matches(bodies: DataFrame, index: SearchIndex, text: bool = True, plain: bool = True) -> DataFrame:
+    """(body, track_id, score) of every document each request body matches.
+
+    ``text`` and ``plain`` tell whether bodies with and without text clauses occur.
+    """
+    sized = bodies.withColumn("needed", _text_clauses())
+    found = []
+    if text:
+        scores = text_scores(_asked_tokens(bodies), index).join(sized.select("body", "needed"), "body")
+        found.append(scores.where("fields = needed").select("body", "track_id", "score"))
+    if plain:
+        found.append(_filter_candidates(sized.where("needed = 0"), index.documents))
+    candidates = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     checked = (
         candidates.alias("c")
         .join(index.documents.alias("d"), F.col("c.track_id") == F.col("d.track_id"))
@@ -384,7 +374,29 @@ def matches(bodies: DataFrame, index: SearchIndex) -> DataFrame:
     return checked.select("c.body", "c.track_id", F.round("c.score", 6).alias("score"))
 
 
-def answer(requests: DataFrame, index: SearchIndex, deepest: int | None = None, **sizes) -> DataFrame:
+def _text_clauses() -> Column:
+    """How many text clauses a request has."""
+    given = [F.coalesce(F.char_length(c) > 0, F.lit(False)).cast("int") for c in FIELDS]
+    return given[0] + given[1]
+
+
+def _asked_tokens(bodies: DataFrame) -> DataFrame:
+    """(body, field, query_token, times) of all text clauses."""
+    texts = F.array(
+        *[F.struct(F.lit(c).alias("field"), F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias("words")) for c in FIELDS]
+    )
+    words = bodies.select("body", F.inline(texts)).select("body", "field", F.explode("words").alias("query_token"))
+    return words.groupBy("body", "field", "query_token").agg(F.count(F.lit(1)).alias("times"))
+
+
+def answer(
+    requests: DataFrame,
+    index: SearchIndex,
+    deepest: int | None = None,
+    text: bool = True,
+    plain: bool = True,
+    **sizes,
+) -> DataFrame:
     """Answer a table of requests: (request_id, rank, track_id, score, total).
 
     Equal requests are answered once. ``deepest`` (the largest page × page_size asked for)
@@ -392,7 +404,7 @@ def answer(requests: DataFrame, index: SearchIndex, deepest: int | None = None,
     """
     stamped = requests.withColumn("body", fingerprint(_CLAUSES))
     bodies = stamped.select("body", *_CLAUSES).dropDuplicates(["body"])
-    found = freeze(matches(bodies, index), "search-matches")
+    found = freeze(matches(bodies, index, text, plain), "search-matches")
     totals = found.groupBy("body").agg(F.count(F.lit(1)).alias("total"))
     order = ["-score", "track_id"]
     if deepest is None:
@@ -412,5 +424,6 @@ def answer(requests: DataFrame, index: SearchIndex, deepest: int | None = None,
 def search(index: SearchIndex, request: SearchRequest) -> DataFrame:
     """One request's page of documents, best first, with the total number of matches."""
     asked = request.frame(index.documents.sparkSession)
-    found = answer(asked, index, deepest=request.page * request.page_size)
+    text = bool(request.title or request.artist_name)
+    found = answer(asked, index, request.page * request.page_size, text=text, plain=not text)
     return found.drop("request_id").join(index.documents, "track_id").orderBy("rank")

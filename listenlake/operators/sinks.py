@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from listenlake.functions.scalars import or_default
+
 # Sort key of each event table.
 SORT_KEYS = {
     "session_events": ["session_id", "timestamp"],
@@ -22,9 +24,9 @@ def with_sink_defaults(df: DataFrame) -> DataFrame:
 
     def filled(field: T.StructField) -> Column:
         if isinstance(field.dataType, T.StringType):
-            return F.coalesce(F.col(field.name), F.lit("")).alias(field.name)
+            return or_default(F.col(field.name), "").alias(field.name)
         if isinstance(field.dataType, (T.IntegerType, T.LongType)):
-            return F.coalesce(F.col(field.name), F.lit(0).cast(field.dataType)).alias(field.name)
+            return or_default(F.col(field.name), 0).alias(field.name)
         return F.col(field.name)
 
     return df.select(*[filled(f) for f in df.schema.fields])
@@ -78,8 +80,12 @@ class KeyedTable:
         marked = df.withColumn("_deleted", F.coalesce(deleted, F.lit(False)))
         marked.write.mode("overwrite").parquet(f"{self.path}/writer={writer}/batch_id={batch_id}")
 
-    def read(self) -> DataFrame:
+    def read(self, without: tuple[str, int] | None = None) -> DataFrame:
+        """Current rows; ``without`` leaves out one writer's batch, for a writer that reads
+        the table and must see the same rows when its batch is replayed."""
         stored = self.spark.read.option("basePath", self.path).parquet(f"{self.path}/writer=*")
+        if without is not None:
+            stored = stored.where(~((F.col("writer") == without[0]) & (F.col("batch_id") == without[1])))
         columns = [c for c in stored.columns if c not in (*self.keys, "_deleted", "writer", "batch_id")]
         age = [F.col("batch_id").cast("long")]
         if self.version:

@@ -136,7 +136,7 @@ def delete_users(table: KeyedTable):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         gone = batch.groupBy("user_id").agg(F.max("timestamp").alias("_deleted_at"))
-        rows = table.read().join(gone, "user_id").where(F.col(table.version) <= F.col("_deleted_at"))
+        rows = table.read(without=("deletions", batch_id)).join(gone, "user_id").where(F.col(table.version) <= F.col("_deleted_at"))
         table.change(
             rows.withColumn(table.version, F.col("_deleted_at")).drop("_deleted_at"), F.lit(True), batch_id, "deletions"
         )

@@ -27,11 +27,11 @@ def edited(rng, word, edits):
     for _ in range(edits):
         kind, at = rng.choice("idst"), rng.randrange(max(len(word), 1))
         if kind == "i":
-            word.insert(at, rng.choice("abc"))
+            word.insert(at, rng.choice("abcdefgh"))
         elif word and kind == "d":
             word.pop(at)
         elif word and kind == "s":
-            word[at] = rng.choice("abc")
+            word[at] = rng.choice("abcdefgh")
         elif at + 1 < len(word):
             word[at], word[at + 1] = word[at + 1], word[at]
     return "".join(word)
@@ -44,9 +44,9 @@ def budget(token):
 def test_expansion_equals_brute_force(spark):
     rng = random.Random(11)
     words, queries = set(), set()
-    for length in [1, 2, 3, 4, 5, 6, 7, 8, 12, 22, 23, 24, 25, 26, 27, 28, 31, 60]:
-        for _ in range(14):
-            word = "".join(rng.choice("abc") for _ in range(length))
+    for length in [1, 2, 3, 5, 6, 7, 12, 23, 24, 25, 26, 27, 31, 60]:
+        for _ in range(4):
+            word = "".join(rng.choice("abcdefgh") for _ in range(length))
             words.add(word)
             for edits in (0, 1, 2, 3):
                 queries.add(edited(rng, word, edits))

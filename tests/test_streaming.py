@@ -161,6 +161,9 @@ def test_history_and_deletions(spark, tmp_path):
     deletions = spark.readStream.schema("user_id long, timestamp timestamp").parquet(gone)
     pipelines.each_batch(deletions, live.delete_users(table), str(tmp_path / "d"), once=True).awaitTermination()
     assert {(r["user_id"], r["track_id"]) for r in table.read().collect()} == {(1, 1), (3, 3), (2, 9)}
+    # The same deletion batch written again, as after a crash before its commit.
+    live.delete_users(table)(spark.read.parquet(gone), 0)
+    assert {(r["user_id"], r["track_id"]) for r in table.read().collect()} == {(1, 1), (3, 3), (2, 9)}
 
 
 def test_three_capture_pipelines_with_their_own_checkpoints(spark, tmp_path):
