@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listenlake.functions import scalars
+from listenlake.operators.paging import first_of_each
 
 
 def _names_per_track(bridge: DataFrame, side: DataFrame, key: str, out: str) -> DataFrame:
@@ -73,6 +74,12 @@ def tracks_in_genre(tracks: DataFrame, track_genres: DataFrame, genres: DataFram
     return tracks.join(track_genres.join(chosen, "genre_id", "left_semi"), "track_id", "left_semi")
 
 
+def first_tracks_of_each(tracks: DataFrame, bridge: DataFrame, key: str, n: int) -> DataFrame:
+    """The first page of tracks of every artist or genre at once."""
+    linked = bridge.select("track_id", key).distinct().join(tracks, "track_id")
+    return first_of_each(linked, [key], ["track_id"], n)
+
+
 def tracks_with_bitrates(tracks: DataFrame, track_bitrates: DataFrame, objects: DataFrame) -> DataFrame:
     """Bitrates declared for each track beside those found in storage (both highest first)."""
 

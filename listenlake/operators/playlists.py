@@ -26,6 +26,17 @@ def with_track(playlists: DataFrame, playlist_tracks: DataFrame, track_id: int)
     return playlists.join(holding, "playlist_id", "left_semi")
 
 
+def of_every_user(playlists: DataFrame, playlist_users: DataFrame) -> DataFrame:
+    """Each user's playlists, one row per user and playlist."""
+    links = playlist_users.groupBy("user_id", "playlist_id").agg(F.max("is_creator").alias("is_creator"))
+    return links.join(playlists, "playlist_id")
+
+
+def of_every_track(playlists: DataFrame, playlist_tracks: DataFrame) -> DataFrame:
+    """The playlists holding each track, one row per track and playlist."""
+    return playlist_tracks.select("track_id", "playlist_id").distinct().join(playlists, "playlist_id")
+
+
 def assemble(playlists: DataFrame, playlist_users: DataFrame, playlist_tracks: DataFrame) -> DataFrame:
     """Playlists with owner and tracks: one row per track, one with nulls for an empty playlist.
 

@@ -80,6 +80,28 @@ def tracks_by_genre_page(d):
     return paging.page(found, ["track_id"], 3, 20)
 
 
+@query(
+    "first_tracks_of_every_artist",
+    ctes("tracks", "track_artists") + """
+    SELECT artist_id, track_id, title, duration_ms, explicit, release_date,
+           CAST(row_number() OVER (PARTITION BY artist_id ORDER BY track_id) AS INTEGER) AS rank
+    FROM track_artists JOIN tracks USING (track_id) QUALIFY rank <= 20""",
+)
+def first_tracks_of_every_artist(d):
+    return catalog.first_tracks_of_each(d.tracks(), d.track_artists(), "artist_id", 20)
+
+
+@query(
+    "first_tracks_of_every_genre",
+    ctes("tracks", "track_genre_names") + """
+    SELECT genre_id, track_id, title, duration_ms, explicit, release_date,
+           CAST(row_number() OVER (PARTITION BY genre_id ORDER BY track_id) AS INTEGER) AS rank
+    FROM (SELECT DISTINCT track_id, genre_id FROM track_genre_names) JOIN tracks USING (track_id) QUALIFY rank <= 20""",
+)
+def first_tracks_of_every_genre(d):
+    return catalog.first_tracks_of_each(d.tracks(), d.track_genres(), "genre_id", 20)
+
+
 @query(
     "match_total",
     ctes("tracks") + """

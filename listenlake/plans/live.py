@@ -132,7 +132,12 @@ def stream_user_sketches(d):
 # -- sessions ------------------------------------------------------------------------------
 
 
-@query("stream_session_expiry")
+@query(
+    "stream_session_expiry",
+    f"""SELECT user_id, first_at, last_at, events FROM ({sessions.VISITS_SQL})
+    WHERE epoch_us(last_at) + CAST({sessions.IDLE} AS BIGINT) * 1000000
+          <= (SELECT epoch_ms(max(ts)) * 1000 - 3600000000 FROM events)""",
+)
 def stream_session_expiry(d):
     """Visits that ended; those still open at the end of the data are not emitted."""
     events = d.stream("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))

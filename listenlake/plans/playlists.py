@@ -31,6 +31,26 @@ def playlists_with_track(d):
     return playlists.with_track(d.playlists(), d.playlist_tracks(), 99)
 
 
+@query(
+    "playlists_of_every_user",
+    ctes("playlists", "playlist_users") + """
+    SELECT user_id, playlist_id, bool_or(is_creator) AS is_creator, name, is_public, created_at
+    FROM playlist_users JOIN playlists USING (playlist_id) GROUP BY ALL""",
+)
+def playlists_of_every_user(d):
+    return playlists.of_every_user(d.playlists(), d.playlist_users())
+
+
+@query(
+    "playlists_of_every_track",
+    ctes("playlists", "playlist_tracks") + """
+    SELECT DISTINCT track_id, playlist_id, name, is_public, created_at
+    FROM playlist_tracks JOIN playlists USING (playlist_id)""",
+)
+def playlists_of_every_track(d):
+    return playlists.of_every_track(d.playlists(), d.playlist_tracks())
+
+
 @query(
     "playlist_track_count",
     ctes("playlists", "playlist_tracks") + """
@@ -286,6 +306,16 @@ def likes_page(d):
     return paging.piece(mine, ["-liked_at", "track_id"], 10, 2)
 
 
+@query(
+    "likes_page_all",
+    LIKE_CTES + """
+    SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY liked_at DESC, track_id) AS INTEGER) AS rank
+    FROM first_likes QUALIFY rank <= 10""",
+)
+def likes_page_all(d):
+    return paging.first_of_each(history.first_likes(d.likes()), ["user_id"], ["-liked_at", "track_id"], 10)
+
+
 @query(
     "likes_accepted",
     LIKE_CTES + "SELECT user_id, track_id + 1000 AS track_id, liked_at FROM first_likes WHERE track_id + 1000 IN (SELECT p_partkey FROM part)",
