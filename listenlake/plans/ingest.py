@@ -253,11 +253,11 @@ def document_failures(d):
     "topic_fanout",
     S + """
     SELECT topic, CAST(session_id AS VARCHAR) AS "key", event_type AS header, '{"event_id":' || event_id || '}' AS body
-    FROM session_events, (VALUES ('etl-topic'), ('history-topic')) t(topic)""",
+    FROM session_events, (VALUES ('events-topic'), ('history-topic')) t(topic)""",
 )
 def topic_fanout(d):
     messages = sinks.to_topics(
-        d.session_events(), ["etl-topic", "history-topic"], "session_id", F.col("event_type"), F.to_json(F.struct("event_id"))
+        d.session_events(), ["events-topic", "history-topic"], "session_id", F.col("event_type"), F.to_json(F.struct("event_id"))
     )
     return messages.select(
         "topic", F.col("key").cast("string"), F.col("headers")[0]["value"].cast("string").alias("header"),
