@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import packing, sharding, token_codec
+from listenlake.llm import decontam, packing, sharding, simhash, token_codec
 
 SHARDS = 40
 SEQUENCE = 2048
@@ -45,6 +45,26 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, and components of links at two bits or fewer."""
+    linked = simhash.groups(_table(spark, sf_dir, "documents"), words=3, radius=2)
+    return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that occurrences of 13-word benchmark windows cover."""
+    found = decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    named = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", named), 256).alias("items_sha256"),
+    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     packed = packing.pack(_table(spark, sf_dir, "documents"), longest=SEQUENCE)
@@ -54,6 +74,8 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleave": op1_interleave,
     "op2_token_files": op2_token_files,
+    "op4_simhash": op4_simhash,
+    "op7_decontaminate": op7_decontaminate,
     "op10_pack": op10_pack,
 }
 
