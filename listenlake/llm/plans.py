@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import decontam, packing, sharding, simhash, token_codec
+from listenlake.llm import decontam, packing, quality, sharding, simhash, token_codec
 
 SHARDS = 40
 SEQUENCE = 2048
@@ -65,6 +65,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts behind the plain rules, and the verdict of the line field, for every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     packed = packing.pack(_table(spark, sf_dir, "documents"), longest=SEQUENCE)
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op4_simhash": op4_simhash,
     "op7_decontaminate": op7_decontaminate,
+    "op8_quality": op8_quality,
     "op10_pack": op10_pack,
 }
 
