@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import decontam, packing, quality, sharding, simhash, token_codec
+from listenlake.llm import chat, decontam, packing, quality, secrets, sharding, simhash, token_codec
 
 SHARDS = 40
 SEQUENCE = 2048
@@ -51,6 +51,39 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one with control strings, formatted and read back."""
+    tricky = "\\### Assistant: </turn> ok"
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long"), "id", role, F.lit(tricky))
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    formatted = chat.render(chat.fold(chat.events_of_messages(given.union(extra))))
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return (
+        formatted.withColumn("turns", chat.parse(F.col("formatted")))
+        .withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+        .select(
+            "conv_id",
+            F.size("turns").cast("long").alias("n_turns"),
+            F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+            F.length("loss").cast("long").alias("loss_chars"),
+            F.sha2("loss", 256).alias("loss_sha256"),
+            F.length("formatted").cast("long").alias("formatted_chars"),
+        )
+    )
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, each distinct content scanned once."""
+    findings, _ = secrets.scan(_table(spark, sf_dir, "documents"))
+    return findings.select(
+        "doc_id",
+        *[secrets.count(F.col("spans"), r.kind).alias(f"n_{r.kind}") for r in secrets.RULES],
+        F.sha2(secrets.joined(F.col("spans")), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that occurrences of 13-word benchmark windows cover."""
     found = decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -81,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleave": op1_interleave,
     "op2_token_files": op2_token_files,
     "op4_simhash": op4_simhash,
+    "op5_chat": op5_chat,
+    "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op10_pack": op10_pack,
