@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import chat, decontam, packing, quality, secrets, sharding, simhash, token_codec
+from listenlake.llm import chat, decontam, html_text, packing, quality, secrets, sharding, simhash, token_codec
 
 SHARDS = 40
 SEQUENCE = 2048
@@ -104,6 +104,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_text.extract(pages, html_text.fit(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     packed = packing.pack(_table(spark, sf_dir, "documents"), longest=SEQUENCE)
@@ -118,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
+    "op9_main_text": op9_main_text,
     "op10_pack": op10_pack,
 }
 
