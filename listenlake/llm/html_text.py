@@ -26,8 +26,8 @@ from listenlake.llm.common import settings, slices
 SAMPLE_PAGES = 300
 PAGE_BYTES = 1 << 20  # of pages decoded at once
 SAMPLE_BYTES = 20_000  # longer pages are not taken into the sample
-LAYOUTS = 3  # invented layouts for each sample page
-TREES, DEPTH, RATE, BINS, LEAST = 40, 5, 0.25, 24, 8
+LAYOUTS = 4  # invented layouts for each sample page
+TREES, DEPTH, RATE, BINS, LEAST = 60, 5, 0.2, 24, 8
 
 
 @dataclass

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import chat, decontam, html_text, packing, quality, secrets, sharding, simhash, token_codec
+from listenlake.llm import chat, decontam, html_text, packing, quality, secrets, sharding, simhash, suffix_dedup, token_codec
 
 SHARDS = 40
 SEQUENCE = 2048
@@ -45,6 +45,19 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that 50-byte strings of earlier documents cover."""
+    kept = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles, and components of links at two bits or fewer."""
     linked = simhash.groups(_table(spark, sf_dir, "documents"), words=3, radius=2)
@@ -120,6 +133,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleave": op1_interleave,
     "op2_token_files": op2_token_files,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash": op4_simhash,
     "op5_chat": op5_chat,
     "op6_secrets": op6_secrets,
