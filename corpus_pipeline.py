@@ -1,32 +1,63 @@
-"""The corpus pipeline: five stages, each one operator of ``listenlake.llm``."""
+"""The corpus pipeline: five stages, each one operator of ``listenlake.llm``.
+
+Every stage takes what the stage before kept, written as Parquet and read again. All but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from listenlake.llm import packing
-from listenlake.llm.common import stage
+from listenlake.llm import decontam, near_dedup, packing, quality, secrets
+from listenlake.llm.common import settings, stage
 
 SEQUENCE = 2048
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the plain rules or the line field reject go."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each group of equal or near-equal texts."""
+    return near_dedup.representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go of which benchmark windows cover a twentieth of the words or more."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; all documents stay."""
+    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut the kept documents into sequences of power-of-two lengths."""
+    """The kept documents, cut into sequences of power-of-two lengths."""
     return packing.pack(docs, longest=SEQUENCE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
     ("packing", pack),
 ]
 
-# Models, fingerprints and tokenizers are beyond SQL; tests hold run() against a brute-force version.
+# A fitted model, fingerprints and a tokenizer are beyond SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
+    settings(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, apply in STAGES[:-1]:
         docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")

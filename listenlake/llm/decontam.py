@@ -224,6 +224,24 @@ def _spans(phrases: Phrases, documents: list[np.ndarray]):
     return spans, found
 
 
+CONTAMINATED = 20  # one word in so many hit makes a text contaminated
+
+
+def _keep(phrases: Phrases, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = phrases.ids.get
+        for batch in batches:
+            for part in slices(batch, text, SHARD_BYTES):
+                words = [words_of(x.as_py()) for x in part.column(text).cast(pa.binary())]
+                documents = [np.fromiter((get(w, 0) for w in own), np.int64, len(own)) for own in words]
+                spans, _ = _spans(phrases, documents)
+                hit = [int((s[:, 1] - s[:, 0]).sum()) for s in spans]
+                kept = [not h or CONTAMINATED * h < len(w) for h, w in zip(hit, words, strict=True)]
+                yield part.filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
 def _search(phrases: Phrases, key: str, text: str, item_type: pa.DataType, last: bool):
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -312,3 +330,24 @@ def find(
         schema = f"`{key}` {kind}, {'' if last else f'`{text}` string, '}{found}"
         rows = rows.mapInArrow(_search(Phrases.of(block, window), key, text, item_type, last), schema)
     return rows
+
+
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns and without a shuffle.
+
+    A row is contaminated if occurrences of benchmark windows cover one of CONTAMINATED words
+    or more. Rows without words stay. A benchmark of more than one block is searched whole, so
+    hits of all blocks count together.
+    """
+    spark = settings(docs.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SHARD_ROWS))
+    blocks = list(_benchmark_blocks(benchmark, item, item_text)) or [[]]
+    phrases = Phrases.of([row for block in blocks for row in block], window)
+    return docs.mapInArrow(_keep(phrases, text), docs.schema)

@@ -1,0 +1,138 @@
+"""Near-duplicate documents by SimHash: candidates by fingerprint, links by exact similarity.
+
+One 64-bit SimHash of a whole text comes within a few bits only for the closest copies. So a
+text also has VIEWS partial fingerprints, each the SimHash of the VIEW_SHINGLES shingles that
+rank lowest under a seed of its own: two texts of similarity s agree in a view with
+probability s**VIEW_SHINGLES or more, in one of all views nearly always from 0.8 on. Whole
+fingerprints are linked within a radius by vantage-point trees, views where they are equal.
+Every candidate is then held against the true Jaccard similarity of the word shingles.
+
+Rows of one fingerprint are linked to its first text, not to each other, so a group of any
+size brings one candidate for each of its texts and view.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from listenlake.llm import simhash
+from listenlake.llm.common import settings, stage
+from listenlake.llm.components import components
+
+WORDS = 5
+SIMILARITY = 0.8
+RADIUS = 3
+VIEWS = 14
+VIEW_SHINGLES = 3
+
+_SEEDS = np.random.default_rng(64).integers(2**62, 2**63, VIEWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def views(shingles: np.ndarray) -> list[int]:
+    """A fingerprint for each view of a set of shingle hashes; none for no shingle."""
+    found = []
+    for seed in _SEEDS if len(shingles) else ():
+        mixed = shingles * seed
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        lowest = np.partition(mixed, VIEW_SHINGLES - 1)[:VIEW_SHINGLES] if len(mixed) > VIEW_SHINGLES else mixed
+        found.append(simhash.fingerprint(lowest))
+    return found
+
+
+def _signatures(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, parts = [], []
+            for x in batch.column("_text").cast(pa.binary()):
+                hashes = simhash.shingle_hashes(x.as_py(), words)
+                whole.append(np.uint64(simhash.fingerprint(hashes)).astype(np.int64) if len(hashes) else None)
+                parts.append(np.array(views(np.unique(hashes)), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_sha"), batch.column("_key"), pa.array(whole, pa.int64()), pa.array(parts, pa.list_(pa.int64()))],
+                names=["sha", "key", "fp", "views"],
+            )
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(simhash.shingle_hashes(x.as_py(), words)).tobytes() for x in batch.column("_text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(own, pa.binary())], names=["uid", "shingles"])
+
+    return run
+
+
+def _similar(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def representatives(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    words: int = WORDS,
+    similarity: float = SIMILARITY,
+    radius: int = RADIUS,
+) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group, that of the smallest key.
+
+    Groups join equal texts and, over chains, texts whose sets of word shingles have a Jaccard
+    similarity of ``similarity`` or more. Null and empty texts are equal to each other; texts
+    without words are near to nothing. Null keys come last; of repeated rows one stays; an
+    empty table gives an empty result; all columns are kept.
+    """
+    settings(docs.sparkSession)
+    content = F.coalesce(F.col(text), F.lit(""))
+    sha = F.sha2(content, 256)
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(sha.alias("_sha"), F.col(key).alias("_key"), content.alias("_text"))
+    marked = stage(rows.mapInArrow(_signatures(words), f"sha string, key {kind}, fp long, views array<long>"), "signatures")
+    distinct = marked.groupBy("sha").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("views").alias("views"))
+    texts = stage(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct-texts")
+
+    by_fp = stage(texts.where("fp is not null").groupBy("fp").agg(F.min("uid").alias("first")), "whole-fingerprints")
+    name = lambda c: by_fp.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    near = simhash.links(by_fp.select("fp"), radius).join(name("a"), "a").join(name("b"), "b")
+    seen = texts.select("uid", F.posexplode("views").alias("view", "fp"))
+    groups = seen.groupBy("view", "fp").agg(F.min("uid").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = (
+        near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+        .union(texts.join(by_fp, "fp").select("uid", "first"))
+        .union(seen.join(groups, ["view", "fp"]).select("uid", "first"))
+        .where("a <> b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
+    )
+    pairs = stage(pairs, "candidates")
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(texts.select("uid", "sha", "key"), "uid")
+    given = rows.join(asked, (F.col("_sha") == F.col("sha")) & F.col("_key").eqNullSafe(F.col("key"))).select("uid", "_text")
+    sets = stage(given.mapInArrow(_sets(words), "uid long, shingles binary").dropDuplicates(["uid"]), "shingle-sets")
+    side = lambda c, v: sets.select(F.col("uid").alias(c), F.col("shingles").alias(v))
+    compared = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    linked = compared.mapInArrow(_similar(similarity), "a long, b long")
+
+    roots = components(linked, "near-copies")
+    grouped = texts.join(roots.withColumnRenamed("node", "uid"), "uid", "left").groupBy(F.coalesce("root", "uid").alias("root"))
+    best = grouped.agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "sha")).alias("best"))
+    stays = best.select(F.col("best.sha").alias("_stays_sha"), F.col("best.key").alias("_stays_key"))
+    marked_docs = docs.withColumn("_sha", sha)
+    same = (F.col("_sha") == F.col("_stays_sha")) & F.col(key).eqNullSafe(F.col("_stays_key"))
+    return marked_docs.join(stays, same, "left_semi").dropDuplicates(["_sha", key]).drop("_sha")

@@ -131,14 +131,34 @@ def scan(
     scanned = blobs.select("blob", F.array_compact(F.array(*cells)).alias("_cells")).select("blob", F.inline("_cells"))
     additions = stage(scanned, "blob-ledger")
 
-    every = additions if ledger is None else additions.unionByName(ledger.where(F.col("rule").isin(names)).select("blob", "rule", "found"))
-    by_blob = every.where(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("spans"))
-    findings = paths.join(by_blob, "blob", "left").select(
+    every = additions
+    if ledger is not None:
+        every = additions.unionByName(ledger.where(F.col("rule").isin(names)).select("blob", "rule", "found"))
+    findings = paths.join(by_blob(every), "blob", "left").select(
         F.col("_path").alias(key), "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans")
     )
     return findings, additions
 
 
+def by_blob(ledger: DataFrame) -> DataFrame:
+    """``blob, spans`` of the blobs of a ledger in which something was found; at most a row a rule is gathered."""
+    found = ledger.where(F.size("found") > 0).groupBy("blob")
+    return found.agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("spans"))
+
+
+def redacted(
+    docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """All rows of ``docs`` with every span found in their texts replaced; null texts stay null."""
+    names = [r.name for r in rules]
+    _, additions = scan(docs, ledger, rules, key, text)
+    every = additions if ledger is None else additions.unionByName(ledger.where(F.col("rule").isin(names)).select("blob", "rule", "found"))
+    found = by_blob(every).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    marked = docs.withColumn("_blob", blob_id(F.col(text))).join(found, "_blob", "left")
+    clean = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(redact(F.col(text), F.col("_spans")))
+    return marked.withColumn(text, clean).select(*docs.columns)
+
+
 def joined(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
     """Spans as ``kind:start:end``, joined by commas."""
     if kinds is not None:

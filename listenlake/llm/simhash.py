@@ -157,21 +157,32 @@ def _route(tree, radius: int):
 
 
 class Forest:
-    """Labels of points that links have joined so far."""
+    """Labels of points that links have joined so far, and the links that joined them."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
+        self.used: list[tuple[np.ndarray, np.ndarray]] = []
 
     def join(self, a: np.ndarray, b: np.ndarray):
         while len(a):
             x, y = self.label[a], self.label[b]
             apart = x != y
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            low = np.minimum(x, y)
-            np.minimum.at(self.label, np.maximum(x, y), low)
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            # Each root is hung below one smaller root, by one of its links.
+            by = np.lexsort((low, high))
+            first = by[np.concatenate([[True], high[by][1:] != high[by][:-1]])] if len(by) else by
+            self.label[high[first]] = low[first]
+            self.used.append((a[first], b[first]))
             while not np.array_equal(up := self.label[self.label], self.label):
                 self.label = up
 
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest made of given links."""
+        none = np.zeros(0, np.int64)
+        a, b = zip(*self.used, strict=True) if self.used else ((), ())
+        return np.concatenate([none, *a]), np.concatenate([none, *b])
+
 
 def leaf_links(home: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within ``radius`` among home points and from queries to them."""
@@ -196,9 +207,8 @@ def leaf_links(home: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.nda
                 compare(home, query)
         else:
             stack += _sides(home, query, *split, radius)
-    root = points[forest.label]
-    linked = root != points
-    return points[linked], root[linked]
+    a, b = forest.links()
+    return points[a], points[b]
 
 
 def _leaf(radius: int):
@@ -215,8 +225,7 @@ def _leaf(radius: int):
 def links(points: DataFrame, radius: int) -> DataFrame:
     """``a, b``: links that join all distinct ``fp`` within ``radius`` bits, perhaps repeated.
 
-    Every such pair is connected by the returned links, and no link is longer than a chain of
-    such pairs.
+    Every returned link is such a pair, and every such pair is connected by returned links.
     """
     n = points.count()
     sample = points.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()  # bounded by SAMPLE
