@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listenlake.functions import scalars
+from listenlake.operators import ordered
+from listenlake.operators.ordered import OrderedRows
 from listenlake.operators.paging import first_of_each
 
 
@@ -177,26 +179,12 @@ def change_counts(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return changes.join(known, key, "left").groupBy(kind.alias("change")).agg(F.count(F.lit(1)).alias("affected"))
 
 
-def assign_ids(new_rows: DataFrame, existing: DataFrame, id_column: str, order: str, bucket: Column) -> DataFrame:
+def assign_ids(new_rows: DataFrame, existing: DataFrame, id_column: str, order: list[str]) -> DataFrame:
     """Ids for new rows, continuing after the largest existing one, in ``order``.
 
-    Rows are numbered inside buckets, and each bucket starts where the ones before it end.
-    ``bucket`` must grow with ``order`` (say, its value divided by a width), so the numbers
-    are the same on every run. The only unpartitioned window runs over one row per bucket.
+    Rows are dealt out by range and counted inside their part; each part starts where the parts
+    before it end, so what one task gathers is a row per part. ``order`` should identify a row.
     """
-    placed = new_rows.withColumn("_bucket", bucket)
-    sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     top = existing.agg(F.coalesce(F.max(id_column), F.lit(0))).scalar()
-    all_buckets = Window.partitionBy("_one").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        sizes.withColumn("_one", F.lit(1))
-        .withColumn("_before", F.coalesce(F.sum("_size").over(all_buckets), F.lit(0)))
-        .select("_bucket", (F.col("_before") + top).alias("_base"))
-    )
-    inside = Window.partitionBy("_bucket").orderBy(order)
-    return (
-        placed.withColumn("_n", F.row_number().over(inside))
-        .join(bases, "_bucket")
-        .withColumn(id_column, F.col("_base") + F.col("_n"))
-        .drop("_bucket", "_n", "_base")
-    )
+    numbered = OrderedRows.of(new_rows, [], order).add(_n=ordered.row_number()).frame()
+    return numbered.withColumn(id_column, F.col("_n") + top).drop("_n")

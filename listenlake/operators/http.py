@@ -109,15 +109,15 @@ def bucket_p(
     return rows.select("window_start", "endpoint", F.round(bucket_quantile(q, bounds), 6).alias("latency"))
 
 
-def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, **sizes) -> DataFrame:
+def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
     """Exact continuous quantile per group.
 
-    Equal values are counted first; the groups' values are then scanned in order (hot groups
-    in pieces) for the two whose ranks enclose the quantile. No group is held in memory.
+    Equal values are counted first; the groups' values are then scanned in order for the two whose ranks enclose the quantile. No group is held in memory.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    up_to = OrderedRows.of(counted, keys, [value], **sizes).add(_up_to=ordered.running_sum(F.col("_n"))).frame()
+    up_to = OrderedRows.of(counted, keys, [value]).add(_up_to=ordered.running_sum(F.col("_n"))).frame()
+    # A group's last running sum is its total.
+    totals = up_to.groupBy(*keys).agg(F.max("_up_to").alias("_total"))
     at = (F.col("_total") - 1) * q
     first = F.col("_up_to") - F.col("_n")
 
@@ -125,8 +125,11 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, **sizes
         return (first <= rank) & (rank < F.col("_up_to"))
 
     low, high = F.floor(at), F.ceil(at)
+    # Null-safe, so that a null key keeps its quantile.
+    named = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_total")
+    same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]
     return (
-        up_to.join(totals, keys)
+        up_to.join(named, same)
         .where(holds(low) | holds(high))
         .groupBy(*keys)
         .agg(
@@ -138,7 +141,7 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, **sizes
     )
 
 
-def exact_p(requests: DataFrame, q: float = 0.95, length: str = "5 minutes", **sizes) -> DataFrame:
+def exact_p(requests: DataFrame, q: float = 0.95, length: str = "5 minutes") -> DataFrame:
     """Exact latency quantile by endpoint and window."""
     placed = requests.select(F.window("ts", length)["start"].alias("window_start"), "endpoint", "duration_s")
-    return exact_quantile(placed, ["window_start", "endpoint"], "duration_s", q, **sizes)
+    return exact_quantile(placed, ["window_start", "endpoint"], "duration_s", q)

@@ -1,30 +1,22 @@
 """Ordered scans over groups of any size.
 
 ``row_number``, ``lag``, ``lead``, running sums and "last value seen" are window functions,
-and a window puts a whole group into one task. That is fine until one session or playlist
-holds a large part of the table. ``OrderedRows`` keeps the plain window for ordinary groups
-and splits the others: their rows are range-partitioned on (group, order), every partition
-is scanned on its own, and what must cross a partition border (a count, a sum, a last value)
-is carried by a scan over one summary row per (partition, group).
+and a window puts a whole group into one task, however large the group is. ``OrderedRows``
+range-partitions all rows on (group, order) instead, scans every part of a group on its own,
+and carries what must cross a border (a count, a sum, a last value) by a scan over one summary
+row per (partition, group). Small and large groups go the same way, so a group's parts are as
+large as a partition at most, and a group has as many parts as partitions it touches.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listenlake.session import freeze, planned_bytes
-
-#: A group above this many rows is scanned in pieces.
-HOT_ROWS = 5_000_000
-#: Inputs planned below this size cannot hold a group worth splitting.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-#: More pieces than this cost more in shuffle blocks than they save.
-MOST_PIECES = 20_000
+from listenlake.session import freeze
 
 _CHUNK = "_chunk"
 
@@ -95,57 +87,27 @@ class OrderedRows:
 
     keys: list[str]
     order: list[str]
-    plain: DataFrame
-    split: DataFrame | None = None
+    rows: DataFrame
 
     @classmethod
-    def of(
-        cls,
-        df: DataFrame,
-        keys: list[str],
-        order: list[str],
-        hot_rows: int = HOT_ROWS,
-        small_input_bytes: int = SMALL_INPUT_BYTES,
-    ) -> OrderedRows:
-        if planned_bytes(df) <= small_input_bytes:
-            return cls(keys, order, df)
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-        hot = freeze(counts, "hot-groups")
-        rows = hot.agg(F.sum("_n")).first()[0]
-        if rows is None:
-            return cls(keys, order, df)
-        pieces = min(MOST_PIECES, 2 * math.ceil(rows / hot_rows))
-        hot = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
-        same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-        split = (
-            df.join(hot, same, "left_semi")
-            .repartitionByRange(pieces, *[F.col(k) for k in keys], *order_columns(order))
-            .withColumn(_CHUNK, F.spark_partition_id())
-        )
-        # The range bounds are sampled, so the pieces are fixed before they are read twice.
-        return cls(keys, order, df.join(hot, same, "left_anti"), freeze(split, "ordered-pieces"))
+    def of(cls, df: DataFrame, keys: list[str], order: list[str]) -> OrderedRows:
+        """Deal rows out in order; this writes them, as the sampled borders must not change afterwards."""
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order_columns(order))
+        return cls(keys, order, freeze(dealt.withColumn(_CHUNK, F.spark_partition_id()), "ordered-rows"))
 
     def map(self, change: Callable[[DataFrame], DataFrame]) -> OrderedRows:
         """Apply a row-wise change that keeps keys and order columns."""
-        return replace(
-            self,
-            plain=change(self.plain),
-            split=None if self.split is None else change(self.split),
-        )
+        return replace(self, rows=change(self.rows))
+
+    def frame(self) -> DataFrame:
+        return self.rows.drop(_CHUNK)
 
     def add(self, **scans: Scan) -> OrderedRows:
         """Add one column per scan, all in the same pass."""
-        window = Window.partitionBy(*self.keys).orderBy(*order_columns(self.order))
-        plain = self.plain.withColumns({n: _local(s, window) for n, s in scans.items()})
-        split = None if self.split is None else self._add_split(scans)
-        return replace(self, plain=plain, split=split)
-
-    def frame(self) -> DataFrame:
-        if self.split is None:
-            return self.plain
-        return self.plain.unionByName(self.split.drop(_CHUNK))
+        return replace(self, rows=self._scanned(scans))
 
-    def _add_split(self, scans: dict[str, Scan]) -> DataFrame:
+    def _scanned(self, scans: dict[str, Scan]) -> DataFrame:
         window = Window.partitionBy(_CHUNK, *self.keys).orderBy(*order_columns(self.order))
         local = {f"_l_{n}": _local(s, window) for n, s in scans.items()}
         # What a piece hands on: its running value at its last row, or a border row's value.
@@ -155,7 +117,7 @@ class OrderedRows:
             else local[f"_l_{n}"]
             for n, s in scans.items()
         }
-        scanned = self.split.withColumns(
+        scanned = self.rows.withColumns(
             {
                 **local,
                 **handed,
@@ -201,4 +163,4 @@ class OrderedRows:
                 results[n] = F.when(F.col("_first"), carry["v"]).otherwise(here)
             else:
                 results[n] = F.when(F.col("_last"), carry["v"]).otherwise(here)
-        return joined.select(*self.split.columns, *[c.alias(n) for n, c in results.items()])
+        return joined.select(*self.rows.columns, *[c.alias(n) for n, c in results.items()])

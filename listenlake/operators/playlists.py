@@ -117,20 +117,20 @@ def next_positions(playlist_tracks: DataFrame) -> DataFrame:
     )
 
 
-def renumber(playlist_tracks: DataFrame, base: int = 0, **sizes) -> DataFrame:
+def renumber(playlist_tracks: DataFrame, base: int = 0) -> DataFrame:
     """Consecutive positions from ``base``, in the old order."""
-    rows = OrderedRows.of(playlist_tracks, ["playlist_id"], ["position", "track_id", "added_at"], **sizes)
+    rows = OrderedRows.of(playlist_tracks, ["playlist_id"], ["position", "track_id", "added_at"])
     numbered = rows.add(_n=ordered.row_number()).frame()
     return numbered.withColumn("position", F.col("_n") - 1 + base).drop("_n")
 
 
-def remove_and_renumber(playlist_tracks: DataFrame, removals: DataFrame, base: int = 0, **sizes) -> DataFrame:
+def remove_and_renumber(playlist_tracks: DataFrame, removals: DataFrame, base: int = 0) -> DataFrame:
     """Remove (playlist, track) rows, then close the gaps."""
     kept = playlist_tracks.join(removals.select("playlist_id", "track_id"), ["playlist_id", "track_id"], "left_anti")
-    return renumber(kept, base, **sizes)
+    return renumber(kept, base)
 
 
-def append(playlist_tracks: DataFrame, additions: DataFrame, **sizes) -> DataFrame:
+def append(playlist_tracks: DataFrame, additions: DataFrame) -> DataFrame:
     """Positions for new tracks after each playlist's last one.
 
     A track already in the playlist is refused; one requested twice is added once, at its
@@ -139,7 +139,7 @@ def append(playlist_tracks: DataFrame, additions: DataFrame, **sizes) -> DataFra
     wanted = additions.groupBy("playlist_id", "track_id").agg(F.min("added_at").alias("added_at"))
     fresh = wanted.join(playlist_tracks.select("playlist_id", "track_id"), ["playlist_id", "track_id"], "left_anti")
     numbered = (
-        OrderedRows.of(fresh, ["playlist_id"], ["added_at", "track_id"], **sizes).add(_n=ordered.row_number()).frame()
+        OrderedRows.of(fresh, ["playlist_id"], ["added_at", "track_id"]).add(_n=ordered.row_number()).frame()
     )
     return (
         numbered.join(next_positions(playlist_tracks), "playlist_id", "left")

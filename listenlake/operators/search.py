@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from listenlake.functions.rules import check_any_filter, check_page
 from listenlake.functions.scalars import fingerprint
 from listenlake.operators import ordered, paging
-from listenlake.operators.ordered import OrderedRows
 from listenlake.session import freeze
 
 # Token pattern, BM25 parameters, edit budget by token length.
@@ -250,7 +249,7 @@ def weighted_terms(expansions: DataFrame, words: DataFrame) -> DataFrame:
     near = 1 - F.col("distance") / F.least(F.char_length("query_token"), F.char_length("token"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return expansions.join(words, ["field", "token"]).select(
-        "field", "query_token", "token", "mean_length", (idf * near).alias("weight")
+        "field", "query_token", "token", "mean_length", "df", (idf * near).alias("weight")
     )
 
 
@@ -260,20 +259,41 @@ def term_score() -> Column:
     return F.col("weight") * F.col("tf") / (F.col("tf") + norm)
 
 
-def text_scores(asked: DataFrame, index: SearchIndex) -> DataFrame:
-    """(body, track_id, score, fields): BM25 sums and the number of text clauses met.
+def wanted_terms(asked: DataFrame, index: SearchIndex) -> DataFrame:
+    """Terms that each text clause accepts, and whether the clause is its body's rarest.
 
-    ``asked`` holds (body, field, query_token, times).
+    ``asked`` holds (body, field, query_token, times). The rarest clause has the fewest
+    postings; bodies in which some clause accepts no term at all are left out.
     """
     terms = weighted_terms(expand(asked, index.keys), index.words)
     wanted = asked.join(terms, ["field", "query_token"])
-    hits = wanted.join(index.postings, ["field", "token"]).select(
-        "body", "field", "track_id", (F.col("times") * term_score()).alias("score")
-    )
-    return hits.groupBy("body", "track_id").agg(
-        F.sum("score").alias("score"),
-        (F.max((F.col("field") == "title").cast("int")) + F.max((F.col("field") == "artist_name").cast("int"))).alias("fields"),
+    clauses = asked.groupBy("body").agg(F.count_distinct("field").alias("given"))
+    costs = wanted.groupBy("body", "field").agg(F.sum("df").alias("cost"))
+    rarest = costs.groupBy("body").agg(F.min_by("field", F.struct("cost", "field")).alias("rarest"), F.count("*").alias("met"))
+    known = rarest.join(clauses, "body").where("met = given").select("body", "rarest")
+    return wanted.join(known, "body").withColumn("first", F.col("field") == F.col("rarest")).drop("rarest", "df")
+
+
+def rarest_scores(wanted: DataFrame, index: SearchIndex) -> DataFrame:
+    """(body, track_id, score): documents that meet the body's rarest clause, with that clause's BM25."""
+    hits = wanted.where("first").join(index.postings, ["field", "token"])
+    return hits.groupBy("body", "track_id").agg(F.sum(F.col("times") * term_score()).alias("score"))
+
+
+def add_other_scores(candidates: DataFrame, wanted: DataFrame, index: SearchIndex) -> DataFrame:
+    """Candidates that meet their body's other clause too, where there is one, scores added."""
+    others = wanted.where("NOT first")
+    asked = candidates.join(others.select("body").distinct(), "body", "left_semi")
+    hits = (
+        asked.select("body", "track_id")
+        .join(others, "body")
+        .join(index.postings, ["field", "token", "track_id"])
+        .groupBy("body", "track_id")
+        .agg(F.sum(F.col("times") * term_score()).alias("more"))
     )
+    both = asked.join(hits, ["body", "track_id"]).select("body", "track_id", (F.col("score") + F.col("more")).alias("score"))
+    alone = candidates.join(others.select("body").distinct(), "body", "left_anti")
+    return alone.select("body", "track_id", "score").unionByName(both)
 
 
 # -- answering -------------------------------------------------------------------------
@@ -356,22 +376,28 @@ def matches(bodies: DataFrame, index: SearchIndex, text: bool = True, plain: boo
 
     ``text`` and ``plain`` tell whether bodies with and without text clauses occur.
     """
-    sized = bodies.withColumn("needed", _text_clauses())
     found = []
     if text:
-        scores = text_scores(_asked_tokens(bodies), index).join(sized.select("body", "needed"), "body")
-        found.append(scores.where("fields = needed").select("body", "track_id", "score"))
+        wanted = wanted_terms(_asked_tokens(bodies), index)
+        checked = _checked(rarest_scores(wanted, index), bodies, index)
+        found.append(add_other_scores(checked, wanted, index))
     if plain:
-        found.append(_filter_candidates(sized.where("needed = 0"), index.documents))
-    candidates = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    checked = (
+        bare = bodies.where(_text_clauses() == 0)
+        found.append(_checked(_filter_candidates(bare, index.documents), bodies, index))
+    all_found = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    # Rounding makes equal scores equal whatever the order of summing.
+    return all_found.withColumn("score", F.round("score", 6))
+
+
+def _checked(candidates: DataFrame, bodies: DataFrame, index: SearchIndex) -> DataFrame:
+    """Candidates (body, track_id, score) that pass every filter of their body."""
+    return (
         candidates.alias("c")
         .join(index.documents.alias("d"), F.col("c.track_id") == F.col("d.track_id"))
         .join(bodies.alias("r"), F.col("c.body") == F.col("r.body"))
         .where(_passes())
+        .select("c.body", "c.track_id", "c.score")
     )
-    # Rounding makes equal scores equal whatever the order of summing.
-    return checked.select("c.body", "c.track_id", F.round("c.score", 6).alias("score"))
 
 
 def _text_clauses() -> Column:
@@ -389,28 +415,19 @@ def _asked_tokens(bodies: DataFrame) -> DataFrame:
     return words.groupBy("body", "field", "query_token").agg(F.count(F.lit(1)).alias("times"))
 
 
-def answer(
-    requests: DataFrame,
-    index: SearchIndex,
-    deepest: int | None = None,
-    text: bool = True,
-    plain: bool = True,
-    **sizes,
-) -> DataFrame:
+def answer(requests: DataFrame, index: SearchIndex, text: bool = True, plain: bool = True) -> DataFrame:
     """Answer a table of requests: (request_id, rank, track_id, score, total).
 
-    Equal requests are answered once. ``deepest`` (the largest page × page_size asked for)
-    lets Spark drop rows below it before the shuffle; without it all matches are ranked.
+    Equal requests are answered once. Rows below the deepest page asked for are dropped in each
+    task before the shuffle; that depth is read from the requests when this is called, and the
+    matches are written, so building the answer starts jobs.
     """
     stamped = requests.withColumn("body", fingerprint(_CLAUSES))
     bodies = stamped.select("body", *_CLAUSES).dropDuplicates(["body"])
     found = freeze(matches(bodies, index, text, plain), "search-matches")
     totals = found.groupBy("body").agg(F.count(F.lit(1)).alias("total"))
-    order = ["-score", "track_id"]
-    if deepest is None:
-        ranked = OrderedRows.of(found, ["body"], order, **sizes).add(rank=ordered.row_number()).frame()
-    else:
-        ranked = paging.top_of_each(found, ["body"], order, deepest)
+    deepest = requests.agg(F.max(F.col("page") * F.col("page_size"))).first()[0] or 0
+    ranked = paging.top_of_each(found, ["body"], ["-score", "track_id"], int(deepest))
     shown = (F.col("rank") > (F.col("page") - 1) * F.col("page_size")) & (F.col("rank") <= F.col("page") * F.col("page_size"))
     return (
         stamped.select("request_id", "body", "page", "page_size")
@@ -425,5 +442,5 @@ def search(index: SearchIndex, request: SearchRequest) -> DataFrame:
     """One request's page of documents, best first, with the total number of matches."""
     asked = request.frame(index.documents.sparkSession)
     text = bool(request.title or request.artist_name)
-    found = answer(asked, index, request.page * request.page_size, text=text, plain=not text)
+    found = answer(asked, index, text=text, plain=not text)
     return found.drop("request_id").join(index.documents, "track_id").orderBy("rank")

@@ -33,8 +33,8 @@ ALLOWED_BEFORE = {
 }
 
 
-def _rows(events: DataFrame, **sizes) -> OrderedRows:
-    return OrderedRows.of(events, ["session_id"], ORDER, **sizes)
+def _rows(events: DataFrame) -> OrderedRows:
+    return OrderedRows.of(events, ["session_id"], ORDER)
 
 
 def starts(events: DataFrame) -> DataFrame:
@@ -56,9 +56,9 @@ def enrich(events: DataFrame) -> DataFrame:
     )
 
 
-def timeline(events: DataFrame, **sizes) -> DataFrame:
+def timeline(events: DataFrame) -> DataFrame:
     """Ordinal, neighbouring events and gaps in seconds."""
-    rows = _rows(events.select("session_id", "event_id", "event_type", "timestamp"), **sizes).add(
+    rows = _rows(events.select("session_id", "event_id", "event_type", "timestamp")).add(
         ordinal=ordered.row_number(),
         previous_event=ordered.previous(F.col("event_type")),
         next_event=ordered.following(F.col("event_type")),
@@ -68,20 +68,20 @@ def timeline(events: DataFrame, **sizes) -> DataFrame:
     return rows.frame().withColumn("gap_seconds", F.round(gap, 3)).drop("previous_at")
 
 
-def effective_bitrate(events: DataFrame, **sizes) -> DataFrame:
+def effective_bitrate(events: DataFrame) -> DataFrame:
     """Bitrate in force at each event: the start value, then the last switch."""
     slim = events.select("session_id", "event_id", "event_type", "timestamp", "bitrate", "new_bitrate")
     return (
-        _rows(slim, **sizes)
+        _rows(slim)
         .add(effective_bitrate=ordered.last_seen(F.coalesce("new_bitrate", "bitrate")))
         .frame()
         .drop("bitrate", "new_bitrate")
     )
 
 
-def bitrate_at_acks(events: DataFrame, **sizes) -> DataFrame:
+def bitrate_at_acks(events: DataFrame) -> DataFrame:
     """The bitrate in force when each acknowledgement arrived."""
-    acks = effective_bitrate(events, **sizes).where(F.col("event_type") == "ChunksAckEvent")
+    acks = effective_bitrate(events).where(F.col("event_type") == "ChunksAckEvent")
     return acks.select("session_id", "event_id", "timestamp", "effective_bitrate")
 
 
@@ -92,7 +92,7 @@ def _case(value: Column, mapping: dict, wrap=F.lit) -> Column:
     return chosen
 
 
-def states(events: DataFrame, **sizes) -> DataFrame:
+def states(events: DataFrame) -> DataFrame:
     """State before and after each event, and whether the event was legal there.
 
     A start leads to STARTED, a pause to PAUSED, a resume to STARTED, a stop to STOPPED;
@@ -101,7 +101,7 @@ def states(events: DataFrame, **sizes) -> DataFrame:
     """
     slim = events.select("session_id", "event_id", "event_type", "timestamp")
     reached = _case(F.col("event_type"), STATE_AFTER)
-    rows = _rows(slim, **sizes).add(
+    rows = _rows(slim).add(
         _before=ordered.last_before(reached),
         state_after=ordered.last_seen(reached),
     )
@@ -117,25 +117,25 @@ def states(events: DataFrame, **sizes) -> DataFrame:
 
 
 def sessionize(
-    events: DataFrame, key: str, ts: str, tie: str, idle_seconds: int = IDLE_SECONDS, **sizes
+    events: DataFrame, key: str, ts: str, tie: str, idle_seconds: int = IDLE_SECONDS
 ) -> DataFrame:
     """Cut each key's events into visits separated by at least ``idle_seconds`` of silence."""
-    rows = OrderedRows.of(events, [key], [ts, tie], **sizes).add(_previous=ordered.previous(F.col(ts)))
+    rows = OrderedRows.of(events, [key], [ts, tie]).add(_previous=ordered.previous(F.col(ts)))
     idle = F.unix_micros(ts) - F.unix_micros("_previous") >= idle_seconds * 1_000_000
     opens = F.when(F.col("_previous").isNull() | idle, 1).otherwise(0)
     return rows.add(visit=ordered.running_sum(opens)).frame().drop("_previous")
 
 
-def visits(events: DataFrame, key: str, ts: str, tie: str, idle_seconds: int = IDLE_SECONDS, **sizes) -> DataFrame:
+def visits(events: DataFrame, key: str, ts: str, tie: str, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     """One row per visit: first and last event and the number of events."""
     return (
-        sessionize(events.select(key, ts, tie), key, ts, tie, idle_seconds, **sizes)
+        sessionize(events.select(key, ts, tie), key, ts, tie, idle_seconds)
         .groupBy(key, "visit")
         .agg(F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.count(F.lit(1)).alias("events"))
     )
 
 
-def listening_time(events: DataFrame, **sizes) -> DataFrame:
+def listening_time(events: DataFrame) -> DataFrame:
     """Pauses and seconds listened net of pauses, per session.
 
     Time runs from a start or resume to the next start, pause, resume or stop; a pause lasts
@@ -144,7 +144,7 @@ def listening_time(events: DataFrame, **sizes) -> DataFrame:
     marks = events.where(F.col("event_type").isin(*STATE_AFTER)).select(
         "session_id", "event_id", "event_type", "timestamp"
     )
-    rows = _rows(marks, **sizes).add(_next=ordered.following(F.col("timestamp"))).frame()
+    rows = _rows(marks).add(_next=ordered.following(F.col("timestamp"))).frame()
     seconds = (F.unix_micros("_next") - F.unix_micros("timestamp")) / 1_000_000
     playing = F.col("event_type").isin("SessionStarted", "SessionResumed")
     paused = F.col("event_type") == "SessionPaused"

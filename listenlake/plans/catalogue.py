@@ -230,13 +230,12 @@ def dimension_change_counts(d):
 
 @query(
     "surrogate_keys",
-    """SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY event_id) AS playlist_id,
-              event_id, user_id FROM events WHERE event_type = 'signup'""",
+    """SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY ts, event_id) AS playlist_id,
+              event_id, user_id FROM events""",
 )
 def surrogate_keys(d):
-    created = d.table("events").where(F.col("event_type") == "signup").select("event_id", "user_id")
-    bucket = F.floor(F.col("event_id") / 4096)
-    return catalog.assign_ids(created, d.playlists(), "playlist_id", "event_id", bucket)
+    created = d.table("events").select("event_id", "user_id", "ts")
+    return catalog.assign_ids(created, d.playlists(), "playlist_id", ["ts", "event_id"]).drop("ts")
 
 
 # -- row quality -----------------------------------------------------------------------------
@@ -358,9 +357,14 @@ def referenced_adds(d):
 
 @query("point_lookup", ctes("users") + "SELECT * FROM users WHERE user_id = 42 OR email = 'user7.1500@example.com' OR username = 'machinery1'")
 def point_lookup(d):
-    return d.users().where(
-        (F.col("user_id") == 42) | (F.col("email") == "user7.1500@example.com") | (F.col("username") == "machinery1")
+    # Three lookups, so that the one by id reaches the scan; a user found twice comes out once.
+    users = d.users()
+    by_id = users.where(F.col("user_id") == 42)
+    by_email = users.where((F.col("user_id") != 42) & (F.col("email") == "user7.1500@example.com"))
+    by_name = users.where(
+        (F.col("user_id") != 42) & (F.col("email") != "user7.1500@example.com") & (F.col("username") == "machinery1")
     )
+    return by_id.unionByName(by_email).unionByName(by_name)
 
 
 @query(

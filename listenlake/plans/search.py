@@ -177,4 +177,4 @@ def search_filters_only(d):
     FROM stamped JOIN ranked USING (body) WHERE rank > (page - 1) * page_size AND rank <= page * page_size""",
 )
 def search_batch(d):
-    return search.answer(d.search_requests(), _index(d), deepest=40)
+    return search.answer(d.search_requests(), _index(d))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +28,22 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder, as the session names it.
+
+    Only a session on a local master may do without: driver and executors are then one process
+    and a temporary folder is seen by both. Anywhere else that would lose data, so it is an error.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    context_dir = spark.sparkContext.getCheckpointDir()
-    if context_dir is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="listenlake-"))
-        context_dir = spark.sparkContext.getCheckpointDir()
-    return context_dir.rstrip("/")
+    return _local_dir(spark.sparkContext.master, spark.sparkContext.setCheckpointDir, spark.sparkContext.getCheckpointDir)
+
+
+def _local_dir(master: str, set_dir: Callable[[str], None], get_dir: Callable[[], str]) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all of {master} can see")
+    set_dir(tempfile.mkdtemp(prefix="listenlake-"))
+    return get_dir().rstrip("/")
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
@@ -53,7 +62,11 @@ def freeze(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate for a frame, taken without running it."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+def drop_staged(spark: SparkSession, path: str | None = None) -> None:
+    """Remove one staged table, or all that this application has staged, once nothing reads them."""
+    root = f"{shared_dir(spark)}/listenlake/{spark.sparkContext.applicationId}"
+    path = path or root
+    if not path.startswith(root):
+        raise ValueError(f"{path} was not staged by this application")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,16 +1,15 @@
 """Ordered scans: groups scanned in pieces give what one window gives."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from listenlake.operators import ordered, playlists, sessions
 from listenlake.operators.ordered import OrderedRows
 
-SPLIT = {"hot_rows": 5, "small_input_bytes": 0}
-
-
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = random.Random(7)
@@ -23,68 +22,61 @@ def rows(spark):
     return spark.createDataFrame(data, "k string, t int, id int, v int, s string").repartition(4)
 
 
-def _scan(df, order, **sizes):
-    return (
-        OrderedRows.of(df, ["k"], order, **sizes)
-        .add(
-            number=ordered.row_number(),
-            total=ordered.running_sum(F.col("v")),
-            last=ordered.last_seen(F.col("v")),
-            before=ordered.last_before(F.col("s")),
-            prev=ordered.previous(F.col("s")),
-            next=ordered.following(F.col("v")),
-        )
-        .frame()
-    )
-
-
-@pytest.mark.parametrize("order", [["t", "id"], ["-t", "id"], ["t", "-id"]])
-def test_pieces_equal_whole_groups(rows, order):
-    split = sorted(map(str, _scan(rows, order, **SPLIT).collect()))
-    whole = sorted(map(str, _scan(rows, order).collect()))
-    assert split == whole
+def _scans():
+    return {
+        "number": ordered.row_number(),
+        "total": ordered.running_sum(F.col("v")),
+        "last": ordered.last_seen(F.col("v")),
+        "before": ordered.last_before(F.col("s")),
+        "prev": ordered.previous(F.col("s")),
+        "next": ordered.following(F.col("v")),
+    }
 
 
-def test_hot_groups_are_found_and_cut(rows):
-    scans = OrderedRows.of(rows, ["k"], ["t", "id"], **SPLIT)
-    assert scans.split is not None
-    assert {r["k"] for r in scans.split.select("k").distinct().collect()} == {"hot", "a", "b", None, "six"}
-    assert scans.split.where("k = 'hot'").select("_chunk").distinct().count() > 1
-    assert scans.plain.select("k").distinct().collect()[0]["k"] == "single"
+def _whole(df, order):
+    """The same scans, each group in one window."""
+    window = Window.partitionBy("k").orderBy(*ordered.order_columns(order))
+    return df.withColumns({n: ordered._local(s, window) for n, s in _scans().items()})
 
 
-def test_second_scan_on_pieces(rows):
-    def visits(**sizes):
-        df = rows.withColumn("ts", F.timestamp_seconds(F.col("t") * 600))
-        return sorted(map(str, sessions.sessionize(df, "k", "ts", "id", 1200, **sizes).collect()))
-
-    assert visits(**SPLIT) == visits()
-
-
-def test_session_scans_on_pieces(spark):
-    rng = random.Random(3)
-    types = list(sessions.ALLOWED_BEFORE)
-    data = [
-        ("hot" if rng.random() < 0.5 else f"s{rng.randint(0, 9)}", i, rng.choice(types), rng.randint(0, 50),
-         rng.choice([None, 128]), rng.choice([None, 320]))
-        for i in range(300)
-    ]
-    events = spark.createDataFrame(
-        data, "session_id string, event_id int, event_type string, at int, bitrate int, new_bitrate int"
-    ).withColumn("timestamp", F.timestamp_seconds("at"))
-    for scan in (sessions.timeline, sessions.effective_bitrate, sessions.states, sessions.listening_time):
-        assert sorted(map(str, scan(events, **SPLIT).collect())) == sorted(map(str, scan(events).collect()))
+@pytest.mark.parametrize("order", [["t", "id"], ["-t", "id"], ["t", "-id"]])
+def test_parts_equal_whole_groups(rows, order):
+    parts = sorted(map(str, OrderedRows.of(rows, ["k"], order).add(**_scans()).frame().collect()))
+    assert parts == sorted(map(str, _whole(rows, order).collect()))
+
+
+def test_groups_are_cut_and_no_window_holds_a_group(rows):
+    scans = OrderedRows.of(rows, ["k"], ["t", "id"])
+    assert scans.rows.where("k = 'hot'").select("_chunk").distinct().count() > 1
+    plan = scans.add(**_scans()).frame()._jdf.queryExecution().optimizedPlan().toString()
+    partitioned = [line for line in plan.splitlines() if re.search(r"Window \[", line)]
+    # Only the scan over one row for each part of a group is partitioned by the group alone.
+    whole = [line for line in partitioned if not re.search(r"\], \[_chunk#\d+, k#\d+\], \[", line)]
+    assert len(partitioned) > len(whole) and all("_h_" in line for line in whole)
+
+
+def test_second_scan_on_parts(rows):
+    df = rows.withColumn("ts", F.timestamp_seconds(F.col("t") * 600))
+    got = {(r["k"], r["id"]): r["visit"] for r in sessions.sessionize(df, "k", "ts", "id", 1200).collect()}
+    by_key = {}
+    for r in rows.collect():
+        by_key.setdefault(r["k"], []).append((r["t"] * 600, r["id"]))
+    for key, own in by_key.items():
+        visit, before = 0, None
+        for ts, id_ in sorted(own):
+            visit += before is None or ts - before >= 1200
+            assert got[(key, id_)] == visit
+            before = ts
 
 
 def test_renumbering_is_a_permutation(spark):
     rng = random.Random(5)
     data = [(rng.choice([1, 1, 2]), i, rng.randint(0, 99)) for i in range(200)]
     tracks = spark.createDataFrame(data, "playlist_id int, track_id int, position int").withColumn("added_at", F.lit(0))
-    for sizes in ({}, SPLIT):
-        result = playlists.renumber(tracks, **sizes).collect()
-        for playlist in (1, 2):
-            mine = [r for r in result if r["playlist_id"] == playlist]
-            assert sorted(r["position"] for r in mine) == list(range(len(mine)))
-            old = {t: (p, t) for k, t, p in data if k == playlist}
-            in_order = [r["track_id"] for r in sorted(mine, key=lambda r: r["position"])]
-            assert in_order == sorted(in_order, key=lambda t: old[t])
+    result = playlists.renumber(tracks).collect()
+    for playlist in (1, 2):
+        mine = [r for r in result if r["playlist_id"] == playlist]
+        assert sorted(r["position"] for r in mine) == list(range(len(mine)))
+        old = {t: (p, t) for k, t, p in data if k == playlist}
+        in_order = [r["track_id"] for r in sorted(mine, key=lambda r: r["position"])]
+        assert in_order == sorted(in_order, key=lambda t: old[t])

@@ -110,10 +110,10 @@ def test_pages_and_total(index):
     assert [(r["rank"], r["track_id"], r["total"]) for r in rows] == [(3, 3, 3)]
 
 
-def test_ranking_without_a_depth_bound(spark, index):
+def test_requests_of_several_depths(spark, index):
     requests = search.SearchRequest(title="red", page_size=1).frame(spark)
     requests = requests.unionByName(requests.withColumn("request_id", F.lit(1).cast("long")).withColumn("page", F.lit(2)))
-    rows = search.answer(requests, index, hot_rows=1, small_input_bytes=0).collect()
+    rows = search.answer(requests, index).collect()
     assert {(r["request_id"], r["rank"], r["track_id"]) for r in rows} == {(0, 1, 3), (1, 2, 2)}
 
 
