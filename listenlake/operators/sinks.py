@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,14 +55,23 @@ def split_failures(df: DataFrame, key: str, required: list[str]) -> tuple[DataFr
     return marked.where(F.size("lacking") == 0).drop("lacking"), marked.where(F.size("lacking") > 0)
 
 
+#: The writer name of compacted rows; it holds a character no other writer's name may have.
+BASE = "~base"
+
+
 @dataclass(frozen=True)
 class KeyedTable:
     """A table with one current row per key, kept as appended batches of changes.
 
     A batch goes to its own folder and overwrites it when replayed, so a batch written twice
-    counts once; ``writer`` keeps the batches of several queries apart. Reading takes the
-    newest row per key with one partial aggregation: newest by ``version`` when the table
-    names such a column, then by batch. ``compact`` writes the current rows as a new table;
+    counts once; ``writer`` keeps the batches of several queries apart. Reading takes one row
+    per key with one partial aggregation. With a ``version`` column the largest version counts;
+    at equal versions a deletion wins, then the later batch, then the writer's name. Without
+    one, the later batch counts, then a deletion, then the writer's name, so batches of
+    several writers are only comparable where the caller numbers them together.
+
+    ``schema`` (of the rows) lets a table be read before its first batch is written. ``compact``
+    writes the current rows and the deletions as a new table, older than any batch to come;
     the old one stays whole for readers until the caller switches over.
     """
 
@@ -70,6 +79,7 @@ class KeyedTable:
     path: str
     keys: list[str]
     version: str | None = None
+    schema: str | None = None
 
     def upsert(self, df: DataFrame, batch_id: int, writer: str = "main") -> None:
         """Write one batch; it holds at most one row per key."""
@@ -77,27 +87,47 @@ class KeyedTable:
 
     def change(self, df: DataFrame, deleted: Column, batch_id: int, writer: str = "main") -> None:
         """Write one batch in which rows matching ``deleted`` remove their key."""
-        marked = df.withColumn("_deleted", F.coalesce(deleted, F.lit(False)))
+        if "~" in writer or "/" in writer:
+            raise ValueError(f"a writer may not be called {writer!r}")
+        self._write(df.withColumn("_deleted", F.coalesce(deleted, F.lit(False))), batch_id, writer)
+
+    def _write(self, marked: DataFrame, batch_id: int, writer: str) -> None:
         marked.write.mode("overwrite").parquet(f"{self.path}/writer={writer}/batch_id={batch_id}")
 
-    def read(self, without: tuple[str, int] | None = None) -> DataFrame:
-        """Current rows; ``without`` leaves out one writer's batch, for a writer that reads
-        the table and must see the same rows when its batch is replayed."""
+    def _stored(self) -> DataFrame:
+        if self.schema is not None and not self._exists():
+            rows = self.spark.createDataFrame([], self.schema)
+            return rows.withColumns(
+                {"_deleted": F.lit(False), "writer": F.lit(""), "batch_id": F.lit(0).cast("long")}
+            )
         stored = self.spark.read.option("basePath", self.path).parquet(f"{self.path}/writer=*")
-        if without is not None:
-            stored = stored.where(~((F.col("writer") == without[0]) & (F.col("batch_id") == without[1])))
+        return stored.withColumn("writer", F.col("writer").cast("string"))
+
+    def _exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def _newest(self) -> DataFrame:
+        """The row that counts of each key, deletions included."""
+        stored = self._stored()
         columns = [c for c in stored.columns if c not in (*self.keys, "_deleted", "writer", "batch_id")]
-        age = [F.col("batch_id").cast("long")]
+        batch = F.when(F.col("writer") == BASE, -1).otherwise(F.col("batch_id").cast("long"))
         if self.version:
-            age.insert(0, F.col(self.version))
-        newest = stored.groupBy(*self.keys).agg(
-            F.max_by(F.struct("_deleted", *columns), F.struct(*age)).alias("_row")
-        )
-        return newest.where(~F.col("_row._deleted")).select(*self.keys, *[F.col(f"_row.{c}") for c in columns])
+            age = [F.col(self.version), F.col("_deleted"), batch, F.col("writer")]
+        else:
+            age = [batch, F.col("_deleted"), F.col("writer")]
+        age = [c.alias(f"a{i}") for i, c in enumerate(age)]
+        newest = stored.groupBy(*self.keys).agg(F.max_by(F.struct("_deleted", *columns), F.struct(*age)).alias("_row"))
+        return newest.select(*self.keys, *[F.col(f"_row.{c}") for c in columns], "_row._deleted")
+
+    def read(self) -> DataFrame:
+        """Current rows."""
+        return self._newest().where(~F.col("_deleted")).drop("_deleted")
 
     def compact(self, path: str) -> KeyedTable:
-        compacted = KeyedTable(self.spark, path, self.keys, self.version)
-        compacted.upsert(self.read(), 0)
+        """A new table at ``path`` that reads the same, now and after further changes to it."""
+        compacted = replace(self, path=path)
+        compacted._write(self._newest(), 0, BASE)
         return compacted
 
 

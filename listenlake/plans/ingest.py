@@ -96,18 +96,10 @@ def protobuf_decode(d):
     S + f"SELECT {WIRE_ROW} FROM session_events",
 )
 def typed_union(d):
-    """One narrow frame per event type, united by name."""
-    rows = d.session_events()
-    parts = None
-    for event_type in wire.SESSION_TYPES:
-        fields = [f for f in wire.MESSAGES[event_type] if f != "timestamp"]
-        typed = rows.where(F.col("event_type") == event_type).select(
-            "event_type",
-            *[F.col(f).cast("string" if f in wire.TEXT_FIELDS else "long").alias(f) for f in fields],
-            "timestamp",
-        )
-        parts = typed if parts is None else parts.unionByName(typed, allowMissingColumns=True)
-    return parts
+    """Each event type's own columns, the others null, in one scan."""
+    text = d.session_events().withColumns({f: F.col(f).cast("string") for f in wire.TEXT_FIELDS if f in d.session_events().columns})
+    whole = text.withColumns({f: F.col(f).cast("long") for f in wire.INT_FIELDS if f in text.columns})
+    return wire.typed_union(whole.withColumn("problem", F.lit(None).cast("string")))
 
 
 @query(
@@ -219,7 +211,7 @@ UPSERT_SQL = CATALOG_CTES + """
 def upsert_docs(d):
     """Index all documents, rewrite the explicit ones, delete the long ones."""
     table = sinks.KeyedTable(d.spark, staging_path(d.spark, "documents"), ["track_id"])
-    docs = documents(d).select("track_id", "title", "duration_ms", "explicit")
+    docs = freeze(documents(d).select("track_id", "title", "duration_ms", "explicit"), "upserted")
     table.upsert(docs.drop("explicit"), 0)
     edited = docs.where("explicit").withColumn("title", F.concat("title", F.lit(" (edited)")))
     table.upsert(edited.drop("explicit"), 1)
@@ -231,7 +223,7 @@ def upsert_docs(d):
 @query("upsert_compacted", UPSERT_SQL)
 def upsert_compacted(d):
     table = sinks.KeyedTable(d.spark, staging_path(d.spark, "documents"), ["track_id"])
-    docs = documents(d).select("track_id", "title", "duration_ms", "explicit")
+    docs = freeze(documents(d).select("track_id", "title", "duration_ms", "explicit"), "upserted")
     table.upsert(docs.drop("explicit"), 0)
     edited = docs.withColumn("title", F.when(F.col("explicit"), F.concat("title", F.lit(" (edited)"))).otherwise(F.col("title")))
     table.change(edited.drop("explicit"), F.col("duration_ms") >= 400000, 1)
@@ -265,7 +257,7 @@ def topic_fanout(d):
     )
 
 
-@query("oltp_roundtrip", ctes("users") + "SELECT * FROM users")
-def oltp_roundtrip(d):
-    """Snapshot and append through files, standing in for the relational store."""
+@query("staged_snapshot", ctes("users") + "SELECT * FROM users")
+def staged_snapshot(d):
+    """Users written to the shared folder as Parquet and read back; no relational store is involved."""
     return freeze(d.users(), "users")

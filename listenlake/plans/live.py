@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from listenlake.operators import charts
 from listenlake.operators.sinks import KeyedTable
 from listenlake.plans import dashboard, ingest, sessions
 from listenlake.plans.http import P95_SQL
@@ -121,12 +122,12 @@ def stream_sent_vs_acked(d):
     return _update(d, live.daily_chunks(d.session_events(d.stream("events")), LATE), "stream-chunks", ["period"])
 
 
-# Sketch estimates are approximate; a tolerance check (tests) fits them.
-@query("stream_user_sketches")
+@query("stream_user_sketches", dashboard.CLOSE_SQL.format(unit="day", name="day"))
 def stream_user_sketches(d):
     events = d.stream("events").select(F.col("ts").cast("timestamp").alias("timestamp"), "user_id")
     sketches = _update(d, live.daily_users(events, LATE), "stream-users", ["day"])
-    return sketches.select("day", F.hll_sketch_estimate("users").alias("users"))
+    exact = charts.distinct_users(d.table("events").select(F.col("ts").cast("timestamp").alias("timestamp"), "user_id"))
+    return dashboard.closeness(sketches.select("day", F.hll_sketch_estimate("users").alias("estimate")), exact, "day")
 
 
 # -- sessions ------------------------------------------------------------------------------
@@ -166,12 +167,12 @@ def stream_session_states(d):
 # -- history and deletions -------------------------------------------------------------------
 
 
-def _history(d):
-    """Counted listens streamed into the history table; returns the table."""
+def _history(d, part="true", table=None):
+    """Counted listens of a part streamed into the history table; returns the table."""
     out = staging_path(d.spark, "stream-history")
-    table = KeyedTable(d.spark, f"{out}/rows", ["user_id", "track_id"], "timestamp")
+    table = table or KeyedTable(d.spark, f"{out}/rows", ["user_id", "track_id"], "timestamp")
     owners = d.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"))
-    listens = d.stream("lineitem").join(owners, "l_orderkey").select(
+    listens = d.stream("lineitem").where(part).join(owners, "l_orderkey").select(
         "user_id",
         F.col("l_partkey").alias("track_id"),
         F.col("l_quantity").cast("long").alias("total_chunks_sent"),
@@ -197,11 +198,41 @@ def stream_history(d):
 def stream_user_deletion(d):
     """Users of one segment are deleted as of a day; what they heard later stays."""
     table, out = _history(d)
+    return live.without_deleted(table.read(), _deletions(d, out))
+
+
+def _deletions(d, out):
+    """Deletions of one segment's users, streamed into their own table."""
     deleted = d.stream("customer").where("c_mktsegment = 'BUILDING'").select(
         F.col("c_custkey").alias("user_id"), F.expr("TIMESTAMP_NTZ '1999-01-01 00:00:00'").alias("timestamp")
     )
-    _finish(pipelines.each_batch(deleted, live.delete_users(table), f"{out}/deletions", once=True))
-    return table.read()
+    table = KeyedTable(d.spark, f"{out}/deleted", ["user_id"], "timestamp", "user_id long, timestamp timestamp_ntz")
+    assert table.read().isEmpty()
+    _finish(pipelines.each_batch(deleted, live.record_deletions(table), f"{out}/deletions", once=True))
+    return table
+
+
+@query(
+    "stream_late_listens",
+    HISTORY_CTES + """
+    SELECT h.* FROM history h JOIN customer ON c_custkey = user_id
+    WHERE NOT (c_mktsegment = 'BUILDING' AND "timestamp" <= TIMESTAMP '1999-01-01')""",
+)
+def stream_late_listens(d):
+    """As ``stream_user_deletion``, but all listens arrive after the deletions."""
+    out = staging_path(d.spark, "stream-late")
+    deletions = _deletions(d, out)
+    table, _ = _history(d)
+    return live.without_deleted(table.read(), deletions)
+
+
+@query("stream_history_compacted", HISTORY_CTES + "SELECT * FROM history")
+def stream_history_compacted(d):
+    """The history is compacted in mid-stream; the rest comes from a query that counts batches anew."""
+    table, out = _history(d, "l_linenumber > 3")
+    smaller = table.compact(f"{out}/compacted")
+    _history(d, "l_linenumber <= 3", smaller)
+    return smaller.read()
 
 
 # -- requests ------------------------------------------------------------------------------

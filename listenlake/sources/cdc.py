@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Row images of the three captured tables; times are micros since the epoch.
@@ -41,15 +41,23 @@ def read_lines(spark: SparkSession, folder: str, files_per_trigger: int | None =
     return reader.load(folder)
 
 
+def _image(row: str) -> str:
+    """A table's columns as a struct type."""
+    return f"struct<{', '.join(c.strip().replace(' ', ': ', 1) for c in ' '.join(row.split()).split(','))}>"
+
+
+def _payload(fields: str) -> Column:
+    """The given fields of an envelope; nothing else in it is parsed."""
+    return F.from_json(F.col("value").cast("string"), f"payload struct<{fields}>")["payload"]
+
+
 def changes(lines: DataFrame, row: str) -> DataFrame:
     """Envelopes with both row images and the kind of change; other columns are kept.
 
     A value that is no envelope gives nulls.
     """
-    flat = " ".join(row.split())
-    image = f"struct<{', '.join(c.strip().replace(' ', ': ', 1) for c in flat.split(','))}>"
-    envelope = f"schema string, payload struct<before: {image}, after: {image}, op: string>"
-    payload = F.from_json(F.col("value").cast("string"), envelope)["payload"]
+    image = _image(row)
+    payload = _payload(f"before: {image}, after: {image}, op: string")
     kept = [c for c in lines.columns if c != "value"]
     # Generated columns keep later filters above the parsing, so each value is parsed once.
     return lines.select(*kept, F.inline(F.array(payload)))
@@ -60,7 +68,8 @@ def parse(lines: DataFrame, row: str) -> DataFrame:
 
     Deletes, nulls and garbage have no new image and so no key; they are left out.
     """
-    after = changes(lines, row).select("after.*").where(F.col("event_id").isNotNull())
+    after = lines.select(F.inline(F.array(_payload(f"after: {_image(row)}")))).select("after.*")
+    after = after.where(F.col("event_id").isNotNull())
     return after.withColumn("timestamp", F.timestamp_micros("timestamp"))
 
 

@@ -128,17 +128,21 @@ def upsert_history(table: KeyedTable):
     return write
 
 
-def delete_users(table: KeyedTable):
-    """Writer for user deletions (user_id, timestamp): removes the users' rows.
+def record_deletions(deletions: KeyedTable):
+    """Writer for user deletions (user_id, timestamp) into a small table of the latest per user.
 
-    Rows newer than the deletion stay.
+    The history itself is not touched: ``without_deleted`` applies deletions when it is read,
+    so a listen older than its user's deletion stays away however late it arrives.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        gone = batch.groupBy("user_id").agg(F.max("timestamp").alias("_deleted_at"))
-        rows = table.read(without=("deletions", batch_id)).join(gone, "user_id").where(F.col(table.version) <= F.col("_deleted_at"))
-        table.change(
-            rows.withColumn(table.version, F.col("_deleted_at")).drop("_deleted_at"), F.lit(True), batch_id, "deletions"
-        )
+        deletions.upsert(batch.groupBy("user_id").agg(F.max("timestamp").alias("timestamp")), batch_id, "deletions")
 
     return write
+
+
+def without_deleted(rows: DataFrame, deletions: KeyedTable, at: str = "timestamp") -> DataFrame:
+    """Rows without those a deletion of their user covers; rows newer than it stay."""
+    gone = deletions.read().select("user_id", F.col("timestamp").alias("_deleted_at"))
+    kept = F.col("_deleted_at").isNull() | (F.col(at) > F.col("_deleted_at"))
+    return rows.join(gone, "user_id", "left").where(kept).drop("_deleted_at")

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from listenlake import session
 from listenlake.operators import changes, quality, sinks
 from listenlake.sources import cdc, files, wire
 
@@ -169,6 +170,38 @@ def test_keyed_table_replay_version_and_deletes(spark, tmp_path):
     table.change(rows((2, None, 9)), F.lit(True), 11)
     compacted = table.compact(str(tmp_path / "t2"))
     assert {(r["k"], r["v"]) for r in compacted.read().collect()} == {(1, "c")}
+    # A query with a fresh checkpoint counts its batches from 0 again; nothing compacted is lost.
+    compacted.upsert(rows((3, "n", 1)), 0)
+    assert {(r["k"], r["v"]) for r in compacted.read().collect()} == {(1, "c"), (3, "n")}
+    compacted.upsert(rows((1, "d", 1)), 1)
+    assert {(r["k"], r["v"]) for r in compacted.read().collect()} == {(1, "d"), (3, "n")}
+    with pytest.raises(ValueError):
+        compacted.upsert(rows((9, "x", 1)), 0, sinks.BASE)
+
+
+def test_compaction_keeps_deletions_and_their_version(spark, tmp_path):
+    def rows(*values):
+        return spark.createDataFrame(list(values), "k int, v string, at int")
+
+    table = sinks.KeyedTable(spark, str(tmp_path / "t"), ["k"], "at", "k int, v string, at int")
+    assert table.read().isEmpty()
+    table.upsert(rows((1, "a", 5), (2, "b", 5)), 0)
+    table.change(rows((1, None, 8)), F.lit(True), 0, "deletions")
+    compacted = table.compact(str(tmp_path / "t2"))
+    compacted.upsert(rows((1, "older", 7)), 0)
+    assert {(r["k"], r["v"]) for r in compacted.read().collect()} == {(2, "b")}
+    compacted.upsert(rows((1, "equal", 8)), 1)
+    assert {(r["k"], r["v"]) for r in compacted.read().collect()} == {(2, "b")}
+    compacted.upsert(rows((1, "newer", 9)), 2)
+    assert {(r["k"], r["v"]) for r in compacted.read().collect()} == {(1, "newer"), (2, "b")}
+
+
+def test_shared_folder_is_required_off_local_masters():
+    made = []
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            session._local_dir(master, made.append, lambda: made[-1])
+    assert not made and session._local_dir("local[4]", made.append, lambda: made[-1]) == made[0]
 
 
 def test_failed_documents_are_reported(spark):

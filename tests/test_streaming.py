@@ -159,11 +159,19 @@ def test_history_and_deletions(spark, tmp_path):
     gone = str(tmp_path / "gone")
     spark.createDataFrame([(2, day(5))], "user_id long, timestamp timestamp").write.parquet(gone)
     deletions = spark.readStream.schema("user_id long, timestamp timestamp").parquet(gone)
-    pipelines.each_batch(deletions, live.delete_users(table), str(tmp_path / "d"), once=True).awaitTermination()
-    assert {(r["user_id"], r["track_id"]) for r in table.read().collect()} == {(1, 1), (3, 3), (2, 9)}
+    deleted = KeyedTable(spark, str(tmp_path / "x"), ["user_id"], "timestamp", "user_id long, timestamp timestamp")
+
+    def left():
+        return {(r["user_id"], r["track_id"]) for r in live.without_deleted(table.read(), deleted).collect()}
+
+    assert left() == {(1, 1), (3, 3), (2, 1), (2, 9)}  # no deletion has been written yet
+    pipelines.each_batch(deletions, live.record_deletions(deleted), str(tmp_path / "d"), once=True).awaitTermination()
+    assert left() == {(1, 1), (3, 3), (2, 9)}
     # The same deletion batch written again, as after a crash before its commit.
-    live.delete_users(table)(spark.read.parquet(gone), 0)
-    assert {(r["user_id"], r["track_id"]) for r in table.read().collect()} == {(1, 1), (3, 3), (2, 9)}
+    live.record_deletions(deleted)(spark.read.parquet(gone), 0)
+    # A listen older than the deletion, arriving after it.
+    table.upsert(spark.createDataFrame([(2, 4, day(3))], "user_id long, track_id long, timestamp timestamp"), 0, "late")
+    assert left() == {(1, 1), (3, 3), (2, 9)}
 
 
 def test_three_capture_pipelines_with_their_own_checkpoints(spark, tmp_path):
