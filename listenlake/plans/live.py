@@ -10,7 +10,7 @@ from listenlake.plans.playlists import HISTORY_CTES
 from listenlake.plans.registry import query
 from listenlake.session import staging_path
 from listenlake.sources import cdc
-from listenlake.sources.domain import ctes
+from listenlake.sources.domain import STREAM_FILES, ctes
 from listenlake.streaming import live, pipelines
 from listenlake.streaming.session_machine import EXPIRED, live_states
 
@@ -43,8 +43,8 @@ def _update(d, rows, name, keys):
 def _captured(d, table, lines):
     """Land change lines as text, stream them through the table's pipeline."""
     out = staging_path(d.spark, f"stream-{table}")
-    lines.select("value").write.text(f"{out}/topic")
-    source = cdc.read_lines(d.spark, f"{out}/topic")
+    lines.select("value").repartition(STREAM_FILES).write.text(f"{out}/topic")
+    source = cdc.read_lines(d.spark, f"{out}/topic", files_per_trigger=1)
     _finish(pipelines.run_cdc({table: source}, f"{out}/rows", f"{out}/checkpoints", once=True)[table])
     return d.spark.read.parquet(f"{out}/rows/{table}")
 
@@ -73,9 +73,9 @@ def stream_cdc_users(d):
     return _captured(d, "users_events", d.user_cdc_lines())
 
 
-@query("stream_idempotent_sink", ctes("session_events") + """SELECT *, 0 AS batch_id FROM session_events""")
+@query("stream_idempotent_sink", ctes("session_events") + "SELECT * FROM session_events")
 def stream_idempotent_sink(d):
-    """Every batch in its own folder; the first batch is written twice on purpose."""
+    """Every batch in its own folder; each batch is written twice on purpose."""
     out = staging_path(d.spark, "stream-batches")
     write = pipelines.batch_folder(f"{out}/rows")
 
@@ -84,7 +84,9 @@ def stream_idempotent_sink(d):
         write(batch, batch_id)
 
     _finish(pipelines.each_batch(d.session_events(d.stream("events")), twice, f"{out}/checkpoint", once=True))
-    return d.spark.read.parquet(f"{out}/rows")
+    written = d.spark.read.parquet(f"{out}/rows")
+    assert written.select("batch_id").distinct().count() > 1
+    return written.drop("batch_id")
 
 
 @query("stream_dedup", "SELECT event_id, ts FROM events")
@@ -145,17 +147,15 @@ def stream_session_expiry(d):
     return _append(d, live.expired_sessions(events, "user_id", "ts", "1 hour", sessions.IDLE), "stream-expiry")
 
 
-@query(
-    "stream_enriched",
-    ctes("session_events") + """
-    SELECT e.event_id, e.event_type, e.session_id, e."timestamp", s."timestamp" AS started_at,
-           s.event_id AS start_event_id, s.user_id, s.track_id, s.bitrate
-    FROM session_events e JOIN session_events s ON s.session_id = e.session_id AND s.event_type = 'SessionStarted'
-     AND e.event_type <> 'SessionStarted' AND e."timestamp" BETWEEN s."timestamp" AND s."timestamp" + INTERVAL 6 hours""",
-)
+@query("stream_enriched", sessions.ENRICHED_SQL)
 def stream_enriched(d):
-    starts, events = (d.session_events(d.stream("events")) for _ in range(2))
-    return _append(d, live.enrich(starts, events, LATE, "6 HOURS"), "stream-enriched")
+    out = staging_path(d.spark, "stream-enriched")
+    starts = KeyedTable(d.spark, f"{out}/starts", ["session_id"], "first")
+    write = live.capture_sessions(starts, f"{out}/events")
+    _finish(pipelines.each_batch(d.session_events(d.stream("events")), write, f"{out}/checkpoint", once=True))
+    return live.enriched(d.spark.read.parquet(f"{out}/events"), starts).select(
+        "event_id", "session_id", "event_type", "user_id", "track_id", "start_bitrate"
+    )
 
 
 @query("stream_session_states", sessions.STATES_SQL)

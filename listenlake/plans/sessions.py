@@ -24,15 +24,15 @@ def session_timeline(d):
     return sessions.timeline(d.session_events())
 
 
-@query(
-    "session_enriched",
-    S + """
+ENRICHED_SQL = S + """
     , started AS (SELECT session_id, user_id, track_id, bitrate, row_number() OVER
                   (PARTITION BY session_id ORDER BY "timestamp", event_id) AS rn
                   FROM session_events WHERE event_type = 'SessionStarted')
     SELECT e.event_id, e.session_id, e.event_type, s.user_id, s.track_id, s.bitrate AS start_bitrate
-    FROM session_events e LEFT JOIN started s ON s.session_id = e.session_id AND rn = 1""",
-)
+    FROM session_events e LEFT JOIN started s ON s.session_id = e.session_id AND rn = 1"""
+
+
+@query("session_enriched", ENRICHED_SQL)
 def session_enriched(d):
     return sessions.enrich(d.session_events()).select(
         "event_id", "session_id", "event_type", "user_id", "track_id", "start_bitrate"

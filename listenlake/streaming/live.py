@@ -10,6 +10,7 @@ from listenlake.operators import history
 from listenlake.operators.http import DEFAULT_BOUNDS, bucket_counts, bucket_quantile
 from listenlake.operators.sessions import IDLE_SECONDS
 from listenlake.operators.sinks import KeyedTable
+from listenlake.streaming.pipelines import batch_folder
 
 
 def deduplicate(events: DataFrame, key: str, ts: str, lateness: str) -> DataFrame:
@@ -67,22 +68,34 @@ def expired_sessions(events: DataFrame, key: str, ts: str, lateness: str, idle_s
     )
 
 
-def enrich(starts: DataFrame, events: DataFrame, lateness: str, longest: str) -> DataFrame:
-    """Events with the user, track and bitrate of the starts of their session.
+def capture_sessions(starts: KeyedTable, path: str):
+    """Writer for session events: all of them to a folder per batch, first starts to ``starts``.
 
-    A start is kept in state for at most ``longest``, the bound on a session's length.
+    ``starts`` is keyed by session with the version ``first``, which is larger for earlier starts,
+    so a start that arrives late still becomes its session's first.
     """
-    s = starts.where("event_type = 'SessionStarted'").select(
-        F.col("session_id").alias("s_session"), F.col("timestamp").alias("started_at"),
-        F.col("event_id").alias("start_event_id"), "user_id", "track_id", "bitrate",
-    ).withWatermark("started_at", lateness)
-    e = events.where("event_type <> 'SessionStarted'").select("event_id", "event_type", "session_id", "timestamp")
-    inside = (
-        (F.col("session_id") == F.col("s_session"))
-        & (F.col("timestamp") >= F.col("started_at"))
-        & (F.col("timestamp") <= F.col("started_at") + F.expr(f"INTERVAL {longest}"))
-    )
-    return e.withWatermark("timestamp", lateness).join(s, inside).drop("s_session")
+    keep = batch_folder(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        first = F.struct(-F.unix_micros("timestamp"), -F.col("event_id"))
+        begun = batch.where(F.col("event_type") == "SessionStarted").groupBy("session_id").agg(
+            F.max(first).alias("first"),
+            F.max_by(F.struct("user_id", "track_id", "bitrate"), first).alias("start"),
+        )
+        starts.upsert(begun.select("session_id", "first", "start.*"), batch_id, "starts")
+        keep(batch, batch_id)
+
+    return write
+
+
+def enriched(events: DataFrame, starts: KeyedTable) -> DataFrame:
+    """Every captured event, with user, track and starting bitrate of its session's first start.
+
+    The join is made on read, so no event waits for its start, none is dropped for want of one,
+    none comes out twice, and a start of any lateness is used.
+    """
+    known = starts.read().select("session_id", "user_id", "track_id", F.col("bitrate").alias("start_bitrate"))
+    return events.drop("user_id", "track_id").join(known, "session_id", "left")
 
 
 def request_windows(requests: DataFrame, lateness: str, length: str, slide: str, seconds: int) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from listenlake.sources import cdc
 
@@ -75,8 +75,29 @@ def wait_for_any(spark: SparkSession) -> None:
     spark.streams.awaitAnyTermination()
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the query's stateful steps dropped as too late, over its recent batches."""
-    return sum(
-        step["numRowsDroppedByWatermark"] for progress in query.recentProgress for step in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows that stateful steps drop as too late, over all batches of every query.
+
+    Add it to ``spark.streams`` before the queries start; progress reports kept by a query
+    itself are only its most recent ones.
+    """
+
+    def __init__(self):
+        self.by_query: dict[str, int] = {}
+
+    def onQueryStarted(self, event):
+        self.by_query[str(event.id)] = 0
+
+    def onQueryProgress(self, event):
+        late = sum(step.numRowsDroppedByWatermark for step in event.progress.stateOperators)
+        self.by_query[str(event.progress.id)] = self.by_query.get(str(event.progress.id), 0) + late
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def of(self, query: StreamingQuery) -> int:
+        """Late rows of a query so far."""
+        return self.by_query.get(str(query.id), 0)

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,9 +99,15 @@ def test_late_rows_are_counted_not_written(spark, tmp_path):
     for part in (rows[20:], rows[59:], late):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
     ended = live.expired_sessions(_stream(spark, folder), "session_id", "timestamp", "10 minutes", 600)
+    counted = pipelines.LateRows()
+    spark.streams.addListener(counted)
     query = pipelines.append_files(ended, str(tmp_path / "o"), str(tmp_path / "c"), once=True)
     query.awaitTermination()
-    assert pipelines.late_rows(query) == len(late)
+    deadline = time.time() + 30  # reports arrive beside the query
+    while counted.of(query) < len(late) and time.time() < deadline:
+        time.sleep(0.2)
+    spark.streams.removeListener(counted)
+    assert counted.of(query) == len(late)
     first = spark.read.parquet(str(tmp_path / "o")).agg(F.min("first_at")).first()[0]
     assert first >= rows[20][-1]
 
@@ -127,18 +134,22 @@ def test_restart_and_failed_batch_write_each_row_once(spark, topic, tmp_path):
 
 
 def test_enrichment_over_batches(spark, topic, tmp_path):
-    joined = live.enrich(_stream(spark, topic), _stream(spark, topic), "30 days", "5 HOURS")
-    pipelines.append_files(joined, str(tmp_path / "o"), str(tmp_path / "c"), once=True).awaitTermination()
-    events = spark.createDataFrame(_events(), SCHEMA).alias("e")
-    starts = spark.createDataFrame(_events(), SCHEMA).where("event_type = 'SessionStarted'").alias("s")
-    expected = events.where("event_type <> 'SessionStarted'").join(
-        starts,
-        F.expr(
-            "e.session_id = s.session_id AND e.timestamp >= s.timestamp AND e.timestamp <= s.timestamp + INTERVAL 5 HOURS"
-        ),
-    ).select("e.event_id", F.col("s.event_id").alias("start_event_id"))
-    got = spark.read.parquet(str(tmp_path / "o")).select("event_id", "start_event_id")
-    assert _rows(got) == _rows(expected) and got.count() > 0
+    starts = KeyedTable(spark, str(tmp_path / "s"), ["session_id"], "first")
+    write = live.capture_sessions(starts, str(tmp_path / "e"))
+    pipelines.each_batch(_stream(spark, topic), write, str(tmp_path / "c"), once=True).awaitTermination()
+    names = ["event_id", "session_id", "user_id", "track_id", "start_bitrate"]
+    events = spark.createDataFrame(_events(), SCHEMA)
+
+    def got():
+        return live.enriched(spark.read.parquet(str(tmp_path / "e")), starts)
+
+    assert _rows(got().select(*names)) == _rows(sessions.enrich(events).select(*names))
+    # A start earlier than all others arrives last, by a replayed batch of another number.
+    early = spark.createDataFrame([(999, "SessionStarted", "s0", 77, 1, 64, *[None] * 5, START - dt.timedelta(days=1))], SCHEMA)
+    write(early, 50)
+    write(early, 50)
+    both = events.union(early)
+    assert _rows(got().select(*names)) == _rows(sessions.enrich(both).select(*names))
 
 
 def test_history_and_deletions(spark, tmp_path):
