@@ -20,6 +20,24 @@ def of_user(playlists: DataFrame, playlist_users: DataFrame, user_id: int) -> Da
     return playlists.join(mine, "playlist_id", "left_semi")
 
 
+def with_members(playlists: DataFrame, playlist_tracks: DataFrame, playlist_users: DataFrame) -> DataFrame:
+    """Playlists with their tracks and their users, one row per member.
+
+    ``kind`` is track or user, so that tracks and users of a playlist do not multiply; a
+    playlist without members keeps one row without a kind.
+    """
+    tracks = playlist_tracks.select(
+        "playlist_id", F.lit("track").alias("kind"), F.col("track_id").alias("member_id"), "position",
+        F.lit(None).cast("boolean").alias("is_creator"),
+    )
+    users = playlist_users.select(
+        "playlist_id", F.lit("user").alias("kind"), F.col("user_id").alias("member_id"),
+        F.lit(None).cast(playlist_tracks.schema["position"].dataType).alias("position"), "is_creator",
+    )
+    return playlists.join(tracks.unionByName(users), "playlist_id", "left")
+
+
+
 def with_track(playlists: DataFrame, playlist_tracks: DataFrame, track_id: int) -> DataFrame:
     """Playlists containing a track, each once."""
     holding = playlist_tracks.where(F.col("track_id") == track_id).select("playlist_id")

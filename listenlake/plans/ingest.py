@@ -51,7 +51,7 @@ def cdc_current_state(d):
 )
 def audit_log(d):
     log = cdc.changes(d.cdc_lines(), cdc.SESSION_ROW)
-    return changes.audit_log(log, "event_id", "offset", ["event_type", "track_id", "bitrate", "acked_chunk_count"])
+    return changes.audit_log(log, "event_id", "offset", [c for c in cdc.columns(cdc.SESSION_ROW) if c != "event_id"])
 
 
 @query(

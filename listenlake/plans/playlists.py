@@ -22,6 +22,21 @@ def user_playlists(d):
     )
 
 
+@query(
+    "user_playlist_members",
+    ctes("playlists", "playlist_users", "playlist_tracks") + """
+    SELECT p.playlist_id, name, is_public, kind, member_id, position, is_creator FROM playlists p LEFT JOIN (
+        SELECT playlist_id, 'track' AS kind, track_id AS member_id, position, CAST(NULL AS BOOLEAN) AS is_creator FROM playlist_tracks
+        UNION ALL SELECT playlist_id, 'user', user_id, NULL, is_creator FROM playlist_users) m USING (playlist_id)
+    WHERE p.playlist_id IN (SELECT playlist_id FROM playlist_users WHERE user_id = 42)""",
+)
+def user_playlist_members(d):
+    mine = playlists.of_user(d.playlists(), d.playlist_users(), 42)
+    return playlists.with_members(mine, d.playlist_tracks(), d.playlist_users()).select(
+        "playlist_id", "name", "is_public", "kind", "member_id", "position", "is_creator"
+    )
+
+
 @query(
     "playlists_with_track",
     ctes("playlists", "playlist_tracks") + """

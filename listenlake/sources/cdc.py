@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Row images of the three captured tables; times are micros since the epoch.
+# Columns of the captured tables.
 SESSION_ROW = """
 event_id bigint, event_type string, session_id string, user_id string, track_id string, bitrate string,
 new_bitrate int, acked_chunk_count int, total_chunks_sent int, new_chunk_offset int, old_chunk_offset int,
@@ -17,7 +18,8 @@ USER_ROW = "event_id bigint, event_type string, user_id string, timestamp bigint
 ROWS = {"session_events": SESSION_ROW, "playlist_events": PLAYLIST_ROW, "users_events": USER_ROW}
 
 
-def _columns(row: str) -> list[str]:
+def columns(row: str) -> list[str]:
+    """A captured table's columns, in order."""
     return [field.split()[0] for field in row.replace("\n", " ").split(",")]
 
 
