@@ -116,15 +116,21 @@ def least_owner(rows: np.ndarray, owner: np.ndarray) -> np.ndarray:
     out = np.full((n, REACH + 1), -1, np.int32)
     if not n:
         return out
-    padded = np.concatenate([table[:, :WIDTH], np.zeros((n, LENGTH), np.uint8)], axis=1)
-    right = np.zeros((n, 56), np.uint8)
-    right[:, :LENGTH] = np.take_along_axis(padded, before[:, None] + np.arange(LENGTH), axis=1)
+    right = np.zeros((n, 56), np.uint8)  # the anchors' suffixes; contexts are filled up with zeros
+    for k in range(LENGTH):
+        place = before + k
+        inside = np.flatnonzero(place < WIDTH)
+        right[inside, k] = table[inside, place[inside]]
     words = right.view(">u8").astype(np.uint64)
     order = np.lexsort(words.T[::-1])
     common = np.zeros(n, np.uint8)
-    differ = right[order[1:], :LENGTH] != right[order[:-1], :LENGTH]
-    common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)
-    del padded, right, words, differ
+    del words
+    equal = np.ones(n - 1, bool)
+    for k in range(LENGTH):
+        column = right[order, k]
+        equal &= column[1:] == column[:-1]
+        common[1:] += equal
+    del right
     for j in range(REACH + 1):
         live = (nearest[order] <= j) & (before[order] >= j)
         own = order[live]

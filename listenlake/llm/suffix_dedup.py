@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from listenlake.llm import induced
 from listenlake.llm.common import settings
 
-CHUNK_BYTES = 8 << 20  # of text in a chunk, about, or one longer document
-SHARD_BYTES = 32 << 20  # of all texts for each shard, about
+CHUNK_BYTES = 4 << 20  # of text in a chunk, about, or one longer document
+GRAM_SHARD_BYTES = 32 << 20  # of all texts for each shard of grams, about
+SHARD_BYTES = 4 << 20  # of all texts for each shard of contexts, about
 NO_KEY = np.iinfo(np.int64).max  # null keys: larger than all others
 REPLY = "chunk long, kind int, a binary, b binary"
 
@@ -266,7 +267,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     settings(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = math.ceil(total / CHUNK_BYTES) or 1
-    bits = max(0, math.ceil(total / SHARD_BYTES) - 1).bit_length()
+    gram_bits, bits = (max(0, math.ceil(total / size) - 1).bit_length() for size in (GRAM_SHARD_BYTES, SHARD_BYTES))
     kind = docs.schema[key].dataType.simpleString()
     content = F.col(text).cast("binary")
     dealt = docs.select(
@@ -274,7 +275,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.col(key).cast("long").alias("_key"),
         content.alias("_text"),
     )
-    grams = dealt.groupBy("chunk").applyInArrow(_grams(bits), "shard long, chunk long, grams binary")
+    grams = dealt.groupBy("chunk").applyInArrow(_grams(gram_bits), "shard long, chunk long, grams binary")
     shared = grams.groupBy("shard").applyInArrow(_shared_grams, REPLY)
     found = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_contexts(bits), CONTEXTS)
     owners = found.groupBy("shard").applyInArrow(_owners, REPLY)
