@@ -62,7 +62,9 @@ def _cut(shard: np.ndarray):
 
 
 def _shard_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+    """Shards of grams; the last bit, a flag, does not count. Anchors have small hashes, so these are mixed anew."""
+    mixed = (hashes >> np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
 def _grams(bits: int):
@@ -89,7 +91,10 @@ def _grams(bits: int):
         shared = np.logical_or.reduceat(flag, heads) | (np.minimum.reduceat(low, heads) != np.maximum.reduceat(high, heads))
         grams = (h[heads] << np.uint64(1)) | shared
         me = rows.column("chunk")[0].as_py()
-        parts = [(s, grams[a:b].tobytes()) for s, a, b in _cut(_shard_of(grams, bits))]
+        shard = _shard_of(grams, bits)
+        by = np.argsort(shard, kind="stable")
+        grams = grams[by]
+        parts = [(s, grams[a:b].tobytes()) for s, a, b in _cut(shard[by])]
         return pa.table({"shard": [s for s, _ in parts], "chunk": [me] * len(parts), "grams": pa.array([g for _, g in parts], pa.binary())})
 
     return run
