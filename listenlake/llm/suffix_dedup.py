@@ -21,6 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,8 +183,8 @@ def _contexts(bits: int):
                 out["shard"].append(s)
                 out["chunk"].append(rows.column("chunk")[0].as_py())
                 out["number"].append(own.astype(np.int32).tobytes())
-                out["least"].append(least[own].tobytes())
-                out["contexts"].append(contexts[own].tobytes())
+                out["least"].append(zstandard.compress(least[own].tobytes(), 3))
+                out["contexts"].append(zstandard.compress(contexts[own].tobytes(), 3))
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
@@ -193,12 +194,16 @@ def _contexts(bits: int):
 _RUN = np.dtype([("number", "<i4"), ("low", "u1"), ("high", "u1")])
 
 
+def _joined(rows: pa.Table, column: str) -> bytes:
+    return b"".join(zstandard.decompress(x.as_buffer()) for x in rows.column(column))
+
+
 def _owners(rows: pa.Table) -> pa.Table:
     """Step 2 in a shard: for each chunk, runs of windows that a smaller key holds as well."""
-    contexts = np.frombuffer(b"".join(rows.column("contexts").to_pylist()), f"S{induced.ROW}")
+    contexts = np.frombuffer(_joined(rows, "contexts"), f"S{induced.ROW}")
     number = np.frombuffer(b"".join(rows.column("number").to_pylist()), np.int32)
-    least = np.frombuffer(b"".join(rows.column("least").to_pylist()), np.int64)
-    source = np.repeat(np.arange(len(rows)), [len(x.as_buffer()) // 8 for x in rows.column("least")])
+    least = np.frombuffer(_joined(rows, "least"), np.int64)
+    source = np.repeat(np.arange(len(rows)), [len(x.as_buffer()) // 4 for x in rows.column("number")])
     keys, own = np.unique(least, return_inverse=True)
     found = induced.least_owner(contexts, own.astype(np.int32))
     found[found == own[:, None]] = -1  # no smaller key than the chunk knows itself
