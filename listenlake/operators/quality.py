@@ -38,3 +38,17 @@ def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Data
     good = checked.where(F.size("_reasons") == 0).drop("_reasons")
     bad = checked.where(F.size("_reasons") > 0).withColumnRenamed("_reasons", "reasons")
     return good, bad
+
+
+def set_aside(df: DataFrame, reason: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows without a ``reason``, and the others, which go to a side table at ``path``.
+
+    Both come from one pass that is written once, under ``aside=false`` and ``aside=true``.
+    """
+    df.withColumn("aside", F.col(reason).isNotNull()).write.partitionBy("aside").parquet(path)
+    written = df.sparkSession.read.schema(f"{_ddl(df)}, aside boolean").parquet(path)
+    return written.where("NOT aside").drop("aside", reason), written.where("aside").drop("aside")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -111,20 +111,40 @@ def typed_union(d):
 )
 def decode_problems(d):
     """Every message is decoded; some are damaged first, by their number."""
+    decoded = wire.decode(_damaged(d))
+    return decoded.groupBy(F.coalesce("problem", F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _damaged(d):
     rows = d.session_events().withColumns({c: F.col(c).cast("string") for c in ("user_id", "track_id", "bitrate")})
     turn = F.col("timestamp_id") % 7
     numbered = wire.encode(rows.withColumn("session_id", F.concat_ws("|", "session_id", "event_id"))).withColumn(
         "timestamp_id", F.regexp_extract(F.col("key").cast("string"), r"\|([0-9]+)$", 1).cast("long")
     )
     unknown = F.array(F.struct(F.lit(wire.HEADER).alias("key"), F.lit("Nothing").cast("binary").alias("value")))
-    damaged = numbered.select(
+    return numbered.select(
         "key",
         F.when(turn == 2, F.lit("ÿÿÿ").cast("binary")).otherwise(F.col("value")).alias("value"),
         F.when(turn == 0, F.slice("headers", 1, 0)).when(turn == 1, unknown).otherwise(F.col("headers")).alias("headers"),
         F.timestamp_micros(F.lit(0)).alias("timestamp"),
     )
-    decoded = wire.decode(damaged)
-    return decoded.groupBy(F.coalesce("problem", F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "decode_quarantine",
+    S + """
+    SELECT event_id, event_id % 7 < 3 AS aside, CASE WHEN event_id % 7 > 2 THEN event_type END AS event_type,
+           CASE event_id % 7 WHEN 0 THEN 'missing header' WHEN 1 THEN 'unknown type' WHEN 2 THEN 'bad payload' END AS problem
+    FROM session_events""",
+)
+def decode_quarantine(d):
+    """Messages that cannot be read go to a side table with the reason, the others on."""
+    good, bad = quality.set_aside(wire.decode(_damaged(d)), "problem", staging_path(d.spark, "undecoded"))
+    number = F.regexp_extract(F.col("key").cast("string"), r"\|([0-9]+)$", 1).cast("long").alias("event_id")
+    nothing = F.lit(None).cast("string")
+    return good.select(number, F.lit(False).alias("aside"), "event_type", nothing.alias("problem")).unionByName(
+        bad.select(number, F.lit(True).alias("aside"), nothing.alias("event_type"), "problem")
+    )
 
 
 @query(

@@ -18,7 +18,7 @@ PACKAGE = pathlib.Path(inspect.getfile(listenlake)).parent
 LAZY = [
     n for n in plans.queries()
     if not n.startswith(("stream_", "search_bm", "search_ex", "search_fil", "search_batch", "upsert", "sink_layout"))
-    and n not in ("quarantined", "staged_snapshot")
+    and n not in ("quarantined", "decode_quarantine", "staged_snapshot")
 ]
 
 
