@@ -265,7 +265,10 @@ def fit_pages(pages: list[str], seed: int = 5) -> Trees:
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html") -> Trees:
     """Fit on at most SAMPLE_PAGES rows, chosen by a hash of their key; null pages are left out."""
     fitting = pages.select(key, html).where(F.octet_length(html).between(1, SAMPLE_BYTES))
-    rows = fitting.orderBy(F.xxhash64(key), key, html).limit(SAMPLE_PAGES).collect()  # bounded
+    # Keys are chosen first, so that no task sends pages that others outdo.
+    chosen = fitting.select(F.col(key).alias("_chosen")).distinct().orderBy(F.xxhash64("_chosen"), "_chosen").limit(SAMPLE_PAGES)
+    same = F.col(key).eqNullSafe(F.col("_chosen"))
+    rows = fitting.join(F.broadcast(chosen), same, "left_semi").orderBy(key, html).limit(SAMPLE_PAGES).collect()  # bounded
     return fit_pages([r[html] for r in rows])
 
 
