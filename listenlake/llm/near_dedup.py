@@ -1,4 +1,4 @@
-"""Near-duplicate documents by SimHash: candidates by fingerprint, links by exact similarity.
+"""Near-duplicate documents: first links by SimHash, the rest by an exact similarity join.
 
 One 64-bit SimHash of a whole text comes within a few bits only for the closest copies. So a
 text also has VIEWS partial fingerprints, each the SimHash of the VIEW_SHINGLES shingles that
@@ -8,11 +8,17 @@ fingerprints are linked within a radius by vantage-point trees, views where they
 Every candidate is then held against the true Jaccard similarity of the word shingles.
 
 Rows of one fingerprint are linked to its first text, not to each other, so a group of any
-size brings one candidate for each of its texts and view.
+size brings one candidate for each of its texts and view. That joins most groups but not all
+pairs, so an exact join follows: the shingles have one order for all texts (those frequent in
+a sample last), and of two texts of similarity s or more both have a common shingle among
+their first n - ceil(s * n) + 1. Pairs that share such a shingle and are not yet in one group
+are all looked at: their common first shingles are counted, which bounds the similarity, and
+what is left is held against the sets. The sample and the first links save work only.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +35,10 @@ SIMILARITY = 0.8
 RADIUS = 3
 VIEWS = 14
 VIEW_SHINGLES = 3
+SAMPLE = 2048  # texts in which shingles are counted, about
+FREQUENT = 1 << 16  # shingles that come last in the order, at most
+PAIRS_AN_ENTRY = 8  # pairs for each entry of the open buckets from which hubs are tried first
+HUB_ROUNDS = 4  # such rounds, at most; all open pairs are looked at in any case
 
 _SEEDS = np.random.default_rng(64).integers(2**62, 2**63, VIEWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -45,17 +55,58 @@ def views(shingles: np.ndarray) -> list[int]:
     return found
 
 
-def _signatures(words: int):
+def first_shingles(shingles: np.ndarray, least: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a set of which a set of similarity ``least`` or more has one among its own.
+
+    ``frequent`` are sorted hashes, ``counts`` how often each occurs: the order of all shingles.
+    """
+    if not len(shingles):
+        return shingles
+    weight = np.zeros(len(shingles), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        weight = np.where(frequent[at] == shingles, counts[at], 0)
+    size = len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1
+    return shingles[np.lexsort((shingles, weight))[:size]]
+
+
+def _counted(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("_text").cast(pa.binary()):
+                own = np.unique(simhash.shingle_hashes(x.as_py(), words))
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["shingle"])
+
+    return run
+
+
+def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that sampled distinct texts share, sorted, and in how many of them each occurs."""
+    share = min(1.0, SAMPLE / max(1, rows.count()))
+    drawn = F.xxhash64("_text").bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30))
+    sample = rows.where(drawn).dropDuplicates(["_sha"]).select("_text")
+    shared = sample.mapInArrow(_counted(words), "shingle long").groupBy("shingle").count().where("count > 1")
+    found = shared.orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()  # bounded by FREQUENT
+    hashes = np.array([r["shingle"] for r in found], np.int64).view(np.uint64)
+    by = np.argsort(hashes)
+    return hashes[by], np.array([r["count"] for r in found], np.int64)[by]
+
+
+def _signatures(words: int, least: float, frequent: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, parts = [], []
+            whole, parts, sizes, firsts = [], [], [], []
             for x in batch.column("_text").cast(pa.binary()):
                 hashes = simhash.shingle_hashes(x.as_py(), words)
                 whole.append(np.uint64(simhash.fingerprint(hashes)).astype(np.int64) if len(hashes) else None)
-                parts.append(np.array(views(np.unique(hashes)), np.uint64).view(np.int64))
+                own = np.unique(hashes)
+                parts.append(np.array(views(own), np.uint64).view(np.int64))
+                sizes.append(len(own))
+                firsts.append(first_shingles(own, least, frequent, counts).view(np.int64))
+            longs = pa.list_(pa.int64())
+            columns = [pa.array(whole, pa.int64()), pa.array(parts, longs), pa.array(sizes, pa.int64()), pa.array(firsts, longs)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_sha"), batch.column("_key"), pa.array(whole, pa.int64()), pa.array(parts, pa.list_(pa.int64()))],
-                names=["sha", "key", "fp", "views"],
+                [batch.column("_sha"), batch.column("_key"), *columns], names=["sha", "key", "fp", "views", "n", "firsts"]
             )
 
     return run
@@ -83,6 +134,66 @@ def _similar(least: float):
     return run
 
 
+def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` of uids whose texts are of the similarity."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(texts.select("uid", "sha", "key"), "uid")
+    given = rows.join(asked, (F.col("_sha") == F.col("sha")) & F.col("_key").eqNullSafe(F.col("key"))).select("uid", "_text")
+    sets = stage(given.mapInArrow(_sets(words), "uid long, shingles binary").dropDuplicates(["uid"]), "shingle-sets")
+    side = lambda c, v: sets.select(F.col("uid").alias(c), F.col("shingles").alias(v))
+    compared = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return stage(compared.mapInArrow(_similar(similarity), "a long, b long"), "near-copies")
+
+
+def _open(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """``shingle, uid, n, root`` of the entries whose shingle occurs in more than one group."""
+    marked = entries.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    marked = stage(marked.select("shingle", "uid", "n", "root"), "bucket-entries")
+    several = marked.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return stage(marked.join(several.select("shingle"), "shingle"), "open-buckets")
+
+
+def _open_pairs(entries: DataFrame) -> float:
+    sizes = entries.groupBy("shingle", "root").agg(F.count("*").cast("double").alias("m"))
+    of_one = sizes.groupBy("shingle").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("pairs"))
+    return (of_one.agg(F.sum("pairs")).first()[0] or 0.0) / 2
+
+
+def _linked(rows: DataFrame, texts: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``node, root``: the components of all texts of the similarity, of which ``links`` are known."""
+    roots = components(links, "near-copies")
+    entry = texts.select("uid", "n", F.explode("firsts").alias("shingle"))
+    shared = entry.groupBy("shingle").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo <> hi")
+    entries = _open(entry.join(stage(shared.select("shingle"), "shared-shingles"), "shingle"), roots)
+    close = (F.col("na") >= similarity * F.col("nb") - 1e-6) & (F.col("nb") >= similarity * F.col("na") - 1e-6)
+    named = lambda c: entries.select("shingle", F.col("uid").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"root_{c}"))
+
+    # Where very many pairs are open, the text with most entries of each bucket is tried against all others of it.
+    for _ in range(HUB_ROUNDS):
+        if _open_pairs(entries) <= PAIRS_AN_ENTRY * entries.count():
+            break
+        degree = entries.groupBy("uid").agg(F.count("*").alias("degree"))
+        best = entries.join(degree, "uid").groupBy("shingle").agg(F.max(F.struct("degree", "uid", "n", "root")).alias("hub"))
+        hubs = best.select("shingle", F.col("hub.uid").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.root").alias("root_b"))
+        tried = named("a").join(hubs, "shingle").where((F.col("root_a") != F.col("root_b")) & close)
+        tried = stage(tried.select("a", "b").distinct(), "hub-pairs")
+        found = _verified(tried, rows, texts, words, similarity)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        roots = components(links, "near-copies")
+        entries = _open(entries.drop("root"), roots)
+
+    # All pairs of different groups. Outside their common first shingles two sets share no more than the longer rest of the two.
+    met = named("a").join(named("b"), "shingle").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & close)
+    common = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
+    rest = F.ceil(F.lit(similarity) * F.greatest("na", "nb") - 1e-9) - 1
+    enough = F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6
+    pairs = stage(common.where(F.col("common") + rest >= enough).select("a", "b"), "open-pairs")
+    if pairs.isEmpty():
+        return roots
+    return components(links.union(_verified(pairs, rows, texts, words, similarity)), "near-copies")
+
+
 def representatives(
     docs: DataFrame,
     key: str = "doc_id",
@@ -103,8 +214,10 @@ def representatives(
     sha = F.sha2(content, 256)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(sha.alias("_sha"), F.col(key).alias("_key"), content.alias("_text"))
-    marked = stage(rows.mapInArrow(_signatures(words), f"sha string, key {kind}, fp long, views array<long>"), "signatures")
-    distinct = marked.groupBy("sha").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("views").alias("views"))
+    schema = f"sha string, key {kind}, fp long, views array<long>, n long, firsts array<long>"
+    marked = stage(rows.mapInArrow(_signatures(words, similarity, *_frequent(rows, words)), schema), "signatures")
+    same_text = [F.first(c).alias(c) for c in ("fp", "views", "n", "firsts")]
+    distinct = marked.groupBy("sha").agg(F.min("key").alias("key"), *same_text)
     texts = stage(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct-texts")
 
     by_fp = stage(texts.where("fp is not null").groupBy("fp").agg(F.min("uid").alias("first")), "whole-fingerprints")
@@ -122,14 +235,8 @@ def representatives(
     )
     pairs = stage(pairs, "candidates")
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(texts.select("uid", "sha", "key"), "uid")
-    given = rows.join(asked, (F.col("_sha") == F.col("sha")) & F.col("_key").eqNullSafe(F.col("key"))).select("uid", "_text")
-    sets = stage(given.mapInArrow(_sets(words), "uid long, shingles binary").dropDuplicates(["uid"]), "shingle-sets")
-    side = lambda c, v: sets.select(F.col("uid").alias(c), F.col("shingles").alias(v))
-    compared = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    linked = compared.mapInArrow(_similar(similarity), "a long, b long")
-
-    roots = components(linked, "near-copies")
+    linked = _verified(pairs, rows, texts, words, similarity)
+    roots = _linked(rows, texts, linked, words, similarity)
     grouped = texts.join(roots.withColumnRenamed("node", "uid"), "uid", "left").groupBy(F.coalesce("root", "uid").alias("root"))
     best = grouped.agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "sha")).alias("best"))
     stays = best.select(F.col("best.sha").alias("_stays_sha"), F.col("best.key").alias("_stays_key"))

@@ -258,6 +258,42 @@ def test_near_copies_leave_one_of_each_group(spark):
     assert near_dedup.representatives(edges.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("pairs_an_entry", [8, 0])
+def test_copies_joined_by_their_base_only(spark, monkeypatch, pairs_an_entry):
+    monkeypatch.setattr(near_dedup, "PAIRS_AN_ENTRY", pairs_an_entry)  # 0: hubs are tried first
+    base = [f"w{i}" for i in range(200)]
+    rows = [(500, " ".join(base))]
+    for c in range(60):
+        own = list(base)
+        for k in range(4):
+            own[5 + 48 * k + c % 40] = f"x{c}y{k}"
+        rows.append((c, " ".join(own)))
+    near = lambda a, b: len(a & b) / len(a | b)
+    sets = [shingles(t) for _, t in rows]
+    assert all(near(sets[0], s) >= 0.8 for s in sets[1:]) and near(sets[1], sets[2]) < 0.8 and near(sets[1], sets[21]) < 0.8
+    got = near_dedup.representatives(edges.documents(spark, rows)).collect()
+    assert [r["doc_id"] for r in got] == [0]
+
+
+def test_similar_sets_share_a_first_shingle():
+    draw = np.random.default_rng(3)
+    for n in [*range(1, 40), 77, 200, 1001]:
+        own = np.unique(draw.integers(0, 2**64, n, np.uint64))
+        for out in range(n // 5 + 1):
+            for new in range(n // 4 + 1):
+                both = n - out
+                if both < 0.8 * (n + new):
+                    break
+            new -= both < 0.8 * (n + new)
+            if new < 0:
+                continue
+            other = np.unique(np.concatenate([draw.permutation(own)[out:], draw.integers(0, 2**64, new, np.uint64)]))
+            frequent = np.sort(draw.permutation(own)[: n // 2])
+            counts = draw.integers(2, 9, len(frequent))
+            firsts = [near_dedup.first_shingles(s, 0.8, frequent, counts) for s in (own, other)]
+            assert len(np.intersect1d(*firsts))
+
+
 def test_nearly_all_links_are_found():
     """A pair of similarity 0.8 shares a view with overwhelming probability; measured here."""
     draw = np.random.default_rng(8)
