@@ -8,10 +8,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import edges
 from listenlake.llm import decontam, induced, near_dedup, plans, simhash, suffix_dedup
-from listenlake.llm.components import components
+from listenlake.llm.components import _state, components
 
 SF = "/root/testdata/sf0.001"
 
@@ -222,6 +223,12 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_state_of_very_many_links(spark):
+    """The sum of as many 40-bit hashes is beyond a long."""
+    many = spark.range(20_000_000).select(F.col("id").alias("b"), (F.col("id") + 1).alias("a"))
+    assert _state(many)[0] == 20_000_000 and _state(many) == _state(many) != _state(many.where("a <> 7"))
+
+
 # Near copies
 
 
