@@ -38,7 +38,12 @@ def unescape(text: Column) -> Column:
 
 
 def events_of_messages(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """A log of finished messages: each row is one delta, in the order of the turns."""
+    """A log of finished messages: each row is one delta, in the order of the turns.
+
+    Rows of one conversation and turn, repeated ones and those with a null turn too, stay turns
+    of their own: ``tie`` numbers them by role, then text.
+    """
+    ties = Window.partitionBy(conv, turn).orderBy("role", "text")
     return messages.select(
         F.col(conv).alias("conv_id"),
         F.col(turn).alias("seq"),
@@ -46,12 +51,15 @@ def events_of_messages(messages: DataFrame, conv: str = "conv_id", turn: str = "
         F.lit(DELTA).alias("kind"),
         "role",
         F.col("text").alias("text"),
+        F.row_number().over(ties).alias("tie"),
     )
 
 
 def fold(events: DataFrame) -> DataFrame:
     """Final messages ``conv_id, turn, role, text`` of a log ``conv_id, seq, turn, kind, role, text``.
 
+    A further column ``tie``, if there, tells turns of one number apart.
+
     For each turn the last edit, regeneration or deletion sets the text anew (an edit and a
     regeneration to their own text, a deletion to nothing, after which the turn is gone unless
     later deltas bring it back) and later deltas are appended by sequence. Events of one
@@ -63,7 +71,7 @@ def fold(events: DataFrame) -> DataFrame:
     order = F.struct("seq", "kind", "role", "text")
     sets = F.col("kind").isin(EDIT, REGENERATE, DELETE)
     # The turn is a group of one message's events; its conversation may be of any size.
-    turns = rows.groupBy("conv_id", "turn").agg(
+    turns = rows.groupBy("conv_id", "turn", *[c for c in events.columns if c == "tie"]).agg(
         F.max(F.when(sets, order)).alias("_set"),
         F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).alias("_role"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == DELTA, order))).alias("_deltas"),

@@ -283,3 +283,10 @@ def test_pages_in_edge_cases(spark, trees):
     assert all(len(r["text"]) == 20_000 * 39 - 1 for r in got if r["page_id"] == 4)
     assert html_text.extract(pages.limit(0), trees).count() == 0
     assert html_text.extract(pages, html_text.fit(pages.limit(0))).count() == 6
+
+
+def test_chat_query_counts_ties_as_turns(spark, tmp_path):
+    rows = [(1, 0, "user", "q"), (1, 0, "assistant", "a"), (1, 1, "user", "r"), (1, 1, "user", "r"), (2, None, "user", "x"), (2, None, "assistant", "yz")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in plans.queries()["op5_chat"](spark, str(tmp_path)).collect()}
+    assert (got[1], got[2]) == ((4, 1), (2, 2))
