@@ -17,8 +17,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from listenlake.llm.common import settings, slices
+from listenlake.llm.common import settings, slices, stage
 
 WINDOW = 13
 SHARD_BYTES = 8 << 20  # text of one shard, or one longer document
@@ -227,7 +229,18 @@ def _spans(phrases: Phrases, documents: list[np.ndarray]):
 CONTAMINATED = 20  # one word in so many hit makes a text contaminated
 
 
-def _keep(phrases: Phrases, text: str):
+def _joined(earlier: pa.Array, spans: list[np.ndarray]) -> list[np.ndarray]:
+    """Spans with those that earlier blocks of the benchmark have found."""
+    pairs = ([(x["start"], x["end"]) for x in own] for own in earlier.to_pylist())
+    return [merged(np.array([*own, *s.tolist()], np.int64).reshape(-1, 2)) for own, s in zip(pairs, spans, strict=True)]
+
+
+def _span_array(spans: list[np.ndarray]) -> pa.Array:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return pa.array([[{"start": a, "end": b} for a, b in s.tolist()] for s in spans], kind)
+
+
+def _keep(phrases: Phrases, text: str, carried: str, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = phrases.ids.get
         for batch in batches:
@@ -235,6 +248,13 @@ def _keep(phrases: Phrases, text: str):
                 words = [words_of(x.as_py()) for x in part.column(text).cast(pa.binary())]
                 documents = [np.fromiter((get(w, 0) for w in own), np.int64, len(own)) for own in words]
                 spans, _ = _spans(phrases, documents)
+                at = part.schema.get_field_index(carried)
+                if at >= 0:
+                    spans = _joined(part.column(at), spans)
+                    part = part.remove_column(at)
+                if not last:
+                    yield part.append_column(carried, _span_array(spans))
+                    continue
                 hit = [int((s[:, 1] - s[:, 0]).sum()) for s in spans]
                 kept = [not h or CONTAMINATED * h < len(w) for h, w in zip(hit, words, strict=True)]
                 yield part.filter(pa.array(kept, pa.bool_()))
@@ -243,8 +263,6 @@ def _keep(phrases: Phrases, text: str):
 
 
 def _search(phrases: Phrases, key: str, text: str, item_type: pa.DataType, last: bool):
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = phrases.ids.get
         for batch in batches:
@@ -256,14 +274,13 @@ def _search(phrases: Phrases, key: str, text: str, item_type: pa.DataType, last:
                 spans, found = _spans(phrases, documents)
                 items = [list(dict.fromkeys(i for p in f for i in phrases.items[p])) for f in found]
                 if "spans" in part.schema.names:  # what earlier blocks of the benchmark have found
-                    earlier = ([(x["start"], x["end"]) for x in own] for own in part.column("spans").to_pylist())
-                    spans = [merged(np.array([*own, *s.tolist()]).reshape(-1, 2)) for own, s in zip(earlier, spans, strict=True)]
+                    spans = _joined(part.column("spans"), spans)
                     items = [list(dict.fromkeys([*a, *b])) for a, b in zip(part.column("items").to_pylist(), items, strict=True)]
                 columns = {
                     key: part.column(key),
                     text: part.column(text),
                     "n_words": pa.array([len(d) for d in documents], pa.int64()),
-                    "spans": pa.array([[{"start": a, "end": b} for a, b in s.tolist()] for s in spans], span_type),
+                    "spans": _span_array(spans),
                     "items": pa.array(items, pa.list_(item_type)),
                 }
                 if last:
@@ -284,20 +301,22 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[head, 0], reach[last]], axis=1)
 
 
-def _benchmark_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[object, bytes | None]]]:
-    """The benchmark in blocks of at most about BENCHMARK_BYTES, one at a time on the driver."""
-    held, size = [], 0
-    for row in benchmark.select(item, text).toLocalIterator():
-        if row[0] is None:
-            continue
-        value = row[1].encode() if row[1] is not None else None
-        held.append((row[0], value))
-        size += len(value or b"")
-        if size >= BENCHMARK_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _benchmark_blocks(
+    benchmark: DataFrame, item: str, text: str, nameless: bool
+) -> Iterator[tuple[list[tuple[object, bytes | None]], bool]]:
+    """The benchmark in blocks of at most about BENCHMARK_BYTES, one at a time on the driver, and which is the last."""
+    items = benchmark.select(item, text)
+    rows = (items if nameless else items.where(F.col(item).isNotNull())).toLocalIterator()
+    row, last = next(rows, None), False
+    while not last:
+        held, size = [], 0
+        while row is not None and size < BENCHMARK_BYTES:
+            value = row[1].encode() if row[1] is not None else None
+            held.append((row[0], value))
+            size += len(value or b"")
+            row = next(rows, None)
+        last = row is None
+        yield held, last
 
 
 def find(
@@ -308,6 +327,7 @@ def find(
     item: str = "item_id",
     item_text: str = "text",
     window: int = WINDOW,
+    nameless: bool = False,
 ) -> DataFrame:
     """``key, n_words, spans, items`` for every row of ``docs``.
 
@@ -315,8 +335,10 @@ def find(
     are the merged stretches ``[start, end)``, in words, that occurrences of benchmark windows
     cover; a window is ``window`` consecutive words of an item, or a whole shorter item.
     ``items`` are the items with a window in the row. Null and empty texts have no words, so
-    nothing is found; items without words or with a null id find nothing; repeated rows are
-    searched each; an empty benchmark finds nothing; other columns are ignored.
+    nothing is found; items without words find nothing; items with a null id find nothing, or
+    with ``nameless`` are searched like others and are one item, null; repeated rows are
+    searched each; an empty benchmark finds nothing; other columns are ignored. The spans of
+    each block of the benchmark are written before the next block is read.
     """
     spark = settings(docs.sparkSession)
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
@@ -324,11 +346,11 @@ def find(
     found = f"n_words long, spans array<struct<start: long, end: long>>, items array<{item_kind}>"
     # Shards are filled from batches of more rows; a batch is cut by bytes before it is indexed.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SHARD_ROWS))
-    rows, blocks = docs.select(key, text), list(_benchmark_blocks(benchmark, item, item_text)) or [[]]
-    for i, block in enumerate(blocks):  # a benchmark of more than one block adds a pass for each
-        last = i == len(blocks) - 1
+    rows = docs.select(key, text)
+    for block, last in _benchmark_blocks(benchmark, item, item_text, nameless):  # a pass for each
         schema = f"`{key}` {kind}, {'' if last else f'`{text}` string, '}{found}"
         rows = rows.mapInArrow(_search(Phrases.of(block, window), key, text, item_type, last), schema)
+        rows = rows if last else stage(rows, "benchmark-hits")
     return rows
 
 
@@ -339,15 +361,24 @@ def clean(
     item: str = "item_id",
     item_text: str = "text",
     window: int = WINDOW,
+    nameless: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns and without a shuffle.
 
     A row is contaminated if occurrences of benchmark windows cover one of CONTAMINATED words
-    or more. Rows without words stay. A benchmark of more than one block is searched whole, so
-    hits of all blocks count together.
+    or more. Rows without words stay. Items with a null id count with ``nameless`` only. Of a
+    benchmark of more than one block the spans of each are written beside the rows before the
+    next is read, so hits of all blocks count together.
     """
     spark = settings(docs.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SHARD_ROWS))
-    blocks = list(_benchmark_blocks(benchmark, item, item_text)) or [[]]
-    phrases = Phrases.of([row for block in blocks for row in block], window)
-    return docs.mapInArrow(_keep(phrases, text), docs.schema)
+    carried = "_hits"
+    while carried in {c.lower() for c in docs.columns}:
+        carried += "_"
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    marked = T.StructType([*docs.schema.fields, T.StructField(carried, T.ArrayType(span))])
+    rows = docs
+    for block, last in _benchmark_blocks(benchmark, item, item_text, nameless):
+        keep = _keep(Phrases.of(block, window), text, carried, last)
+        rows = rows.mapInArrow(keep, docs.schema) if last else stage(rows.mapInArrow(keep, marked), "benchmark-hits")
+    return rows

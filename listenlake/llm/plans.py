@@ -99,7 +99,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that occurrences of 13-word benchmark windows cover."""
-    found = decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), nameless=True)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     named = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select(

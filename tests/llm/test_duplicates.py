@@ -406,3 +406,31 @@ def test_decontamination_edge_cases(spark):
     assert decontam.find(edges.empty(spark), benchmark).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find(edges.documents(spark), none).where("size(spans) > 0").count() == 0
+
+
+def test_items_without_a_name_are_searched(spark, tmp_path):
+    item = " ".join(f"q{i}" for i in range(20))
+    edges.documents(spark, [(1, item), (2, "other words"), (3, f"{item} z")]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, item), (7, f"{item} z")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in plans.queries()["op7_decontaminate"](spark, str(tmp_path)).collect()}
+    assert {k: (r["n_hit"], r["n_items"], r["contaminated"]) for k, r in got.items()} == {1: (20, 2, True), 2: (0, 0, False), 3: (21, 2, True)}
+    benchmark = spark.createDataFrame([(None, item)], "item_id long, text string")
+    kept = decontam.clean(edges.documents(spark, [(1, item), (2, "other words")]), benchmark, nameless=True)
+    assert [r["doc_id"] for r in kept.collect()] == [2]
+
+
+def test_benchmark_is_held_block_by_block(spark, monkeypatch):
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(13))) for i in range(9)]
+    # Half an occurrence of each block's items: only hits of all blocks together reach one word in twenty.
+    rows = [(1, " ".join([items[0][1], items[8][1], *["x"] * 480])), (2, " ".join([items[0][1], *["x"] * 480])), (3, "x")]
+    docs, benchmark = edges.documents(spark, rows), spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    monkeypatch.setattr(decontam, "BENCHMARK_BYTES", 100)
+    sizes, of = [], decontam.Phrases.of
+    monkeypatch.setattr(decontam.Phrases, "of", lambda block, window: sizes.append(sum(len(t or b"") for _, t in block)) or of(block, window))
+    written, stage = [], decontam.stage
+    monkeypatch.setattr(decontam, "stage", lambda df, name: written.append(len(sizes)) or stage(df, name))
+    assert sorted(r["doc_id"] for r in decontam.clean(docs, benchmark).collect()) == [2, 3]
+    assert len(sizes) > 3 and max(sizes) < 200 and written == list(range(1, len(sizes)))
+    sizes.clear(), written.clear()
+    found = {r["doc_id"]: sorted(r["items"]) for r in decontam.find(docs, benchmark).collect()}
+    assert found == {1: [0, 8], 2: [0], 3: []} and max(sizes) < 200 and written == list(range(1, len(sizes)))
