@@ -54,24 +54,29 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(key: str, text: str, words: int):
+def _fingerprints(carried: list[str], text: str, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text).cast(pa.binary())
             own = np.array([fingerprint(shingle_hashes(x.as_py(), words)) for x in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(own.view(np.int64))], names=[key, "fp"])
+            columns = [*(batch.column(c) for c in carried), pa.array(own.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*carried, "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """``key, fp`` for every row: the SimHash of its word shingles as a signed long.
+def fingerprints(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """``key, *also, fp`` for every row: the SimHash of its word shingles as a signed long.
 
     Null and empty texts have fingerprint 0. Only A-Z are lower-cased; words end at ASCII white space.
+    Texts of any length are hashed whole, a bounded number of shingles at a time.
     """
     settings(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(_fingerprints(key, text, words), f"`{key}` {kind}, fp long")
+    carried = [key, *also]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return docs.select(*carried, text).mapInArrow(_fingerprints(carried, text, words), f"{schema}, fp long")
 
 
 def _distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -247,10 +252,36 @@ def groups(
     """
     marked = stage(fingerprints(docs, key, text, words), "fingerprints")
     distinct = stage(marked.groupBy("fp").agg(F.min(key).alias("least")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), radius), "fingerprint-links")
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
+    named = _rooted(distinct, radius)
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = stage(named.join(smallest, "root").select("fp", "component_id"), "fingerprint-components")
     return marked.join(by_fp, "fp").select(key, "fp", "component_id")
+
+
+def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """Distinct fingerprints with the smallest fingerprint of their component as ``root``."""
+    roots = components(links(distinct.select("fp"), radius), "fingerprint-links")
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def representatives(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, radius: int = 2
+) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, with all columns.
+
+    Components are those of ``groups``. The row of the smallest key stays; null keys come last;
+    rows of one key go by the SHA-256 of their text; of repeated rows one stays. Null and empty
+    texts have fingerprint 0 and are one component with any other text of it; long texts are
+    hashed whole; an empty table gives an empty result.
+    Keys, hashes and fingerprints are all that is shuffled to choose; texts move once, at the end.
+    """
+    sha = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    slim = docs.select(F.col(key).alias("_key"), sha.alias("_sha"), F.col(text).alias("_text"))
+    marked = fingerprints(slim, "_key", "_text", words, ("_sha",))
+    best = F.min(F.struct(F.col("_key").isNull().alias("last"), "_key", "_sha")).alias("best")
+    distinct = stage(marked.groupBy("fp").agg(best), "distinct-fingerprints")
+    stays = _rooted(distinct, radius).groupBy("root").agg(F.min("best").alias("best"))
+    stays = stays.select(F.col("best._sha").alias("_stays"), F.col("best._key").alias("_stays_key"))
+    given = docs.withColumn("_sha", sha)
+    same = (F.col("_sha") == F.col("_stays")) & F.col(key).eqNullSafe(F.col("_stays_key"))
+    return given.join(stays, same, "left_semi").dropDuplicates(["_sha", key]).drop("_sha")

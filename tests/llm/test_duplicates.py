@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import edges
-from listenlake.llm import decontam, induced, near_dedup, plans, simhash, suffix_dedup
+from listenlake.llm import decontam, induced, plans, simhash, suffix_dedup
 from listenlake.llm.components import _state, components
 
 SF = "/root/testdata/sf0.001"
@@ -232,12 +232,7 @@ def test_state_of_very_many_links(spark):
 # Near copies
 
 
-def shingles(text):
-    w = text.encode().lower().split()
-    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
-def test_near_copies_leave_one_of_each_group(spark):
+def test_one_row_of_each_component_stays(spark):
     draw = random.Random(5)
     base = [edges.words(draw, 150) for _ in range(6)]
     rows = [(i, t) for i, t in enumerate(base)]
@@ -247,69 +242,18 @@ def test_near_copies_leave_one_of_each_group(spark):
             at = draw.randrange(10, 140)
             rows.append((100 + 10 * i + c, " ".join([*own[:at], f"word{c}", *own[at + 1 :]])))
     rows += [(3, base[3]), (50, base[5]), (60, None), (61, ""), (None, base[2]), (70, " "), (71, " \n")]
-    sets = {t or "": shingles(t or "") for _, t in rows}
-    texts = sorted(sets)
-
-    def near(a, b):
-        both = len(sets[a] & sets[b])
-        return bool(sets[a]) and bool(sets[b]) and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
-
-    own = plain_components(texts, near)
+    rows += [(None, "only rows"), (None, "without a key"), (80, base[0] + " " + base[1]), (80, base[2] + " " + base[3])]
+    prints = [simhash.fingerprint(simhash.shingle_hashes((t or "").encode(), 3)) for _, t in rows]
+    own = plain_components(sorted(set(prints)), lambda a, b: (a ^ b).bit_count() <= 2)
     best = {}
-    for k, t in rows:
+    for (k, t), fp in zip(rows, prints, strict=True):
         one = (k is None, k or 0, hashlib.sha256((t or "").encode()).hexdigest())
-        best[own[t or ""]] = min(best.get(own[t or ""], one), one)
-    got = near_dedup.representatives(edges.documents(spark, rows))
+        best[own[fp]] = min(best.get(own[fp], one), one)
+    got = simhash.representatives(edges.documents(spark, rows), words=3, radius=2)
     assert got.columns == edges.documents(spark, rows[:1]).columns
-    assert sorted(r["doc_id"] for r in got.collect()) == sorted(b[1] for b in best.values())
-    assert near_dedup.representatives(edges.empty(spark)).count() == 0
-
-
-@pytest.mark.parametrize("pairs_an_entry", [8, 0])
-def test_copies_joined_by_their_base_only(spark, monkeypatch, pairs_an_entry):
-    monkeypatch.setattr(near_dedup, "PAIRS_AN_ENTRY", pairs_an_entry)  # 0: hubs are tried first
-    base = [f"w{i}" for i in range(200)]
-    rows = [(500, " ".join(base))]
-    for c in range(60):
-        own = list(base)
-        for k in range(4):
-            own[5 + 48 * k + c % 40] = f"x{c}y{k}"
-        rows.append((c, " ".join(own)))
-    near = lambda a, b: len(a & b) / len(a | b)
-    sets = [shingles(t) for _, t in rows]
-    assert all(near(sets[0], s) >= 0.8 for s in sets[1:]) and near(sets[1], sets[2]) < 0.8 and near(sets[1], sets[21]) < 0.8
-    got = near_dedup.representatives(edges.documents(spark, rows)).collect()
-    assert [r["doc_id"] for r in got] == [0]
-
-
-def test_similar_sets_share_a_first_shingle():
-    draw = np.random.default_rng(3)
-    for n in [*range(1, 40), 77, 200, 1001]:
-        own = np.unique(draw.integers(0, 2**64, n, np.uint64))
-        for out in range(n // 5 + 1):
-            for new in range(n // 4 + 1):
-                both = n - out
-                if both < 0.8 * (n + new):
-                    break
-            new -= both < 0.8 * (n + new)
-            if new < 0:
-                continue
-            other = np.unique(np.concatenate([draw.permutation(own)[out:], draw.integers(0, 2**64, new, np.uint64)]))
-            frequent = np.sort(draw.permutation(own)[: n // 2])
-            counts = draw.integers(2, 9, len(frequent))
-            firsts = [near_dedup.first_shingles(s, 0.8, frequent, counts) for s in (own, other)]
-            assert len(np.intersect1d(*firsts))
-
-
-def test_nearly_all_links_are_found():
-    """A pair of similarity 0.8 shares a view with overwhelming probability; measured here."""
-    draw = np.random.default_rng(8)
-    met = 0
-    for _ in range(300):
-        own = draw.integers(0, 2**64, 180, np.uint64)
-        other = np.concatenate([own[:160], draw.integers(0, 2**64, 20, np.uint64)])  # 160 of 200 in common
-        met += any(a == b for a, b in zip(near_dedup.views(own), near_dedup.views(other), strict=True))
-    assert met >= 299
+    kept = [(r["doc_id"] is None, r["doc_id"] or 0, hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in got.collect()]
+    assert sorted(kept) == sorted(best.values())
+    assert simhash.representatives(edges.empty(spark)).count() == 0
 
 
 # Decontamination
