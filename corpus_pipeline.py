@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import decontam, near_dedup, packing, quality, secrets
+from listenlake.llm import decontam, packing, quality, secrets, simhash
 from listenlake.llm.common import settings, stage
 
 SEQUENCE = 2048
+SHINGLE = 3  # words of a shingle
+BITS = 2  # in which linked fingerprints differ at most
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group of equal or near-equal texts."""
-    return near_dedup.representatives(docs)
+    """One document stays of each component of three-word fingerprints within two bits."""
+    return simhash.representatives(docs, words=SHINGLE, radius=BITS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
