@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import chat, decontam, html_text, packing, quality, secrets, sharding, simhash, sql, suffix_dedup, token_codec
+from listenlake.llm import chat, decontam, html_text, line_dedup, packing, quality, secrets, sharding, simhash, sql, suffix_dedup, token_codec
 
 SHARDS = 40
 SEQUENCE = 2048
@@ -130,6 +130,12 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines of 20 code points or more that three documents share, but for the last."""
+    kept = line_dedup.drop_repeated(_table(spark, sf_dir, "documents"), least=20, documents=3)
+    return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleave": op1_interleave,
     "op2_token_files": op2_token_files,
@@ -141,10 +147,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_main_text": op9_main_text,
     "op10_pack": op10_pack,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 # The other queries need CRC-32, a tokenizer, XXH64, byte strings or a fitted model; tests hold them against brute force.
-SQL: dict[str, str] = {"op5_chat": sql.OP5, "op6_secrets": sql.OP6, "op7_decontaminate": sql.OP7}
+SQL: dict[str, str] = {"op5_chat": sql.OP5, "op6_secrets": sql.OP6, "op7_decontaminate": sql.OP7, "op11_line_dedup": sql.OP11}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
