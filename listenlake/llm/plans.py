@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import chat, decontam, html_text, line_dedup, packing, quality, secrets, sharding, simhash, sql, suffix_dedup, token_codec
+from listenlake.llm import chat, decontam, html_text, line_dedup, packing, quality, secrets, sharding, simhash, spelling, sql, suffix_dedup, token_codec
 
 SHARDS = 40
 SEQUENCE = 2048
@@ -136,6 +136,12 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of seven letters or more with their most frequent near word and the root of such forms."""
+    words = spelling.vocabulary(_table(spark, sf_dir, "documents"), least=7, occurrences=2, spoil=31)
+    return spelling.variants(words, least=7, factor=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleave": op1_interleave,
     "op2_token_files": op2_token_files,
@@ -148,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_main_text": op9_main_text,
     "op10_pack": op10_pack,
     "op11_line_dedup": op11_line_dedup,
+    "op12_spelling": op12_spelling,
 }
 
 # The other queries need CRC-32, a tokenizer, XXH64, byte strings or a fitted model; tests hold them against brute force.
