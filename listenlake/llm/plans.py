@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import chat, decontam, html_text, line_dedup, packing, quality, secrets, sharding, simhash, spelling, sql, suffix_dedup, token_codec
+from listenlake.llm import chat, decontam, html_text, line_dedup, packing, quality, ranking, secrets, sharding, simhash, spelling, sql, suffix_dedup, token_codec
 
 SHARDS = 40
 SEQUENCE = 2048
@@ -142,6 +142,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(words, least=7, factor=10)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each benchmark item the ten documents of the highest score."""
+    return ranking.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleave": op1_interleave,
     "op2_token_files": op2_token_files,
@@ -155,10 +160,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pack": op10_pack,
     "op11_line_dedup": op11_line_dedup,
     "op12_spelling": op12_spelling,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 # The other queries need CRC-32, a tokenizer, XXH64, byte strings or a fitted model; tests hold them against brute force.
-SQL: dict[str, str] = {"op5_chat": sql.OP5, "op6_secrets": sql.OP6, "op7_decontaminate": sql.OP7, "op11_line_dedup": sql.OP11}
+SQL: dict[str, str] = {
+    "op5_chat": sql.OP5,
+    "op6_secrets": sql.OP6,
+    "op7_decontaminate": sql.OP7,
+    "op11_line_dedup": sql.OP11,
+    "op13_lexical_search": sql.OP13,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

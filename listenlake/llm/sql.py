@@ -77,3 +77,19 @@ m AS (SELECT k.*, coalesce(keeper <> doc_id, false) AS lost FROM k LEFT JOIN sha
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
 FROM m GROUP BY r, doc_id"""
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{TERM}') AS t FROM documents),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d),
+b AS (SELECT q, item_id, unnest(t) AS term
+      FROM (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({LOWER}, '{TERM}') AS t FROM benchmark)),
+o AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d),
+f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM o SEMI JOIN b USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, s GROUP BY term, n_docs),
+scores AS (
+    SELECT q, item_id, r, doc_id,
+           CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM b JOIN f USING (term) JOIN w USING (term), s GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10"""
