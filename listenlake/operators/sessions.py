@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listenlake.operators import ordered
+from listenlake.operators.machine import Machine, fold
 from listenlake.operators.ordered import OrderedRows
 
 ORDER = ["timestamp", "event_id"]
@@ -31,6 +32,11 @@ ALLOWED_BEFORE = {
     "BitrateChangedEvent": ["STARTED", "PAUSED"],
     "OffsetChangedEvent": ["STARTED", "PAUSED"],
 }
+# An event makes its move only where it is allowed.
+STRICT = Machine(
+    ("NONE", "STARTED", "PAUSED", "STOPPED"),
+    {event: {state: after for state in ALLOWED_BEFORE[event]} for event, after in STATE_AFTER.items()},
+)
 
 
 def _rows(events: DataFrame) -> OrderedRows:
@@ -116,6 +122,21 @@ def states(events: DataFrame) -> DataFrame:
     )
 
 
+def strict_states(events: DataFrame) -> DataFrame:
+    """State before and after each event where illegal events are ignored.
+
+    A start only opens a session that has not begun, a pause needs a started session, a resume
+    a paused one, and nothing follows a stop. Illegal events are flagged and leave the state.
+    """
+    rows = _rows(events.select("session_id", "event_id", "event_type", "timestamp"))
+    allowed = _case(F.col("event_type"), ALLOWED_BEFORE, lambda v: F.array(*[F.lit(s) for s in v]))
+    return (
+        fold(rows, STRICT, "event_type", "state_before", "state_after")
+        .frame()
+        .withColumn("legal", F.array_contains(allowed, F.col("state_before")))
+    )
+
+
 def sessionize(
     events: DataFrame, key: str, ts: str, tie: str, idle_seconds: int = IDLE_SECONDS
 ) -> DataFrame:

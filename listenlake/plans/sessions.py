@@ -80,6 +80,34 @@ def session_state(d):
     return sessions.states(d.session_events())
 
 
+# Step by step: the state an event meets decides whether it moves.
+STRICT_SQL = S.replace("WITH", "WITH RECURSIVE", 1) + """
+    , numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY "timestamp", event_id) AS place FROM session_events)
+    , walk AS (
+        SELECT session_id, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS event_id, '' AS event_type,
+               CAST(NULL AS TIMESTAMP) AS "timestamp", '' AS state_before, 'NONE' AS state_after
+        FROM numbered WHERE place = 1
+      UNION ALL
+        SELECT n.session_id, n.place, n.event_id, n.event_type, n."timestamp", w.state_after,
+               CASE WHEN n.event_type = 'SessionStarted' AND w.state_after = 'NONE' THEN 'STARTED'
+                    WHEN n.event_type = 'SessionPaused' AND w.state_after = 'STARTED' THEN 'PAUSED'
+                    WHEN n.event_type = 'SessionResumed' AND w.state_after = 'PAUSED' THEN 'STARTED'
+                    WHEN n.event_type = 'SessionStopped' AND w.state_after IN ('STARTED', 'PAUSED') THEN 'STOPPED'
+                    ELSE w.state_after END
+        FROM walk w JOIN numbered n ON n.session_id = w.session_id AND n.place = w.place + 1)
+    SELECT session_id, event_id, event_type, "timestamp", state_before, state_after,
+           CASE event_type WHEN 'SessionStarted' THEN state_before = 'NONE'
+                           WHEN 'SessionPaused' THEN state_before = 'STARTED'
+                           WHEN 'SessionResumed' THEN state_before = 'PAUSED'
+                           ELSE state_before IN ('STARTED', 'PAUSED') END AS legal
+    FROM walk WHERE place > 0"""
+
+
+@query("session_state_strict", STRICT_SQL)
+def session_state_strict(d):
+    return sessions.strict_states(d.session_events())
+
+
 VISITS = f"""
     WITH gaps AS (SELECT user_id, event_id, ts,
             CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= CAST({IDLE} AS BIGINT) * 1000000 THEN 1 ELSE 0 END AS opens

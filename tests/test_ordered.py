@@ -7,9 +7,17 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from listenlake.operators import ordered, playlists, sessions
+from listenlake.operators import machine, ordered, playlists, sessions
 from listenlake.operators.ordered import OrderedRows
 
+
+@pytest.fixture(params=[1 << 20, 150, 0], autouse=True)
+def most(request, monkeypatch):
+    """No group, some groups or all of them are cut."""
+    monkeypatch.setattr(ordered, "MOST_ROWS", request.param)
+    return request.param
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = random.Random(7)
@@ -45,7 +53,9 @@ def test_parts_equal_whole_groups(rows, order):
     assert parts == sorted(map(str, _whole(rows, order).collect()))
 
 
-def test_groups_are_cut_and_no_window_holds_a_group(rows):
+def test_groups_are_cut_and_no_window_holds_a_group(rows, most):
+    if most > 300:
+        pytest.skip("nothing is cut")
     scans = OrderedRows.of(rows, ["k"], ["t", "id"])
     assert scans.rows.where("k = 'hot'").select("_chunk").distinct().count() > 1
     plan = scans.add(**_scans()).frame()._jdf.queryExecution().optimizedPlan().toString()
@@ -80,3 +90,63 @@ def test_renumbering_is_a_permutation(spark):
         old = {t: (p, t) for k, t, p in data if k == playlist}
         in_order = [r["track_id"] for r in sorted(mine, key=lambda r: r["position"])]
         assert in_order == sorted(in_order, key=lambda t: old[t])
+
+
+def test_one_shuffle_serves_a_chain_of_scans(rows, most):
+    if most < 1000:
+        pytest.skip("groups are cut")
+    chain = OrderedRows.of(rows, ["k"], ["t", "id"]).add(**_scans()).add(again=ordered.running_sum(F.col("number")))
+    plan = chain.frame()._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and "Join" not in plan
+
+
+STRIP = machine.Machine(("a", "b", "c", "d", "e"), {"x": {"a": "b", "b": "c"}, "y": {"c": "a", "e": "d"}, "z": {"a": "e", "b": "a", "d": "c"}})
+
+
+@pytest.mark.parametrize("order", [["t", "id"], ["-t", "id"]])
+def test_states_equal_a_walk(rows, order):
+    got = machine.fold(OrderedRows.of(rows, ["k"], order), STRIP, "s", "was", "now").frame().collect()
+    sign = -1 if order[0] == "-t" else 1
+    by_key = {}
+    for r in got:
+        by_key.setdefault(r["k"], []).append(r)
+    assert sum(map(len, by_key.values())) == rows.count()
+    for own in by_key.values():
+        state = "a"
+        for r in sorted(own, key=lambda r: (sign * r["t"], r["id"])):
+            assert r["was"] == state
+            state = STRIP.moves.get(r["s"], {}).get(state, state)
+            assert r["now"] == state
+
+
+def test_prefixes_of_functions():
+    import numpy as np
+
+    draw = np.random.default_rng(6)
+    for n in (0, 1, 2, 17, 1000):
+        maps, first = draw.integers(0, 5, (n, 5)), draw.random(n) < 0.05
+        before = draw.integers(0, 5, 5)
+        found, run = machine.prefixes(maps, first, before), before
+        for i in range(n):
+            run = maps[i] if first[i] else maps[i][run]
+            assert (found[i] == run).all()
+    with pytest.raises(ValueError):
+        machine.Machine((), {})
+
+
+def test_many_events_of_one_session(spark):
+    n = 100_000
+    kinds = ["SessionPaused", "SessionResumed", "SessionStarted", "ChunksAckEvent", "SessionPaused"]
+    events = spark.range(n).select(
+        F.lit("s").alias("session_id"),
+        F.col("id").alias("event_id"),
+        F.timestamp_seconds("id").alias("timestamp"),
+        F.when(F.col("id") == n - 50, "SessionStopped").otherwise(F.element_at(F.array(*map(F.lit, kinds)), (F.hash("id") % 5 + 5).cast("int") % 5 + 1)).alias("event_type"),
+    )
+    state = "NONE"
+    for r in sorted(sessions.strict_states(events).collect(), key=lambda r: r["event_id"]):
+        allowed = state in sessions.ALLOWED_BEFORE[r["event_type"]]
+        assert (r["state_before"], r["legal"]) == (state, allowed)
+        state = sessions.STATE_AFTER.get(r["event_type"], state) if allowed else state
+        assert r["state_after"] == state
+    assert state == "STOPPED"
