@@ -215,6 +215,14 @@ def sink_defaults(d):
     return sinks.to_seconds(sinks.with_sink_defaults(rows))
 
 
+CAPTURED_SQL = f"""SELECT *, CAST("timestamp" AS DATE) AS event_date FROM ({S}
+    SELECT event_id, event_type, session_id, coalesce(user_id, 0) AS user_id, coalesce(track_id, 0) AS track_id,
+           coalesce(CAST(bitrate AS VARCHAR), '') AS bitrate, coalesce(new_bitrate, 0) AS new_bitrate,
+           coalesce(acked_chunk_count, 0) AS acked_chunk_count, coalesce(total_chunks_sent, 0) AS total_chunks_sent,
+           coalesce(new_chunk_offset, 0) AS new_chunk_offset, coalesce(old_chunk_offset, 0) AS old_chunk_offset,
+           date_trunc('second', "timestamp") AS "timestamp" FROM session_events)"""
+
+
 @query("sink_layout_roundtrip", S + """SELECT *, CAST("timestamp" AS DATE) AS event_date FROM session_events""")
 def sink_layout_roundtrip(d):
     path = staging_path(d.spark, "session-events")

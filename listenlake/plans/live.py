@@ -2,17 +2,20 @@
 
 from pyspark.sql import functions as F
 
-from listenlake.operators import charts
-from listenlake.operators.sinks import KeyedTable
+from listenlake.operators import charts, history
+from listenlake.operators.sinks import SORT_KEYS, KeyedTable
 from listenlake.plans import dashboard, ingest, sessions
-from listenlake.plans.http import P95_SQL
+from listenlake.plans.http import P95_SQL, SLIDING
 from listenlake.plans.playlists import HISTORY_CTES
 from listenlake.plans.registry import query
 from listenlake.session import staging_path
 from listenlake.sources import cdc
 from listenlake.sources.domain import STREAM_FILES, ctes
 from listenlake.streaming import live, pipelines
-from listenlake.streaming.session_machine import EXPIRED, live_states
+from listenlake.streaming.capture import CaptureTable
+from listenlake.streaming.cascade import Cascade
+from listenlake.streaming.late import LateSplit
+from listenlake.streaming.session_machine import live_states
 
 LATE = "2 days"
 
@@ -97,6 +100,22 @@ def stream_dedup(d):
     return _append(d, live.deduplicate(twice, "event_id", "ts", "40 days"), "stream-dedup")
 
 
+@query("stream_capture_layout", ingest.CAPTURED_SQL)
+def stream_capture_layout(d):
+    """Captured batches into the defaulted table by day, each twice, merged once in mid-stream."""
+    table = CaptureTable(d.spark, staging_path(d.spark, "stream-capture"), SORT_KEYS["session_events"])
+
+    def twice(batch, batch_id):
+        table.write(batch, batch_id)
+        table.write(batch, batch_id)
+        if batch_id == 2:
+            table.merge(1)
+
+    rows = d.session_events(d.stream("events", delay=86_400)).withColumn("bitrate", F.col("bitrate").cast("string"))
+    _finish(pipelines.each_batch(rows, twice, f"{table.path}/checkpoint", once=True))
+    return table.read()
+
+
 # -- live metrics --------------------------------------------------------------------------
 
 
@@ -132,6 +151,16 @@ def stream_user_sketches(d):
     return dashboard.closeness(sketches.select("day", F.hll_sketch_estimate("users").alias("estimate")), exact, "day")
 
 
+@query("stream_late_corrections", "SELECT CAST(ts AS DATE) AS period, count(*) AS n FROM events GROUP BY 1")
+def stream_late_corrections(d):
+    """Rows arrive up to ten days late, days close after two: late rows are kept and then merged in."""
+    split = LateSplit(d.spark, staging_path(d.spark, "stream-late-rows"), "ts", 2 * 86_400)
+    events = d.stream("events", delay=10 * 86_400).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    _finish(pipelines.each_batch(events, split.write, f"{split.path}/checkpoint", once=True))
+    split.correct(STREAM_FILES)
+    return split.corrected_days()
+
+
 # -- sessions ------------------------------------------------------------------------------
 
 
@@ -158,10 +187,51 @@ def stream_enriched(d):
     )
 
 
-@query("stream_session_states", sessions.STATES_SQL)
+EXPIRY_SQL = ctes("session_events") + """
+    , gaps AS (SELECT *, CASE WHEN epoch_us("timestamp") - epoch_us(lag("timestamp") OVER w) < 1800000000 THEN 0 ELSE 1 END AS opens
+               FROM session_events WINDOW w AS (PARTITION BY session_id ORDER BY "timestamp", event_id))
+    , parts AS (SELECT *, sum(opens) OVER (PARTITION BY session_id ORDER BY "timestamp", event_id ROWS UNBOUNDED PRECEDING) AS part,
+                CASE event_type WHEN 'SessionStarted' THEN 'STARTED' WHEN 'SessionPaused' THEN 'PAUSED'
+                WHEN 'SessionResumed' THEN 'STARTED' WHEN 'SessionStopped' THEN 'STOPPED' END AS r FROM gaps)
+    , around AS (SELECT *,
+        coalesce(last_value(r IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'NONE') AS state_before,
+        coalesce(last_value(r IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'NONE') AS state_after,
+        lead(event_id) OVER w IS NULL AS ends
+      FROM parts WINDOW w AS (PARTITION BY session_id, part ORDER BY "timestamp", event_id))
+    SELECT session_id, event_id, event_type, "timestamp", state_before, state_after,
+           CASE event_type WHEN 'SessionStarted' THEN state_before = 'NONE'
+                           WHEN 'SessionPaused' THEN state_before = 'STARTED'
+                           WHEN 'SessionResumed' THEN state_before = 'PAUSED'
+                           ELSE state_before IN ('STARTED', 'PAUSED') END AS legal
+    FROM around
+    UNION ALL
+    SELECT session_id, NULL, 'SessionExpired', "timestamp", state_after, 'STOPPED', true
+    FROM around WHERE ends AND state_after IN ('STARTED', 'PAUSED')"""
+
+
+@query("stream_session_states", EXPIRY_SQL)
 def stream_session_states(d):
-    rows = live_states(d.session_events(d.stream("events")), LATE)
-    return _append(d, rows, "stream-states").where(F.col("event_type") != EXPIRED)
+    """Rows arrive up to a day late; states and expiries are those of event time."""
+    events = d.session_events(d.stream("events", close=True, delay=86_400))
+    return _append(d, live_states(events, LATE), "stream-states")
+
+
+# The whole session day is in reach; a later start of the session is preferred to an earlier one.
+LIVE_START_SQL = ctes("session_events") + """
+    , started AS (SELECT session_id, "timestamp" AS started_at, event_id AS start_event, user_id, track_id, bitrate
+                  FROM session_events WHERE event_type = 'SessionStarted')
+    SELECT e.event_id, e.session_id, e.event_type, e."timestamp", s.user_id, s.track_id, s.bitrate AS start_bitrate
+    FROM session_events e LEFT JOIN started s ON s.session_id = e.session_id
+         AND s.started_at <= e."timestamp" AND s.started_at >= e."timestamp" - INTERVAL 6 HOUR
+    QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY s.started_at DESC, s.start_event DESC) = 1"""
+
+
+@query("stream_enriched_live", LIVE_START_SQL)
+def stream_enriched_live(d):
+    """Events and starts joined while they stream; those without a start in six hours have nulls."""
+    events = d.session_events(d.stream("events", close=True, delay=86_400))
+    rows = _append(d, live.enriched_live(events, LATE, "6 HOURS"), "stream-enriched-live")
+    return live.latest_start(rows)
 
 
 # -- history and deletions -------------------------------------------------------------------
@@ -235,6 +305,73 @@ def stream_history_compacted(d):
     return smaller.read()
 
 
+DELETED = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'"
+GONE = f"SELECT o_orderkey FROM orders WHERE o_custkey IN ({DELETED})"
+LEFT = {
+    "history": (HISTORY_CTES, f"SELECT * FROM history WHERE user_id NOT IN ({DELETED})", f"user_id IN ({DELETED})"),
+    "likes": (ctes("likes"), f"SELECT * FROM likes WHERE user_id NOT IN ({DELETED})", f"user_id IN ({DELETED})"),
+    "playlist_users": (
+        ctes("playlist_users"),
+        f"SELECT * FROM playlist_users WHERE user_id NOT IN ({DELETED}) AND playlist_id NOT IN ({GONE})",
+        f"user_id IN ({DELETED}) OR playlist_id IN ({GONE})",
+    ),
+    "playlists": (ctes("playlists"), f"SELECT * FROM playlists WHERE playlist_id NOT IN ({GONE})", f"playlist_id IN ({GONE})"),
+    "playlist_tracks": (
+        ctes("playlist_tracks"), f"SELECT * FROM playlist_tracks WHERE playlist_id NOT IN ({GONE})", f"playlist_id IN ({GONE})"
+    ),
+}
+
+
+def _cascade(d, counted):
+    """Deletions of one segment's users, streamed over all tables; counted ones write each batch twice."""
+    owners = d.table("orders").select(F.col("o_orderkey").alias("playlist_id"), F.col("o_custkey").alias("user_id"))
+    tables = {
+        "history": lambda: history.latest(d.listens()),
+        "likes": d.likes,
+        "playlist_users": d.playlist_users,
+        "playlists": d.playlists,
+        "playlist_tracks": d.playlist_tracks,
+    }
+    cascade = Cascade(d.spark, staging_path(d.spark, "stream-cascade"), tables if counted else {}, lambda: owners)
+
+    def write(batch, batch_id):
+        for _ in range(2 if counted else 1):
+            cascade.write(batch, batch_id)
+
+    deleted = d.stream("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
+    _finish(pipelines.each_batch(deleted, write, f"{cascade.path}/checkpoint", once=True))
+    return cascade, tables
+
+
+def _register_left(name):
+    @query(f"stream_cascade_{name}", LEFT[name][0] + LEFT[name][1])
+    def left(d):
+        cascade, tables = _cascade(d, counted=False)
+        return cascade.left(tables[name]())
+
+
+for _name in LEFT:
+    _register_left(_name)
+
+
+@query(
+    "stream_user_cascade",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS "table", (SELECT count(*) FROM ({ctes_} SELECT * FROM {name} WHERE {hit})) AS affected,
+        (SELECT count(*) FROM ({ctes_} {left})) AS remaining"""
+        for name, (ctes_, left, hit) in LEFT.items()
+    ),
+)
+def stream_user_cascade(d):
+    """For every table the rows that all deletions took, by the counts of their batches, and those left."""
+    cascade, tables = _cascade(d, counted=True)
+    remaining = None
+    for name, table in tables.items():
+        one = cascade.left(table()).agg(F.count(F.lit(1)).alias("remaining")).select(F.lit(name).alias("table"), "remaining")
+        remaining = one if remaining is None else remaining.unionByName(one)
+    return cascade.affected().groupBy("table").agg(F.sum("affected").alias("affected")).join(remaining, "table")
+
+
 # -- requests ------------------------------------------------------------------------------
 
 
@@ -258,3 +395,35 @@ def stream_request_counter(d):
 def stream_request_windows(d):
     rows = live.request_windows(d.requests(d.stream("events")), LATE, "5 minutes", "5 minutes", 300)
     return _update(d, rows, "stream-windows", ["window_start", "endpoint"])
+
+
+SLIDING_P95_SQL = P95_SQL.replace(P95_SQL[P95_SQL.index(", placed AS"):P95_SQL.index(", buckets AS")], SLIDING[SLIDING.index(", placed AS") :].format(steps=5) + "\n    ")
+
+
+@query(
+    "stream_request_sliding",
+    f"""SELECT window_start, endpoint, per_second, rate_2xx, rate_4xx, rate_5xx, error_pct, latency AS p95
+    FROM (SELECT window_start, endpoint, round(count(*) / 300.0, 6) AS per_second,
+                 round(count(*) FILTER (status // 100 = 2) / 300.0, 6) AS rate_2xx,
+                 round(count(*) FILTER (status // 100 = 4) / 300.0, 6) AS rate_4xx,
+                 round(count(*) FILTER (status // 100 = 5) / 300.0, 6) AS rate_5xx,
+                 round(100.0 * count(*) FILTER (status // 100 = 5) / count(*), 6) AS error_pct
+          FROM ({SLIDING.format(steps=5)} SELECT * FROM placed) GROUP BY 1, 2)
+    JOIN ({SLIDING_P95_SQL}) USING (window_start, endpoint)""",
+)
+def stream_request_sliding(d):
+    """Five-minute windows by the minute, from panes of a minute that the stream keeps."""
+    panes = _update(d, live.request_panes(d.requests(d.stream("events")), LATE, "1 minute"), "stream-panes", ["pane", "endpoint"])
+    return live.windows_of_panes(panes, "5 minutes", "1 minute", 300)
+
+
+@query(
+    "stream_request_minutes",
+    ctes("requests") + """
+    SELECT date_trunc('minute', ts) AS window_start, endpoint, round(count(*) / 60.0, 6) AS per_second,
+           round(count(*) FILTER (status // 100 = 5) / 60.0, 6) AS rate_5xx FROM requests GROUP BY 1, 2""",
+)
+def stream_request_minutes(d):
+    """Rates by the minute from the same panes."""
+    panes = _update(d, live.request_panes(d.requests(d.stream("events")), LATE, "1 minute"), "stream-panes", ["pane", "endpoint"])
+    return live.windows_of_panes(panes, "1 minute", "1 minute", 60).select("window_start", "endpoint", "per_second", "rate_5xx")

@@ -22,8 +22,10 @@ SESSION_TYPES = {
 }
 
 
-# Streams read a table in so many files, cut at even shares of its order column.
+# Streams read a table in so many shares of its order column, each of so many files.
 STREAM_FILES = 4
+SHARE_FILES = 4
+CLOSING_DAYS = 400  # from the last row to the one that closes a stream
 STREAM_ORDER = {"events": "ts", "lineitem": "l_shipdate", "customer": "c_custkey"}
 
 
@@ -37,17 +39,36 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def stream(self, name: str) -> DataFrame:
-        """The same table as an unbounded source that brings a file a batch, in time order."""
+    def stream(self, name: str, close: bool = False, delay: int = 0) -> DataFrame:
+        """The same table as an unbounded source that brings a share a batch, in time order.
+
+        With ``delay`` rows arrive up to that many seconds late, each by its own hash, so they
+        come out of order. With ``close`` a last row of a far later time, all else null, moves
+        every watermark past the table's rows, so that all that waits for it comes out.
+        """
         rows, order, out = self.table(name), STREAM_ORDER[name], staging_path(self.spark, f"landed-{name}")
+        arrival = F.col(order)
+        if delay:
+            arrival = F.unix_micros(F.col(order).cast("timestamp")) + F.pmod(F.xxhash64(*rows.columns), F.lit(delay * 1_000_000))
+        given = rows.withColumn("_arrival", arrival)
         shares = [i / STREAM_FILES for i in range(1, STREAM_FILES)]
-        borders = rows.agg(F.percentile_approx(order, shares)).first()[0] or [None] * len(shares)
+        borders = given.agg(F.percentile_approx("_arrival", shares)).first()[0] or [None] * len(shares)
+
+        def land(part: DataFrame) -> None:
+            # So many files are a share, and a trigger takes so many.
+            part.repartition(SHARE_FILES).write.mode("append").parquet(out)
+
         for low, high in zip([None, *borders], [*borders, None], strict=True):
-            inside = F.lit(True) if low is None else F.col(order) > F.lit(low)
-            upto = F.lit(True) if high is None else F.col(order) <= F.lit(high)
-            missing = F.col(order).isNull() if low is None else F.lit(False)
-            rows.where((inside & upto) | missing).coalesce(1).write.mode("append").parquet(out)
-        return self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(out)
+            inside = F.lit(True) if low is None else F.col("_arrival") > F.lit(low)
+            upto = F.lit(True) if high is None else F.col("_arrival") <= F.lit(high)
+            missing = F.col("_arrival").isNull() if low is None else F.lit(False)
+            land(given.where((inside & upto) | missing).drop("_arrival"))
+        if close:
+            last = rows.agg(F.max(order).alias("_last"))
+            ends = {f.name: F.lit(None).cast(f.dataType) for f in rows.schema.fields}
+            ends[order] = (F.col("_last") + F.expr(f"INTERVAL {CLOSING_DAYS} DAYS")).cast(rows.schema[order].dataType)
+            land(last.select(*[c.alias(n) for n, c in ends.items()]))
+        return self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", SHARE_FILES).parquet(out)
 
     # -- playback events ---------------------------------------------------------------
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from listenlake.functions.scalars import status_class
 from listenlake.operators import history
-from listenlake.operators.http import DEFAULT_BOUNDS, bucket_counts, bucket_quantile
+from listenlake.operators.http import DEFAULT_BOUNDS, bucket_counts, bucket_quantile, windows
 from listenlake.operators.sessions import IDLE_SECONDS
 from listenlake.operators.sinks import KeyedTable
 from listenlake.streaming.pipelines import batch_folder
@@ -98,6 +98,70 @@ def enriched(events: DataFrame, starts: KeyedTable) -> DataFrame:
     return events.drop("user_id", "track_id").join(known, "session_id", "left")
 
 
+def enriched_live(events: DataFrame, lateness: str, reach: str) -> DataFrame:
+    """Every event with each start of its session at most ``reach`` before it, while they stream.
+
+    A left join of two watermarked streams: an event leaves the state once no start within
+    ``reach`` can still come, and then comes out with nulls if none did; a start leaves once
+    no event can still reach it. So the state holds ``reach`` and ``lateness`` and no more. An
+    event with several starts in reach comes out with each; ``latest_start`` keeps the last.
+    """
+    timed = events.withWatermark("timestamp", lateness)
+    # Asked with the time, so that the filter stays above the watermark: events of all types move it.
+    started = F.when(F.col("event_type") == "SessionStarted", F.col("timestamp")).isNotNull()
+    starts = timed.where(started).select(
+        F.col("session_id").alias("_session"),
+        F.col("timestamp").alias("started_at"),
+        F.col("event_id").alias("start_event"),
+        "user_id",
+        "track_id",
+        F.col("bitrate").alias("start_bitrate"),
+    )
+    within = (F.col("started_at") <= F.col("timestamp")) & (
+        F.col("started_at") >= F.col("timestamp") - F.expr(f"INTERVAL {reach}")
+    )
+    slim = timed.select("event_id", "session_id", "event_type", "timestamp")
+    return slim.join(starts, (F.col("session_id") == F.col("_session")) & within, "left").drop("_session")
+
+
+def latest_start(rows: DataFrame) -> DataFrame:
+    """One row for each event of ``enriched_live``: that with the latest start."""
+    start = F.struct("started_at", "start_event", "user_id", "track_id", "start_bitrate")
+    return rows.groupBy("event_id", "session_id", "event_type", "timestamp").agg(F.max(start).alias("_start")).select(
+        "event_id", "session_id", "event_type", "timestamp", "_start.user_id", "_start.track_id", "_start.start_bitrate"
+    )
+
+
+STATUS_CLASSES = (2, 4, 5)
+PANE_SUMS = [f"le_{i}" for i in range(len(DEFAULT_BOUNDS))] + ["total"] + [f"n_{c}xx" for c in STATUS_CLASSES]
+
+
+def request_panes(requests: DataFrame, lateness: str, slide: str) -> DataFrame:
+    """Latency histogram and status counts per endpoint and pane, one slide wide.
+
+    Every request is counted in one pane, however many windows cover it.
+    """
+    kind = status_class(F.col("status"))
+    counts = requests.withWatermark("ts", lateness).groupBy(F.window("ts", slide).alias("w"), "endpoint").agg(
+        *bucket_counts(DEFAULT_BOUNDS, F.col("duration_s")),
+        *[F.count(F.when(kind == c, 1)).alias(f"n_{c}xx") for c in STATUS_CLASSES],
+    )
+    return counts.select(F.col("w.start").alias("pane"), "endpoint", *PANE_SUMS)
+
+
+def windows_of_panes(panes: DataFrame, length: str, slide: str, seconds: int) -> DataFrame:
+    """Rates, error share and p95 of windows of ``length`` every ``slide``, summed from panes on read."""
+    sums = windows(panes.withColumn("_w", F.struct(F.col("pane").alias("start"))), ["endpoint"], length, slide, PANE_SUMS)
+    return sums.select(
+        "window_start",
+        "endpoint",
+        F.round(F.col("total") / seconds, 6).alias("per_second"),
+        *[F.round(F.col(f"n_{c}xx") / seconds, 6).alias(f"rate_{c}xx") for c in STATUS_CLASSES],
+        F.round(100 * F.col("n_5xx") / F.nullif("total", F.lit(0)), 6).alias("error_pct"),
+        F.round(bucket_quantile(0.95, DEFAULT_BOUNDS), 6).alias("p95"),
+    )
+
+
 def request_windows(requests: DataFrame, lateness: str, length: str, slide: str, seconds: int) -> DataFrame:
     """Rate, status split, error share and bucket p95 per endpoint and window."""
     kind = status_class(F.col("status"))

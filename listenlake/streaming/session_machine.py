@@ -1,4 +1,4 @@
-"""Live session states with expiry, as custom state per session."""
+"""Live session states with expiry, in order of event time, as custom state per session."""
 
 from __future__ import annotations
 
@@ -16,57 +16,96 @@ OUTPUT = (
     "session_id string, event_id bigint, event_type string, timestamp timestamp, "
     "state_before string, state_after string, legal boolean"
 )
-STATE = "status string, last_event timestamp"
+COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+STATE = "status string, last_at bigint, times array<bigint>, ids array<bigint>, types array<string>"
 EXPIRED = "SessionExpired"
+ENDED = ("STOPPED", "NONE")
 
 
-def _step(status: str, event_type: str) -> tuple[str, bool]:
-    return STATE_AFTER.get(event_type, status), status in ALLOWED_BEFORE.get(event_type, [])
+class Session:
+    """One session between batches: its status, its last applied time, and rows that wait."""
 
+    def __init__(self, kept: tuple | None, idle: int, strict: bool):
+        self.status, self.last, *waiting = kept or ("NONE", None, [], [], [])
+        self.waiting = [list(w or []) for w in waiting]
+        self.idle, self.strict = idle, strict
+        self.out: list[tuple] = []
 
-def live_states(events: DataFrame, lateness: str, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
-    """State around each event; a silent session not stopped gives one ``SessionExpired`` row.
+    def take(self, rows: pd.DataFrame) -> None:
+        if len(rows):
+            self.waiting[0] += rows["at"].tolist()
+            self.waiting[1] += rows["event_id"].tolist()
+            self.waiting[2] += [x if isinstance(x, str) else None for x in rows["event_type"]]
 
-    One key's rows of one micro-batch are ordered by (timestamp, event_id) before they are
-    applied, so bound the micro-batch (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``).
-    Only the last status and time are kept between batches.
+    def _expire(self) -> None:
+        if self.status not in ENDED:
+            self.out.append((None, EXPIRED, self.last, self.status, "STOPPED", True))
+        self.status, self.last = "NONE", None
+
+    def advance(self, watermark: int) -> None:
+        """Apply all rows up to the watermark in order of (time, id); no earlier ones can come."""
+        times, ids, types = self.waiting
+        order = np.lexsort((ids, times)) if times else []
+        ready = [i for i in order if times[i] <= watermark]
+        for i in ready:
+            if self.last is not None and times[i] - self.last >= self.idle:
+                self._expire()
+            before, event = self.status, types[i]
+            legal = before in ALLOWED_BEFORE.get(event, [])
+            if legal or not self.strict:
+                self.status = STATE_AFTER.get(event, before)
+            self.last = times[i]
+            self.out.append((ids[i], event, times[i], before, self.status, legal))
+        left = set(ready)
+        self.waiting = [[x for i, x in enumerate(w) if i not in left] for w in self.waiting]
+        if self.last is not None and self.last + self.idle <= watermark:
+            self._expire()
+
+    def due(self) -> int | None:
+        """When the watermark next changes something; None if nothing is left."""
+        times = [*self.waiting[0], *([] if self.last is None else [self.last + self.idle])]
+        return min(times, default=None)
+
+
+def live_states(events: DataFrame, lateness: str, idle_seconds: int = IDLE_SECONDS, strict: bool = False) -> DataFrame:
+    """State around each event in order of event time, and expiry of silent sessions.
+
+    A row waits in its session's state until the watermark has passed it, so its state does not
+    depend on the batch that brought it. After ``idle_seconds`` without an event a session that
+    is neither stopped nor unbegun gives one ``SessionExpired`` row at its last event's time, and
+    what follows begins anew. With ``strict`` illegal events leave the state.
+
+    A session's state holds its rows of the last ``lateness`` only. Rows of one (timestamp,
+    event_id) are applied as they come; rows without a session form one of their own.
     """
+    idle = idle_seconds * 1_000_000
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, last = state.get if state.exists else ("NONE", None)
-        if state.hasTimedOut:
+        session = Session(state.get if state.exists else None, idle, strict)
+        for rows in batches:
+            session.take(rows)
+        watermark = state.getCurrentWatermarkMs()
+        session.advance(watermark * 1000)
+        due = session.due()
+        if due is None:
             state.remove()
-            if status not in ("STOPPED", "NONE"):
-                yield pd.DataFrame(
-                    {
-                        "session_id": [key[0]], "event_id": [None], "event_type": [EXPIRED], "timestamp": [last],
-                        "state_before": [status], "state_after": ["STOPPED"], "legal": [True],
-                    }
-                )
-            return
-        rows = list(batches)
-        rows = rows[0] if len(rows) == 1 else pd.concat(rows)
-        times, ids, types = (rows[c].to_numpy() for c in ("timestamp", "event_id", "event_type"))
-        order = np.lexsort((ids, times))
-        before, after, legal = [], [], []
-        for event_type in types[order]:
-            before.append(status)
-            status, allowed = _step(status, event_type)
-            after.append(status)
-            legal.append(allowed)
-        newest = pd.Timestamp(times[order[-1]])
-        last = newest if last is None else max(pd.Timestamp(last), newest)
-        state.update((status, last.to_pydatetime()))
-        deadline = int(last.timestamp() * 1000) + idle_seconds * 1000
-        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {
-                "session_id": key[0], "event_id": ids[order], "event_type": types[order], "timestamp": times[order],
-                "state_before": before, "state_after": after, "legal": legal,
-            }
-        )
-
-    slim = events.select("session_id", "event_id", "event_type", F.col("timestamp")).withWatermark("timestamp", lateness)
+        else:
+            state.update((session.status, session.last, *session.waiting))
+            # A timer fires once the watermark is past it, so it is set one before.
+            state.setTimeoutTimestamp(max(-(-due // 1000) - 1, watermark + 1))
+        if session.out:
+            found = pd.DataFrame([(key[0], *row) for row in session.out], columns=COLUMNS)
+            found["event_id"] = found["event_id"].astype("Int64")
+            found["timestamp"] = pd.to_datetime(found["timestamp"], unit="us")
+            yield found
+
+    slim = events.select(
+        "session_id",
+        F.coalesce("event_id", F.lit(0).cast("long")).alias("event_id"),
+        "event_type",
+        F.unix_micros("timestamp").alias("at"),
+        "timestamp",
+    ).withWatermark("timestamp", lateness)
     return slim.groupBy("session_id").applyInPandasWithState(
         run, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -12,7 +12,6 @@ from listenlake.operators import charts, history, sessions
 from listenlake.operators.sinks import KeyedTable
 from listenlake.sources import cdc
 from listenlake.streaming import live, pipelines
-from listenlake.streaming.session_machine import EXPIRED, live_states
 
 SCHEMA = (
     "event_id long, event_type string, session_id string, user_id long, track_id long, bitrate int, new_bitrate int, "
@@ -63,24 +62,6 @@ def test_live_metrics_equal_batch(spark, topic, tmp_path):
     assert _rows(table.read()) == _rows(batch)
 
 
-def test_live_states_equal_batch_and_expire(spark, topic, tmp_path):
-    rows = live_states(_stream(spark, topic), "1 hour", idle_seconds=3 * 3600)
-    pipelines.append_files(rows, str(tmp_path / "o"), str(tmp_path / "c"), once=True).awaitTermination()
-    out = spark.read.schema(rows.schema).parquet(str(tmp_path / "o"))
-    # A state is kept only until the session expires, so sessions never silent for that
-    # long are compared whole.
-    events = spark.createDataFrame(_events(), SCHEMA)
-    gaps = sessions.timeline(events).groupBy("session_id").agg(F.max("gap_seconds").alias("g"))
-    steady = gaps.where("g < 3 * 3600").select("session_id")
-    batch = sessions.states(events)
-    columns = ["session_id", "event_id", "event_type", "timestamp", "state_before", "state_after", "legal"]
-    live_rows = out.where(F.col("event_type") != EXPIRED).join(steady, "session_id", "left_semi").select(*columns)
-    assert _rows(live_rows) == _rows(batch.join(steady, "session_id", "left_semi").select(*columns))
-    assert out.where(F.col("event_type") != EXPIRED).count() == 120
-    expired = out.where(F.col("event_type") == EXPIRED)
-    assert expired.count() > 0 and expired.where("state_before in ('NONE', 'STOPPED')").isEmpty()
-
-
 def test_deduplication_over_batches(spark, tmp_path):
     folder = str(tmp_path / "topic")
     rows = _events(40)
