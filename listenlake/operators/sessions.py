@@ -137,6 +137,101 @@ def strict_states(events: DataFrame) -> DataFrame:
     )
 
 
+TRACK = "struct<track_id: long, available_bitrates: array<int>, total_chunks: bigint, duration_ms: bigint>"
+
+
+def snapshot_timeline(events: DataFrame, tracks: DataFrame) -> DataFrame:
+    """What is known of the session after each of its events, and whether the event was applied.
+
+    Illegal events change nothing (see ``strict_states``), and neither does a switch to a bitrate
+    that the session's track does not have; both are flagged as not ``applied``. A session's
+    user, track and first bitrate are those of the start that opened it. The current chunk is the
+    last seek's target plus the chunks acknowledged since. ``paused_at`` is cleared by a resume
+    and kept by a stop. ``tracks`` has one row a track: ``track_id, available_bitrates,
+    total_chunks, duration_ms``; a track it lacks has no bitrates, so all switches are refused.
+    """
+    slim = events.select(
+        "session_id", *ORDER, "event_type", "user_id", "track_id", "bitrate", "new_bitrate",
+        "acked_chunk_count", "new_chunk_offset",
+    )
+    known = tracks.select(F.struct(*[c.split(":")[0] for c in TRACK[7:-1].split(", ")]).cast(TRACK).alias("_track"))
+    # Only starts have a track; the other rows would all meet on its null.
+    is_start = F.col("event_type").eqNullSafe("SessionStarted")
+    starting = slim.where(is_start).join(known, F.col("track_id") == F.col("_track.track_id"), "left")
+    given = slim.where(~is_start).withColumn("_track", F.lit(None).cast(TRACK)).unionByName(starting)
+
+    allowed = _case(F.col("event_type"), ALLOWED_BEFORE, lambda v: F.array(*[F.lit(s) for s in v]))
+    legal = F.coalesce(F.array_contains(allowed, F.col("state_before")), F.lit(False))
+
+    def when(event_type: str, value: Column) -> Column:
+        return F.when(F.col("_legal") & (F.col("event_type") == event_type), value)
+
+    opening = F.struct("user_id", "track_id", "bitrate", F.col("timestamp").alias("started_at"), "_track")
+    switch = F.coalesce(F.array_contains("_open._track.available_bitrates", F.col("new_bitrate")), F.lit(False))
+    refused = (F.col("event_type") == "BitrateChangedEvent") & ~switch
+    rows = fold(_rows(given), STRICT, "event_type", "state_before", "status").map(lambda df: df.withColumn("_legal", legal))
+    rows = rows.add(
+        _open=ordered.last_seen(when("SessionStarted", opening)),
+        _acks=ordered.running_sum(F.coalesce(when("ChunksAckEvent", F.col("acked_chunk_count")), F.lit(0))),
+        _pause=ordered.last_seen(
+            F.coalesce(
+                when("SessionPaused", F.struct(F.col("timestamp").alias("at"))),
+                when("SessionResumed", F.struct(F.lit(None).cast("timestamp").alias("at"))),
+            )
+        ),
+        finished_at=ordered.last_seen(when("SessionStopped", F.col("timestamp"))),
+    ).map(lambda df: df.withColumn("applied", F.col("_legal") & F.coalesce(~refused, F.lit(True))))
+    rows = rows.add(
+        _sought=ordered.last_seen(when("OffsetChangedEvent", F.col("new_chunk_offset") - F.col("_acks"))),
+        current_bitrate=ordered.last_seen(
+            F.coalesce(when("SessionStarted", F.col("bitrate")), when("BitrateChangedEvent", F.when(switch, F.col("new_bitrate"))))
+        ),
+    )
+    return rows.frame().select(
+        "session_id", *ORDER, "event_type", "applied", "status",
+        "_open.user_id", "_open.track_id", "_open.started_at", "current_bitrate",
+        (F.coalesce("_sought", F.lit(0)) + F.col("_acks")).alias("current_chunk"),
+        F.col("_pause.at").alias("paused_at"),
+        "finished_at",
+        F.col("_open._track").alias("track"),
+    )
+
+
+def snapshots(events: DataFrame, tracks: DataFrame) -> DataFrame:
+    """The last snapshot of each session that has begun, and how many switches it refused."""
+    rows = snapshot_timeline(events, tracks)
+    fields = [c for c in rows.columns if c not in ("session_id", *ORDER, "event_type", "applied")]
+    refused = F.count_if(
+        (F.col("event_type") == "BitrateChangedEvent") & ~F.col("applied") & F.col("status").isin("STARTED", "PAUSED")
+    )
+    last = F.max_by(F.struct(*fields), F.struct(*ORDER)).alias("_last")
+    return rows.groupBy("session_id").agg(last, refused.alias("refused_switches")).select(
+        "session_id", "_last.*", "refused_switches"
+    ).where(F.col("status") != "NONE")
+
+
+def snapshot_struct(chunk_size: int) -> Column:
+    """A row of ``snapshots`` as the struct that is stored, with times in ISO form."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c)
+    return F.struct(
+        "session_id",
+        F.col("user_id").cast("string").alias("user_id"),
+        F.col("current_bitrate").cast("string").alias("current_bitrate"),
+        F.lit(chunk_size).alias("chunk_size"),
+        "status",
+        F.col("current_chunk").cast("int").alias("current_chunk"),
+        iso("started_at"),
+        F.struct(
+            F.col("track_id").cast("string").alias("track_id"),
+            F.col("track.total_chunks").alias("total_chunks"),
+            F.col("track.available_bitrates").cast("array<string>").alias("available_bitrates"),
+            F.col("track.duration_ms").alias("duration_ms"),
+        ).alias("track"),
+        iso("paused_at"),
+        iso("finished_at"),
+    )
+
+
 def sessionize(
     events: DataFrame, key: str, ts: str, tie: str, idle_seconds: int = IDLE_SECONDS
 ) -> DataFrame:

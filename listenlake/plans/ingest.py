@@ -28,12 +28,12 @@ def cdc_parse(d):
     return cdc.parse(d.cdc_lines(), cdc.SESSION_ROW)
 
 
-@query(
-    "cdc_current_state",
-    LOGGED + f"""
+STATE_SQL = LOGGED + f"""
     , newest AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY step DESC) AS rn FROM after_image)
-    SELECT {ROW} FROM newest WHERE rn = 1 AND coalesce(track_id, 0) < 90""",
-)
+    SELECT {ROW} FROM newest WHERE rn = 1 AND coalesce(track_id, 0) < 90"""
+
+
+@query("cdc_current_state", STATE_SQL)
 def cdc_current_state(d):
     state = changes.current_state(cdc.changes(d.cdc_lines(), cdc.SESSION_ROW), "event_id", "offset")
     return state.withColumn("timestamp", scalars.from_micros(F.col("timestamp")))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from listenlake.operators import charts, history
+from listenlake.operators.changes import ChangeTable
 from listenlake.operators.sinks import SORT_KEYS, KeyedTable
 from listenlake.plans import dashboard, ingest, sessions
 from listenlake.plans.http import P95_SQL, SLIDING
@@ -100,6 +101,25 @@ def stream_dedup(d):
     return _append(d, live.deduplicate(twice, "event_id", "ts", "40 days"), "stream-dedup")
 
 
+@query("stream_cdc_current_state", ingest.STATE_SQL)
+def stream_cdc_current_state(d):
+    """The change log in no order over the batches, updates with their changed columns only, each batch twice."""
+    out = staging_path(d.spark, "stream-state")
+    lines = d.partial_cdc_lines().select("value", "offset").withColumn("share", F.pmod(F.xxhash64("value"), F.lit(STREAM_FILES)))
+    for share in range(STREAM_FILES):
+        lines.where(F.col("share") == share).drop("share").write.mode("append").parquet(f"{out}/topic")
+    table = ChangeTable(d.spark, f"{out}/rows", "event_id", cdc.columns(cdc.SESSION_ROW)[1:])
+    source = d.spark.readStream.schema(lines.drop("share").schema).option("maxFilesPerTrigger", 8).parquet(f"{out}/topic")
+
+    def twice(batch, batch_id):
+        table.write(batch, batch_id)
+        table.write(batch, batch_id)
+
+    changes = cdc.partial_changes(source, cdc.SESSION_ROW, "offset")
+    _finish(pipelines.each_batch(changes, twice, f"{out}/checkpoint", once=True))
+    return table.read().withColumn("timestamp", F.timestamp_micros("timestamp"))
+
+
 @query("stream_capture_layout", ingest.CAPTURED_SQL)
 def stream_capture_layout(d):
     """Captured batches into the defaulted table by day, each twice, merged once in mid-stream."""

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from listenlake.functions import scalars
-from listenlake.operators import sessions
+from listenlake.operators import catalog, sessions
 from listenlake.plans.registry import query
 from listenlake.sources.domain import ctes
 
@@ -276,3 +276,56 @@ def session_json(d):
     return starts.select(
         "event_id", back["session_id"].alias("session_id"), text.alias("snapshot"), back["track"]["track_id"].alias("track_back")
     )
+
+
+# Tracks as their stored objects give them: every track has one object, and so one bitrate.
+SNAPSHOT_SQL = STRICT_SQL.replace("SELECT session_id, event_id, event_type, \"timestamp\", state_before, state_after,\n           CASE event_type", ", states AS (SELECT walk.*, CASE event_type").replace(
+    "FROM walk WHERE place > 0",
+    """FROM walk WHERE place > 0)
+    , events_known AS (SELECT states.*, s.user_id, s.track_id, s.bitrate, s.new_bitrate, s.acked_chunk_count, s.new_chunk_offset
+                       FROM states JOIN session_events s USING (event_id))
+    , opened AS (SELECT session_id, user_id, track_id, bitrate, "timestamp" AS started_at, doc_id AS known,
+                        CASE doc_id % 3 WHEN 0 THEN 128 WHEN 1 THEN 192 WHEN 2 THEN 320 END AS has, n_chars
+                 FROM events_known LEFT JOIN documents ON doc_id = track_id WHERE event_type = 'SessionStarted' AND legal)
+    , after AS (SELECT e.*, o.has FROM events_known e JOIN opened o USING (session_id) WHERE legal)
+    , sought AS (SELECT session_id, max(place) AS seek FROM after WHERE event_type = 'OffsetChangedEvent' GROUP BY 1)
+    , facts AS (
+        SELECT session_id, arg_max(state_after, place) AS status,
+               arg_max(new_bitrate, place) FILTER (event_type = 'BitrateChangedEvent' AND new_bitrate = has) AS switched,
+               count(*) FILTER (event_type = 'BitrateChangedEvent' AND new_bitrate IS DISTINCT FROM has) AS refused,
+               arg_max(event_type, place) FILTER (event_type IN ('SessionPaused', 'SessionResumed')) AS last_mark,
+               max("timestamp") FILTER (event_type = 'SessionPaused') AS paused,
+               max("timestamp") FILTER (event_type = 'SessionStopped') AS finished,
+               coalesce(sum(acked_chunk_count) FILTER (event_type = 'ChunksAckEvent' AND place > coalesce(seek, 0)), 0)
+               + coalesce(max(new_chunk_offset) FILTER (place = seek), 0) AS chunk
+        FROM after LEFT JOIN sought USING (session_id) GROUP BY 1)
+    SELECT session_id, CAST(user_id AS VARCHAR) AS user_id, CAST(coalesce(switched, bitrate) AS VARCHAR) AS current_bitrate,
+           CAST(512 AS INTEGER) AS chunk_size, status, CAST(chunk AS INTEGER) AS current_chunk,
+           strftime(started_at, '%Y-%m-%dT%H:%M:%S.%f') AS started_at, CAST(track_id AS VARCHAR) AS track_id,
+           CAST((n_chars + 511) // 512 AS BIGINT) AS total_chunks, CAST(has AS VARCHAR) AS available_bitrates,
+           CAST(round(n_chars * 8 / (has * 1000.0) * 1000) AS BIGINT) AS duration_ms,
+           CASE WHEN last_mark = 'SessionPaused' THEN strftime(paused, '%Y-%m-%dT%H:%M:%S.%f') END AS paused_at,
+           strftime(finished, '%Y-%m-%dT%H:%M:%S.%f') AS finished_at, refused AS refused_switches
+    FROM facts JOIN opened USING (session_id)""",
+)
+
+
+@query("session_snapshots", SNAPSHOT_SQL)
+def session_snapshots(d):
+    """Every session's snapshot, written as JSON and read back."""
+    path, length = F.col("path"), F.col("length")
+    objects = d.objects()
+    sizes = objects.groupBy(scalars.object_track(path).alias("track_id")).agg(
+        F.max(scalars.total_chunks(length, 512)).alias("total_chunks"),
+        F.max(scalars.duration_ms(scalars.estimated_seconds(length, scalars.object_bitrate(path)))).alias("duration_ms"),
+    )
+    tracks = catalog.available_bitrates(objects).withColumnRenamed("bitrates", "available_bitrates").join(sizes, "track_id")
+    found = sessions.snapshots(d.session_events(), tracks)
+    text = scalars.snapshot_json(sessions.snapshot_struct(512))
+    back = found.select(scalars.snapshot_from_json(text).alias("s"), "refused_switches")
+    return back.select(
+        "s.session_id", "s.user_id", "s.current_bitrate", "s.chunk_size", "s.status", "s.current_chunk", "s.started_at",
+        "s.track.track_id", "s.track.total_chunks",
+        F.nullif(F.concat_ws(",", "s.track.available_bitrates"), F.lit("")).alias("available_bitrates"),
+        "s.track.duration_ms", "s.paused_at", "s.finished_at", "refused_switches",
+    )

@@ -65,6 +65,24 @@ def changes(lines: DataFrame, row: str) -> DataFrame:
     return lines.select(*kept, F.inline(F.array(payload)))
 
 
+def partial_changes(lines: DataFrame, row: str, position: str) -> DataFrame:
+    """Envelopes for ``ChangeTable``: kind, position, the new image's columns and which of them it holds.
+
+    Of a delete, the old image gives the key. A value that is no envelope gives nulls.
+    """
+    fields = columns(row)
+    key = fields[0]
+    names = F.json_object_keys(F.get_json_object(F.col("value").cast("string"), "$.payload.after"))
+    log = changes(lines.select("value", position, names.alias("_names")), row)
+    return log.select(
+        "op",
+        F.col(position).alias("position"),
+        F.coalesce(f"after.{key}", f"before.{key}").alias(key),
+        F.coalesce("_names", F.array().cast("array<string>")).alias("present"),
+        *[f"after.{c}" for c in fields[1:]],
+    )
+
+
 def parse(lines: DataFrame, row: str) -> DataFrame:
     """Typed rows of inserts and updates, appended as they come.
 

@@ -284,6 +284,13 @@ class Domain:
 
     # -- change data capture -----------------------------------------------------------
 
+    def partial_cdc_lines(self) -> DataFrame:
+        """``cdc_lines`` whose update images hold the key and the updated columns only."""
+        value = F.col("value")
+        after = F.from_json(F.get_json_object(value, "$.payload.after"), "event_id long, bitrate int, acked_chunk_count int")
+        image = F.to_json(F.struct(F.struct(F.lit("u").alias("op"), after.alias("after")).alias("payload")))
+        return self.cdc_lines().withColumn("value", F.when(F.get_json_object(value, "$.payload.op") == "u", image).otherwise(value))
+
     def cdc_lines(self, events: DataFrame | None = None) -> DataFrame:
         """Change envelopes of the session-event table, in log order (``offset``).
 
