@@ -6,6 +6,7 @@ matches when any of its tokens does, within an edit budget that depends on token
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import asdict, dataclass
 from datetime import date
 
@@ -438,6 +439,18 @@ def answer(requests: DataFrame, index: SearchIndex, text: bool = True, plain: bo
     )
 
 
+def next_page(index: SearchIndex, request: SearchRequest, cursor: Mapping | None) -> DataFrame:
+    """``track_id, score``: the page after the cursor row (its ``score`` and ``track_id``), best first.
+
+    Matches that are not after the cursor go before anything is sorted, so a deep page costs
+    what the first one does. ``request.page`` plays no part.
+    """
+    text = bool(request.title or request.artist_name)
+    bodies = request.frame(index.documents.sparkSession).withColumn("body", fingerprint(_CLAUSES)).select("body", *_CLAUSES)
+    found = matches(bodies, index, text=text, plain=not text).select("track_id", "score")
+    return paging.next_page(found, ["-score", "track_id"], cursor, request.page_size)
+
+
 def search(index: SearchIndex, request: SearchRequest) -> DataFrame:
     """One request's page of documents, best first, with the total number of matches."""
     asked = request.frame(index.documents.sparkSession)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from listenlake.functions import rules, scalars
 from listenlake.operators import history, ordered, paging, playlists
 from listenlake.plans.registry import query
+from listenlake.session import freeze
 from listenlake.sources.domain import ctes
 
 
@@ -307,6 +308,34 @@ def history_page_all(d):
     return paging.first_of_each(history.latest(d.listens()), ["user_id"], ["-timestamp", "track_id"], 10)
 
 
+PAGE_ORDER = ["-timestamp", "user_id", "track_id"]
+
+
+def _stored_history(d):
+    """The history as a table in its page order, so that a range of times prunes it."""
+    return freeze(history.latest(d.listens()).orderBy(F.col("timestamp").desc()), "paged-history")
+
+
+@query(
+    "history_pages_by_cursor",
+    HISTORY_CTES + """SELECT * FROM history ORDER BY "timestamp" DESC, user_id, track_id LIMIT 100 OFFSET 700""",
+)
+def history_pages_by_cursor(d):
+    """The eighth page of all listens, newest first, from the table of page starts."""
+    return paging.PageStarts.of(_stored_history(d), PAGE_ORDER, 100).page(8)
+
+
+@query(
+    "history_next_page",
+    HISTORY_CTES + """SELECT * FROM history ORDER BY "timestamp" DESC, user_id, track_id LIMIT 50 OFFSET 50""",
+)
+def history_next_page(d):
+    """The page after the last row of the first one."""
+    rows = _stored_history(d)
+    last = paging.next_page(rows, PAGE_ORDER, None, 50).tail(1)[0]
+    return paging.next_page(rows, PAGE_ORDER, last.asDict(), 50)
+
+
 @query("likes_first", LIKE_CTES + "SELECT * FROM first_likes")
 def likes_first(d):
     return history.first_likes(d.likes())

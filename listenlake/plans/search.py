@@ -163,6 +163,19 @@ def search_filters_only(d):
     return _page(search.search(_index(d), request))
 
 
+@query(
+    "search_pages_by_cursor",
+    "SELECT track_id, score FROM (" + ctes(*BASE) + INDEX
+    + ONE_REQUEST.format(title="'red ring'", artist="CAST(NULL AS VARCHAR)", genres="CAST(NULL AS VARCHAR[])", low="NULL", high="NULL", explicit="NULL", released="NULL")
+    + SCORED + PAGE.format(first=21, last=40) + ")",
+)
+def search_pages_by_cursor(d):
+    """The second page of twenty, from the last row of the first."""
+    index, request = _index(d), search.SearchRequest(title="red ring", page_size=20)
+    last = search.next_page(index, request, None).tail(1)
+    return search.next_page(index, request, last[0].asDict() if last else None)
+
+
 @query(
     "search_batch",
     ctes(*BASE, "search_requests") + INDEX + """
