@@ -92,41 +92,39 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, formatted, loss_spans`` of final messages, one row per conversation.
-
-    ``loss_spans`` are the stretches of ``formatted`` (code points, end exclusive) that hold an
-    assistant's text. A null role is written as an empty one. A conversation is one training
-    text, so its turns meet in one row, in turn order (ties by role, then text).
+    """``conv_id, n_turns, formatted, turn_spans, loss_spans`` of final messages, one row per conversation.
+
+    ``turn_spans`` are the stretches of ``formatted`` (code points, end exclusive) that hold the
+    turns' texts, and whether each counts for the loss; ``loss_spans`` are those that do, an
+    assistant's texts. A null role is written as an empty one. A conversation is one training
+    text, so its turns meet in one row, in turn order (ties by role, then text); its length
+    costs time in proportion, as places come from a running sum over the turns. No messages
+    give no row; other columns are ignored.
     """
     role, text = escape_role(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
-    turns = messages.select(
+    parts = messages.select(
         "conv_id",
-        F.struct(
-            F.col("turn").alias("turn"),
-            F.col("role").alias("role"),
-            F.col("text").alias("text"),
-            F.concat(F.lit(OPEN), role, F.lit(CLOSE)).alias("head"),
-            text.alias("body"),
-            (F.coalesce("role", F.lit("")) == ASSISTANT).alias("loss"),
-        ).alias("t"),
+        "turn",
+        "role",
+        "text",
+        F.concat(F.lit(OPEN), role, F.lit(CLOSE)).alias("head"),
+        text.alias("body"),
+        (F.coalesce("role", F.lit("")) == ASSISTANT).alias("loss"),
     )
-    gathered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-
-    def walk(state, t):
-        start = state["at"] + F.length(t["head"])
-        end = start + F.length(t["body"])
-        span = F.struct(start.alias("start"), end.alias("end"))
-        return F.struct(
-            (end + len(END)).alias("at"),
-            F.when(t["loss"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"))
+    size = F.length("head") + F.length("body") + len(END)
+    earlier = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(size).over(earlier), F.lit(0))
+    placed = parts.withColumn("start", (at + F.length("head")).cast("int"))
+    turn = F.struct("start", (F.col("start") + F.length("body")).cast("int").alias("end"), "loss", "head", "body")
+    # Every turn has a place of its own, so sorting by it keeps the turns' order.
+    gathered = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    span = lambda *names: lambda t: F.struct(*[t[n].alias(n) for n in names])
     return gathered.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("turns", start, walk, lambda s: s["spans"]).alias("loss_spans"),
+        F.transform("turns", span("start", "end", "loss")).alias("turn_spans"),
+        F.transform(F.filter("turns", lambda t: t["loss"]), span("start", "end")).alias("loss_spans"),
     )
 
 
@@ -146,7 +144,29 @@ def parse(formatted: Column) -> Column:
     return F.transform(turns, turn)
 
 
-def loss_text(formatted: Column, loss_spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    texts = F.transform(loss_spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"])))
-    return F.array_join(texts, "")
+def loss_text(formatted: Column, turn_spans: Column) -> Column:
+    """All text under the loss mask, unescaped, in order.
+
+    Reading every span from the start of the text would take square time, so the text is cut at
+    the ends of turns and each span is held against its own piece: it has to begin where the
+    piece's text does, counted from the span before, and end with the piece. Spans that are
+    not a turn's whole text are read from the start.
+    """
+    pieces = F.filter(F.split(formatted, END, -1), lambda p: p != "")
+    begins = F.transform(
+        turn_spans, lambda t, i: t["start"] - F.when(i == 0, 0).otherwise(F.get(turn_spans, i - 1)["end"] + len(END))
+    )
+    whole = F.transform(turn_spans, lambda t: t["end"] - t["start"])
+    fits = F.zip_with(
+        F.zip_with(pieces, begins, lambda p, b: F.when(F.instr(p, CLOSE) == b, F.length(p) - b)),
+        whole,
+        lambda left, size: F.coalesce(left == size, F.lit(False)),
+    )
+    own = F.zip_with(
+        pieces, turn_spans, lambda p, t: F.when(t["loss"], unescape(F.substring(p, F.instr(p, CLOSE) + 1, F.length(p))))
+    )
+    apart = F.transform(
+        F.filter(turn_spans, lambda t: t["loss"]),
+        lambda t: unescape(F.substring(formatted, t["start"] + 1, t["end"] - t["start"])),
+    )
+    return F.when(F.forall(fits, lambda f: f), F.array_join(own, "")).otherwise(F.array_join(apart, ""))

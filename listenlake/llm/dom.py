@@ -96,6 +96,9 @@ def parse(html: str) -> list[Node]:
     """All nodes in page order; the first is the root. Scripts, styles and the like leave nothing."""
     nodes = [Node("html", -1, 0)]
     stack: list[tuple[str, int]] = [("html", 0)]  # inline elements are open but have their block's node
+    opened: dict[str, list[int]] = {}  # places in the stack of the open elements of each name
+    blocks: list[int] = [0]  # and of those that are not inline
+    pieces: dict[int, list[str]] = {}  # of text nodes
     block, run, hidden, links = 0, -1, 0, 0
     at, n = 0, len(html)
 
@@ -114,11 +117,12 @@ def parse(html: str) -> list[Node]:
         if run < 0:
             if not text.strip():
                 if nodes[-1].tag == "#text" and nodes[-1].block == block:
-                    nodes[-1].text += text
+                    pieces[len(nodes) - 1].append(text)
                     return
             parent = stack[-1][1]
             run = add(Node("#text", parent, nodes[parent].depth + 1, block=block))
-        nodes[run].text += text
+            pieces[run] = []
+        pieces[run].append(text)
         if links:
             nodes[run].links += len(text)
 
@@ -126,21 +130,24 @@ def parse(html: str) -> list[Node]:
         nonlocal hidden, links, run, block
         while len(stack) > down_to:
             tag, own = stack.pop()
+            opened[tag].pop()
             hidden -= tag in UNSEEN
             links -= tag == "a"
             if tag not in INLINE:
+                blocks.pop()
                 block += 1
                 run = -1
             elif own != stack[-1][1]:
                 run = -1
 
+    def last(tags: tuple[str, ...]) -> int:
+        """Place of the innermost open element of some names; 0 if there is none."""
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     def close_like(tags: tuple[str, ...], scope: tuple[str, ...]):
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                close(i)
-                return
-            if stack[i][0] in scope:
-                return
+        found = last(tags)
+        if found and found >= last(scope):
+            close(found)
 
     while at < n:
         m = _TAG.search(html, at)
@@ -153,17 +160,15 @@ def parse(html: str) -> list[Node]:
             continue
         tag, attributes = m[2].lower(), m[3] or ""
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
+            found = last((tag,))
+            # An inline end tag does not reach out of its block.
+            if found and (tag not in INLINE or found > blocks[-1]):
+                close(found)
             if tag == "br":
                 block, run = block + 1, -1
             continue
         if tag in ("html", "body"):
-            if tag == "html" or any(t == "body" for t, _ in stack):
+            if tag == "html" or opened.get("body"):
                 continue
             close_like(("head",), ())
         if tag in ENDS_P:
@@ -184,12 +189,17 @@ def parse(html: str) -> list[Node]:
             own = stack[-1][1]
             own = add(Node(tag, own, nodes[own].depth + 1, tokens))
             block, run = block + 1, -1
+        opened.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
         stack.append((tag, own))
         hidden += tag in UNSEEN
         links += tag == "a"
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])|\Z", re.I).search(html, at)
             at = end.start()
+    for i, own in pieces.items():
+        nodes[i].text = "".join(own)
     return nodes
 
 

@@ -74,7 +74,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return (
         formatted.withColumn("turns", chat.parse(F.col("formatted")))
-        .withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+        .withColumn("loss", chat.loss_text(F.col("formatted"), F.col("turn_spans")))
         .select(
             "conv_id",
             F.size("turns").cast("long").alias("n_turns"),

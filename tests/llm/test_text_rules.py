@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from itertools import product
 
 import numpy as np
@@ -111,7 +112,7 @@ def test_rendering_is_reversible(spark):
     parts = ["", "<", "\\", "\\l", "\\b<", "</turn>\n", "<turn:user>", "\\\\<\\", "a>b", "\U0001f600", "\n"]
     rows = [(i, j, ["user", "assistant", "sys>tem<\\g", None][(i + j) % 4], a + b) for i, (a, b) in enumerate(product(parts, parts)) for j in range(3)]
     messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    found = chat.render(messages).withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    found = chat.render(messages).withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("turn_spans")))
     by_conv = {}
     for c, _, role, text in rows:
         by_conv.setdefault(c, []).append((role or "", text))
@@ -290,3 +291,39 @@ def test_chat_query_counts_ties_as_turns(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in plans.queries()["op5_chat"](spark, str(tmp_path)).collect()}
     assert (got[1], got[2]) == ((4, 1), (2, 2))
+
+
+def test_long_conversation(spark):
+    n = 100_000
+    body = F.concat(F.lit("é<\\\\"), F.col("id").cast("string"), F.when(F.col("id") % 5 == 0, " </turn> ok").otherwise(""))
+    messages = spark.range(n).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), body.alias("text")
+    )
+    began = time.monotonic()
+    found = chat.render(messages).withColumn("turns", chat.parse(F.col("formatted")))
+    r = found.withColumn("loss", chat.loss_text(F.col("formatted"), F.col("turn_spans"))).first()
+    assert time.monotonic() - began < 60
+    given = [(x["role"], x["text"]) for x in messages.orderBy("turn").collect()]
+    assert [(t["role"], t["text"]) for t in r["turns"]] == given and r["n_turns"] == n
+    assert r["loss"] == "".join(t for role, t in given if role == "assistant")
+    undo = lambda t: t.replace("\\l", "<").replace("\\b", "\\")
+    for s in (r["loss_spans"][0], r["loss_spans"][777], r["loss_spans"][-1]):
+        assert undo(r["formatted"][s["start"] : s["end"]]) in {t for _, t in given}
+
+
+def test_spans_that_are_no_whole_turns_are_read_too(spark):
+    text = "<turn:user>hi</turn>\n<turn:assistant>a\\lb</turn>\n"
+    spans = [(11, 13, False), (37, 41, True)]
+    for given, loss in ((spans, "a<b"), ([(11, 12, True), spans[1]], "ha<b"), ([spans[0], (37, 38, True)], "a"), ([(12, 13, True)], "i"), ([], "")):
+        df = spark.createDataFrame([(text, given)], "formatted string, turn_spans array<struct<start: int, end: int, loss: boolean>>")
+        assert df.select(chat.loss_text(F.col("formatted"), F.col("turn_spans"))).first()[0] == loss
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x" + "</b>" * 100_000, "<div>" * 50_000 + "<p>y" * 50_000, "<p>" + "<b>z</b> " * 100_000, "<div>" * 100_000 + "</div>" * 100_000 + "</p>" * 50_000])
+def test_pages_of_deep_nesting_and_unmatched_tags(trees, page):
+    began = time.monotonic()
+    nodes = dom.parse(page)
+    text = html_text.extract_pages([page], trees)[0]
+    assert time.monotonic() - began < 30 and len(text) < len(page)
+    plain = [c for c in page if c in "xyz"]
+    assert "".join(n.text for n in nodes).split() == (plain if "z" in plain else ["".join(plain)] if plain else [])
