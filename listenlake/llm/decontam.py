@@ -26,7 +26,7 @@ WINDOW = 13
 SHARD_BYTES = 8 << 20  # text of one shard, or one longer document
 SHARD_ROWS = 2048
 SAMPLE_STEP = 8
-BENCHMARK_BYTES = 16 << 20  # of benchmark text sent to the tasks at once; a larger one goes in blocks
+BENCHMARK_BYTES = 2 << 20  # of benchmark text sent to the tasks at once (some 85 bytes of driver memory each); a larger one goes in blocks
 
 
 def _table() -> bytes:

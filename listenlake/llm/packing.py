@@ -103,11 +103,18 @@ def pack(
     schema = f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long, _task long, _nth long"
     rows = docs.select(key, text)
     pieces = stage(rows.mapInArrow(_pieces(key, text, tokenizer or default_path(), longest, end_id), schema), "pieces")
-    # A row for each task and length (at most twelve a task), never one for each piece.
+    # A row for each task and length (at most twelve a task), never one for each piece. Numbers run on
+    # from longer lengths, whose totals are twelve rows, and from earlier tasks of the same length.
     counts = pieces.groupBy("_task", "length").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy(F.desc("length"), "_task").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("_task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_first"))
-    return pieces.join(F.broadcast(firsts), ["_task", "length"]).select(
+    totals = counts.groupBy("length").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    longer = Window.partitionBy(F.lit(0)).orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    begins = totals.select("length", F.coalesce(F.sum("n").over(longer), F.lit(0)).alias("_begin"))
+    firsts = counts.join(begins, "length").select(
+        "_task", "length", (F.col("_begin") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("_first")
+    )
+    # Broadcast by measured size only.
+    return pieces.join(firsts, ["_task", "length"]).select(
         key,
         "start",
         "length",
