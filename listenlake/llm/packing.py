@@ -113,8 +113,8 @@ def pack(
     firsts = counts.join(begins, "length").select(
         "_task", "length", (F.col("_begin") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("_first")
     )
-    # Broadcast by measured size only.
-    return pieces.join(firsts, ["_task", "length"]).select(
+    # As a written table its size is known when the join is planned: broadcast if small, and the pieces stay where they are.
+    return pieces.join(stage(firsts, "first-numbers"), ["_task", "length"]).select(
         key,
         "start",
         "length",
