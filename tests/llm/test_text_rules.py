@@ -84,6 +84,36 @@ def test_secrets_in_edge_cases(spark):
     assert findings.count() == added.count() == 0
 
 
+def plain_redaction(text):
+    out, at = "", 0
+    for start, end in sorted(tuple(map(int, s.split(":")[1:])) for s in plain_spans(text)):
+        if start >= at:
+            out += text[at:start] + "[REDACTED]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_redaction_equals_plain_redaction(spark):
+    """Overlapping kinds, wide characters, and findings on both sides of block borders."""
+    long = ["\U0001f600é" * n + "secret=abcdef" + "x " * 600 + "token=" + "0a" * 700 for n in (0, 1, 511, 512, 513, 1024)]
+    texts = dict(enumerate([*TRICKY, *long, "secret=" + "ab12" * 9 + " AKIA" + "B" * 20]))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redacted(rows).collect()}
+    assert got == {i: plain_redaction(t) for i, t in texts.items()}
+
+
+def test_text_of_very_many_findings(spark):
+    text = "secret=abcdef é " * 100_000
+    rows = spark.createDataFrame([(1, text), (2, "none")], "doc_id int, text string")
+    begun = time.time()
+    findings, _ = secrets.scan(rows)
+    got = {r["doc_id"]: r["s"] for r in findings.select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()}
+    assert got == {1: ",".join(plain_spans(text)), 2: ""}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(rows).collect()}
+    assert clean == {1: "[REDACTED] é " * 100_000, 2: "none"}
+    assert time.time() - begun < 60
+
+
 def test_native_paths_run_no_python(spark):
     for name in ("op1_interleave", "op5_chat", "op6_secrets"):
         plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
