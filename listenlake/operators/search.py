@@ -6,10 +6,11 @@ matches when any of its tokens does, within an edit budget that depends on token
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import asdict, dataclass
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -419,16 +420,16 @@ def _asked_tokens(bodies: DataFrame) -> DataFrame:
 def answer(requests: DataFrame, index: SearchIndex, text: bool = True, plain: bool = True) -> DataFrame:
     """Answer a table of requests: (request_id, rank, track_id, score, total).
 
-    Equal requests are answered once. Rows below the deepest page asked for are dropped in each
-    task before the shuffle; that depth is read from the requests when this is called, and the
-    matches are written, so building the answer starts jobs.
+    Equal requests are answered once. Matches are counted and cut to the deepest page asked for
+    in the tasks that find them; only what is left is written and shuffled. That depth is read
+    from the requests when this is called, so building the answer starts jobs.
     """
     stamped = requests.withColumn("body", fingerprint(_CLAUSES))
     bodies = stamped.select("body", *_CLAUSES).dropDuplicates(["body"])
-    found = freeze(matches(bodies, index, text, plain), "search-matches")
-    totals = found.groupBy("body").agg(F.count(F.lit(1)).alias("total"))
     deepest = requests.agg(F.max(F.col("page") * F.col("page_size"))).first()[0] or 0
-    ranked = paging.top_of_each(found, ["body"], ["-score", "track_id"], int(deepest))
+    found = freeze(best_of_tasks(matches(bodies, index, text, plain), int(deepest)), "search-best")
+    totals = found.groupBy("body").agg(F.sum("matched").alias("total"))
+    ranked = paging.top_of_each(found.drop("matched"), ["body"], ["-score", "track_id"], int(deepest))
     shown = (F.col("rank") > (F.col("page") - 1) * F.col("page_size")) & (F.col("rank") <= F.col("page") * F.col("page_size"))
     return (
         stamped.select("request_id", "body", "page", "page_size")
@@ -439,6 +440,41 @@ def answer(requests: DataFrame, index: SearchIndex, text: bool = True, plain: bo
     )
 
 
+def best_of_tasks(found: DataFrame, depth: int, most_rows: int = 1 << 20) -> DataFrame:
+    """(body, track_id, score, matched): the best ``depth`` rows a body of every task, best first.
+
+    ``matched`` sums up to the number of all matches of a body: it stands on one row of each
+    body a task gives out and is 0 on the others. A task that holds more than ``most_rows``
+    gives out what it has and begins anew, so its memory does not grow with the requests.
+    """
+    depth = max(depth, 1)  # a body's count needs a row to stand on
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["body", "score", "track_id"], ascending=[True, False, True], kind="stable")
+        body = rows.groupby("body", sort=False)
+        matched = body["matched"].transform("sum")
+        place = body.cumcount()
+        return rows.assign(matched=matched.where(place == 0, 0))[place < depth]
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, waiting = [], 0
+        for batch in batches:
+            held.append(batch.assign(matched=1))
+            waiting += len(batch)
+            if waiting > most_rows:
+                best = cut(pd.concat(held))
+                held, waiting = [best], len(best)
+                if waiting > most_rows // 2:
+                    yield best
+                    held, waiting = [], 0
+        if held:
+            yield cut(pd.concat(held))
+
+    fields = {f.name: f.dataType.simpleString() for f in found.schema}
+    schema = ", ".join(f"{c} {fields[c]}" for c in ("body", "track_id", "score")) + ", matched bigint"
+    return found.select("body", "track_id", "score").mapInPandas(task, schema)
+
+
 def next_page(index: SearchIndex, request: SearchRequest, cursor: Mapping | None) -> DataFrame:
     """``track_id, score``: the page after the cursor row (its ``score`` and ``track_id``), best first.
 

@@ -125,3 +125,18 @@ def test_guards():
     with pytest.raises(ValueError):
         search.SearchRequest(title="x", page_size=101)
     assert search.SearchRequest(explicit=False)
+
+
+@pytest.mark.parametrize("most_rows", [1 << 20, 50])
+def test_tasks_hand_on_counts_and_best_rows_only(spark, most_rows):
+    """One body holds most matches, scores tie, and tasks give out early where they may hold little."""
+    rows = [("hot" if i % 10 else f"b{i % 7}", i, float(i * 7 % 5)) for i in range(1000)]
+    found = spark.createDataFrame(rows, "body string, track_id bigint, score double").repartition(4)
+    got = search.best_of_tasks(found, 3, most_rows).toPandas()
+    for body in {r[0] for r in rows}:
+        own = sorted((-s, t) for b, t, s in rows if b == body)
+        kept = got[got.body == body]
+        assert kept.matched.sum() == len(own)
+        assert sorted(zip(-kept.score, kept.track_id))[:3] == own[:3]
+    if most_rows > 50:
+        assert len(got) <= 4 * 8 * 3
