@@ -46,9 +46,10 @@ def set_aside(df: DataFrame, reason: str, path: str) -> tuple[DataFrame, DataFra
     Both come from one pass that is written once, under ``aside=false`` and ``aside=true``.
     """
     df.withColumn("aside", F.col(reason).isNotNull()).write.partitionBy("aside").parquet(path)
-    written = df.sparkSession.read.schema(f"{_ddl(df)}, aside boolean").parquet(path)
+    written = df.sparkSession.read.schema(f"{ddl(df)}, aside boolean").parquet(path)
     return written.where("NOT aside").drop("aside", reason), written.where("aside").drop("aside")
 
 
-def _ddl(df: DataFrame) -> str:
+def ddl(df: DataFrame) -> str:
+    """A frame's columns as a schema that a reader takes."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from listenlake.operators import http
 from listenlake.plans.registry import query
+from listenlake.sources import files
 from listenlake.sources.domain import ctes
 
 R = ctes("requests")
@@ -111,3 +112,49 @@ def http_p95_exact(d):
 )
 def latency_p95_by_endpoint(d):
     return http.exact_quantile(d.requests().select("endpoint", "duration_s"), ["endpoint"], "duration_s", 0.95)
+
+
+# -- from log files ------------------------------------------------------------------------
+
+# The lines of the log: what was written of each request, and why it cannot be counted.
+LOG = R + """
+    , log AS (SELECT ts, method, CASE WHEN status = 404 THEN '/raw/' ELSE '/api/' END || endpoint AS endpoint, status, duration_s,
+                     CASE WHEN request_id % 97 = 0 THEN 'unreadable' WHEN request_id % 89 = 0 THEN 'no status' END AS problem
+              FROM requests)"""
+
+
+@query(
+    "request_log_counter",
+    LOG + "SELECT method, endpoint, status, count(*) AS requests FROM log WHERE problem IS NULL GROUP BY 1, 2, 3",
+)
+def request_log_counter(d):
+    return http.counter(files.read_requests(d.spark, d.landed_requests()))
+
+
+@query(
+    "request_log_status",
+    LOG + """
+    SELECT date_trunc('minute', ts) AS window_start, endpoint,
+           round(count(*) FILTER (status // 100 = 2) / 60.0, 6) AS rate_2xx,
+           round(count(*) FILTER (status // 100 = 4) / 60.0, 6) AS rate_4xx,
+           round(count(*) FILTER (status // 100 = 5) / 60.0, 6) AS rate_5xx
+    FROM log WHERE problem IS NULL GROUP BY 1, 2""",
+)
+def request_log_status(d):
+    return http.status_rates(files.read_requests(d.spark, d.landed_requests()))
+
+
+@query(
+    "request_log_latency",
+    LOG + """
+    SELECT endpoint, round(quantile_cont(duration_s, 0.95), 9) AS quantile FROM log WHERE problem IS NULL GROUP BY 1""",
+)
+def request_log_latency(d):
+    rows = files.read_requests(d.spark, d.landed_requests())
+    return http.exact_quantile(rows.select("endpoint", "duration_s"), ["endpoint"], "duration_s", 0.95)
+
+
+@query("request_log_problems", LOG + "SELECT problem, count(*) AS n FROM log WHERE problem IS NOT NULL GROUP BY 1")
+def request_log_problems(d):
+    rows = files.read_request_log(d.spark, d.landed_requests())
+    return rows.where("problem IS NOT NULL").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))

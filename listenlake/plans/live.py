@@ -4,14 +4,15 @@ from pyspark.sql import functions as F
 
 from listenlake.operators import charts, history
 from listenlake.operators.changes import ChangeTable
+from listenlake.operators.quality import ddl
 from listenlake.operators.sinks import SORT_KEYS, KeyedTable
 from listenlake.plans import dashboard, ingest, sessions
-from listenlake.plans.http import P95_SQL, SLIDING
+from listenlake.plans.http import LOG, P95_SQL, SLIDING
 from listenlake.plans.playlists import HISTORY_CTES
 from listenlake.plans.registry import query
 from listenlake.session import staging_path
-from listenlake.sources import cdc
-from listenlake.sources.domain import STREAM_FILES, ctes
+from listenlake.sources import cdc, files
+from listenlake.sources.domain import SHARE_FILES, STREAM_FILES, ctes
 from listenlake.streaming import live, pipelines
 from listenlake.streaming.capture import CaptureTable
 from listenlake.streaming.cascade import Cascade
@@ -447,3 +448,28 @@ def stream_request_minutes(d):
     """Rates by the minute from the same panes."""
     panes = _update(d, live.request_panes(d.requests(d.stream("events")), LATE, "1 minute"), "stream-panes", ["pane", "endpoint"])
     return live.windows_of_panes(panes, "1 minute", "1 minute", 60).select("window_start", "endpoint", "per_second", "rate_5xx")
+
+
+def _log_rows(d, name):
+    """Log files streamed into one table with a folder for lines that cannot be counted, in one pass."""
+    out = staging_path(d.spark, name)
+    rows = files.stream_request_log(d.spark, d.landed_requests(), SHARE_FILES).withColumn("aside", F.col("problem").isNotNull())
+    _finish(pipelines.each_batch(rows, pipelines.batch_folder(f"{out}/rows", ["aside"]), f"{out}/checkpoint", once=True))
+    return d.spark.read.schema(f"{ddl(rows)}, batch_id long").parquet(f"{out}/rows")
+
+
+@query(
+    "stream_request_log",
+    LOG + """
+    SELECT date_trunc('hour', ts) AS hour, method, endpoint, status, count(*) AS requests
+    FROM log WHERE problem IS NULL GROUP BY 1, 2, 3, 4""",
+)
+def stream_request_log(d):
+    rows = _log_rows(d, "stream-log").where("NOT aside").withColumn("hour", F.date_trunc("hour", "ts"))
+    return rows.groupBy("hour", "method", "endpoint", "status").agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query("stream_request_problems", LOG + "SELECT problem, count(*) AS n FROM log WHERE problem IS NOT NULL GROUP BY 1")
+def stream_request_problems(d):
+    rows = _log_rows(d, "stream-problems").where("aside")
+    return rows.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listenlake.functions import scalars
+from listenlake.sources.cdc import read_lines
 
 REQUEST_SCHEMA = "ts timestamp, method string, route string, path string, status int, duration_s double"
+# What a request must have to be counted.
+NEEDED = ["ts", "method", "endpoint", "status", "duration_s"]
 
 
 def list_objects(spark: SparkSession, root: str) -> DataFrame:
@@ -60,12 +63,33 @@ def normalise_requests(rows: DataFrame) -> DataFrame:
     return rows.withColumn("endpoint", scalars.endpoint_label(F.col("route"), F.col("path"))).drop("route", "path")
 
 
+def parse_requests(lines: DataFrame) -> DataFrame:
+    """Request rows of log lines (column ``value``), each with its ``problem`` or null.
+
+    A line that is not a whole JSON object of the right types is unreadable; one that lacks what
+    the metrics count by names the first field it lacks. Blank lines are no requests.
+    """
+    read = F.from_json("value", f"{REQUEST_SCHEMA}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.where(F.trim("value") != "").select("value", read.alias("_r")).select("value", "_r.*")
+    rows = normalise_requests(rows)
+    lacking = [F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in NEEDED]
+    unreadable = F.when(F.col("_corrupt").isNotNull(), "unreadable")
+    return rows.withColumn("problem", F.coalesce(unreadable, *lacking)).drop("_corrupt")
+
+
+def read_request_log(spark: SparkSession, folder: str) -> DataFrame:
+    """All lines of the log files below a folder, those with a problem too."""
+    return parse_requests(spark.read.text(folder))
+
+
 def read_requests(spark: SparkSession, folder: str) -> DataFrame:
-    return normalise_requests(spark.read.schema(REQUEST_SCHEMA).json(folder))
+    """The requests that can be counted."""
+    return read_request_log(spark, folder).where("problem IS NULL").drop("value", "problem")
 
 
-def stream_requests(spark: SparkSession, folder: str) -> DataFrame:
-    return normalise_requests(spark.readStream.schema(REQUEST_SCHEMA).json(folder))
+def stream_request_log(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The same lines as an unbounded source that takes new files as they come."""
+    return parse_requests(read_lines(spark, folder, files_per_trigger))
 
 
 def read_table(

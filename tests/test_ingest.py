@@ -152,6 +152,30 @@ def test_request_log(spark, tmp_path):
     assert [(r["endpoint"], r["status"]) for r in rows] == [("/t/{id}", 200), ("/nowhere", 404)]
 
 
+def test_request_log_lines_with_problems(spark, tmp_path):
+    whole = {"ts": "2024-01-01T00:00:00.123456Z", "method": "GET", "route": None, "path": "/p", "status": 200, "duration_s": 0.1}
+
+    def without(*names):
+        return json.dumps({k: v for k, v in whole.items() if k not in names})
+
+    lines = {
+        json.dumps(whole): None, json.dumps(whole | {"further": [1]}): None, without("path"): "no endpoint", without("ts", "status"): "no ts",
+        without("status"): "no status", without("duration_s"): "no duration_s", json.dumps(whole)[:40]: "unreadable",
+        json.dumps(whole | {"status": "ok"}): "unreadable", "not json": "unreadable",
+    }
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.json").write_text("\n\n".join(lines) + "\n   \n")
+    (tmp_path / "log" / "empty.json").write_text("")
+    rows = files.read_request_log(spark, str(tmp_path / "log")).collect()
+    assert {r["value"]: r["problem"] for r in rows} == lines and len(rows) == len(lines)
+    good = files.read_requests(spark, str(tmp_path / "log"))
+    assert good.columns == ["ts", "method", "status", "duration_s", "endpoint"]
+    assert [r["ts"].microsecond for r in good.collect()] == [123456] * 2
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty.json").write_text("")
+    assert files.read_request_log(spark, str(tmp_path / "none")).count() == 0
+
+
 # -- sinks ---------------------------------------------------------------------------------
 
 
