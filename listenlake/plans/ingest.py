@@ -28,6 +28,16 @@ def cdc_parse(d):
     return cdc.parse(d.cdc_lines(), cdc.SESSION_ROW)
 
 
+# Parsed rows as the captured table keeps them.
+STORED_SQL = f"""
+    SELECT event_id, coalesce(event_type, '') AS event_type, coalesce(session_id, '') AS session_id,
+           coalesce(user_id, '') AS user_id, coalesce(track_id, '') AS track_id, coalesce(bitrate, '') AS bitrate,
+           coalesce(new_bitrate, 0) AS new_bitrate, coalesce(acked_chunk_count, 0) AS acked_chunk_count,
+           coalesce(total_chunks_sent, 0) AS total_chunks_sent, coalesce(new_chunk_offset, 0) AS new_chunk_offset,
+           coalesce(old_chunk_offset, 0) AS old_chunk_offset, date_trunc('second', "timestamp") AS "timestamp",
+           CAST("timestamp" AS DATE) AS event_date FROM ({PARSE_SQL})"""
+
+
 STATE_SQL = LOGGED + f"""
     , newest AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY step DESC) AS rn FROM after_image)
     SELECT {ROW} FROM newest WHERE rn = 1 AND coalesce(track_id, 0) < 90"""

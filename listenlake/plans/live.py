@@ -78,6 +78,16 @@ def stream_cdc_users(d):
     return _captured(d, "users_events", d.user_cdc_lines())
 
 
+@query("stream_capture_session", ingest.STORED_SQL)
+def stream_capture_session(d):
+    """Change lines through defaults, day folders and sort key, merged after every third batch."""
+    out = staging_path(d.spark, "capture-session")
+    d.cdc_lines().select("value").repartition(STREAM_FILES).write.text(f"{out}/topic")
+    source = {"session_events": cdc.read_lines(d.spark, f"{out}/topic", files_per_trigger=1)}
+    _finish(pipelines.run_capture(d.spark, source, f"{out}/tables", f"{out}/checkpoints", 3, once=True)["session_events"])
+    return pipelines.capture_tables(d.spark, f"{out}/tables")["session_events"].read()
+
+
 @query("stream_idempotent_sink", ctes("session_events") + "SELECT * FROM session_events")
 def stream_idempotent_sink(d):
     """Every batch in its own folder; each batch is written twice on purpose."""

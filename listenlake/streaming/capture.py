@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ class CaptureTable:
     manifest: which version holds each day, and up to which batch all is merged. The manifest
     is the switch: readers take the newest complete one, and until it is there they see the old
     files. A merge that dies leaves files no manifest names. Days without new rows stay as they are.
+    Rows without a time are a day of their own, the null one.
     """
 
     spark: SparkSession
@@ -40,23 +42,38 @@ class CaptureTable:
             return new
         return self._merged(version).unionByName(new)
 
+    def writer(self, merge_every: int | None = None) -> Callable[[DataFrame, int], None]:
+        """``write`` for ``foreachBatch`` that also merges after every so many batches."""
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            self.write(batch, batch_id)
+            if merge_every and (batch_id + 1) % merge_every == 0:
+                self.merge(batch_id)
+
+        return write
+
     def merge(self, up_to: int) -> None:
         """Merge all batches up to ``up_to``, which must be complete."""
         version, done = self._state()
         new = self._batches().where((F.col("batch_id") > done) & (F.col("batch_id") <= up_to)).drop("batch_id")
         # A version is named after the batch it ends with, so a repeated merge replaces its own files.
-        touched = new.select(DAY).distinct()
-        rows, days = new, touched.withColumn("version", F.lit(up_to).cast("long"))
+        touched = new.select(F.col(DAY).alias("_day")).distinct()
+        same = F.col(DAY).eqNullSafe(F.col("_day"))
+        rows, days = new, touched.withColumnRenamed("_day", DAY).withColumn("version", F.lit(up_to).cast("long"))
         if version is not None:
-            rows = self._merged(version).join(touched, DAY, "left_semi").unionByName(new)
-            days = days.unionByName(self._manifest(version).join(touched, DAY, "left_anti"))
+            rows = self._merged(version).join(touched, same, "left_semi").unionByName(new)
+            days = days.unionByName(self._manifest(version).join(touched, same, "left_anti"))
         if up_to <= done:
             return
         write_events(rows.drop(DAY), f"{self.path}/merged/version={up_to}", self.sort_key, "overwrite")
         days.write.mode("overwrite").parquet(f"{self.path}/manifest/upto={up_to}")
 
     def _batches(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/batches")
+        return self._stored("batches")
+
+    def _stored(self, folder: str) -> DataFrame:
+        # The day is read from folder names; where all are null, they do not tell that it is a date.
+        return self.spark.read.parquet(f"{self.path}/{folder}").withColumn(DAY, F.col(DAY).cast("date"))
 
     def _manifest(self, version: int) -> DataFrame:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/upto={version}")
@@ -64,8 +81,8 @@ class CaptureTable:
     def _merged(self, version: int) -> DataFrame:
         """Each day's rows from the version that holds it; versions and days are folders, so others are not read."""
         days = self._manifest(version).withColumnRenamed("version", "_version").withColumnRenamed(DAY, "_day")
-        stored = self.spark.read.parquet(f"{self.path}/merged")
-        held = (F.col("version") == F.col("_version")) & (F.col(DAY) == F.col("_day"))
+        stored = self._stored("merged")
+        held = (F.col("version") == F.col("_version")) & F.col(DAY).eqNullSafe(F.col("_day"))
         return stored.join(days, held, "left_semi").drop("version")
 
     def _state(self) -> tuple[int | None, int]:

@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from listenlake.operators.sinks import SORT_KEYS
 from listenlake.sources import cdc
+from listenlake.streaming.capture import CaptureTable
 
 
 def _trigger(writer, once: bool):
@@ -73,6 +75,27 @@ def run_cdc(
     }
 
 
+def capture_tables(spark: SparkSession, out: str) -> dict[str, CaptureTable]:
+    """The captured tables below a folder, each sorted by its own key."""
+    return {table.name: CaptureTable(spark, f"{out}/{table.name}", SORT_KEYS[table.name]) for table in CDC_TABLES}
+
+
+def run_capture(
+    spark: SparkSession, sources: dict[str, DataFrame], out: str, checkpoints: str,
+    merge_every: int | None = None, once: bool = False,
+) -> dict[str, StreamingQuery]:
+    """Change lines of each table, parsed, into its defaulted table by day; see ``capture_tables``."""
+    tables = capture_tables(spark, out)
+    return {
+        table.name: each_batch(
+            cdc.parse(sources[table.name], table.row), tables[table.name].writer(merge_every),
+            f"{checkpoints}/{table.name}", once=once,
+        )
+        for table in CDC_TABLES
+        if table.name in sources
+    }
+
+
 def wait_for_any(spark: SparkSession) -> None:
     """Block until one of the session's queries ends."""
     spark.streams.awaitAnyTermination()

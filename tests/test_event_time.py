@@ -157,6 +157,19 @@ def test_captured_days_are_merged_by_a_switch(spark, tmp_path):
     assert 0 < untouched < table._manifest(3).count()  # days without new rows stay where they are
 
 
+def test_captured_rows_without_a_time_stay(spark, tmp_path):
+    schema = "event_id long, user_id string, timestamp timestamp"
+    table = CaptureTable(spark, str(tmp_path / "t"), ["user_id", "timestamp"])
+    write = table.writer(merge_every=2)
+    for n in range(5):
+        write(spark.createDataFrame([(2 * n, None, None), (2 * n + 1, "u", START)], schema), n)
+        write(spark.createDataFrame([(2 * n, None, None), (2 * n + 1, "u", START)], schema), n)  # replayed, also after a merge
+        rows = {r["event_id"]: (r["user_id"], r["timestamp"] is None, r["event_date"] is None) for r in table.read().collect()}
+        assert rows == {i: ("u", False, False) if i % 2 else ("", True, True) for i in range(2 * n + 2)}
+        assert table.read().count() == len(rows)
+    assert table._state() == (3, 3) and table._manifest(3).count() == 2
+
+
 def test_cascade_over_batches(spark, tmp_path):
     users = lambda *ids: spark.createDataFrame([(i,) for i in ids], "user_id long")
     likes = spark.createDataFrame([(u, t) for u in range(6) for t in range(3)], "user_id long, track_id long")

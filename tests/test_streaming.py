@@ -193,3 +193,26 @@ def test_three_capture_pipelines_with_their_own_checkpoints(spark, tmp_path):
     assert {n: sorted(ids) for n, ids in run().items()} == {
         "session_events": [1], "playlist_events": [2], "users_events": [4, 9]
     }
+
+
+def test_three_captured_tables_with_defaults(spark, tmp_path):
+    bodies = {
+        "session_events": {"event_id": 1, "event_type": "SessionPaused", "session_id": "s", "timestamp": 1_500_000},
+        "playlist_events": {"event_id": 2, "event_type": "TrackAddedToPlaylist", "playlist_id": 3, "timestamp": None},
+        "users_events": {"event_id": 4, "event_type": None, "user_id": None, "timestamp": 5},
+    }
+    sources = {}
+    for name, after in bodies.items():
+        folder = tmp_path / "topics" / name
+        folder.mkdir(parents=True)
+        lines = [json.dumps({"payload": {"after": after, "op": "c"}}), "garbage"]
+        (folder / "0.json").write_text("\n".join(lines))
+        sources[name] = cdc.read_lines(spark, str(folder), 1)
+    for query in pipelines.run_capture(spark, sources, str(tmp_path / "out"), str(tmp_path / "c"), 1, once=True).values():
+        query.awaitTermination()
+    stored = {n: t.read().first().asDict() for n, t in pipelines.capture_tables(spark, str(tmp_path / "out")).items()}
+    session, playlist, user = (stored[n] for n in bodies)
+    assert (session["user_id"], session["bitrate"], session["new_bitrate"]) == ("", "", 0)
+    assert session["timestamp"].microsecond == 0 and session["event_date"].isoformat() == "1970-01-01"
+    assert (playlist["track_id"], playlist["user_id"], playlist["timestamp"], playlist["event_date"]) == (0, 0, None, None)
+    assert (user["event_type"], user["user_id"]) == ("", "")
