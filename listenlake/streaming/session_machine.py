@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,57 +18,70 @@ OUTPUT = (
     "state_before string, state_after string, legal boolean"
 )
 COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
-STATE = "status string, last_at bigint, times array<bigint>, ids array<bigint>, types array<string>"
+STATE = (
+    "sessions array<string>, statuses array<string>, lasts array<bigint>, "
+    "times array<bigint>, ids array<bigint>, owners array<string>, types array<string>"
+)
 EXPIRED = "SessionExpired"
 ENDED = ("STOPPED", "NONE")
+# Sessions are kept by hash in so many state rows: few calls of Python, each a small share of all rows.
+BUCKETS = 1024
 
 
-class Session:
-    """One session between batches: its status, its last applied time, and rows that wait."""
+class Sessions:
+    """A bucket of sessions between batches: status and last applied time of each, and rows that wait."""
 
     def __init__(self, kept: tuple | None, idle: int, strict: bool):
-        self.status, self.last, *waiting = kept or ("NONE", None, [], [], [])
-        self.waiting = [list(w or []) for w in waiting]
+        sessions, statuses, lasts, *waiting = [list(c or []) for c in kept or [[]] * 7]
+        self.known = dict(zip(sessions, zip(statuses, lasts, strict=True), strict=True))
+        self.waiting = list(zip(*waiting, strict=True))
         self.idle, self.strict = idle, strict
         self.out: list[tuple] = []
 
     def take(self, rows: pd.DataFrame) -> None:
-        if len(rows):
-            self.waiting[0] += rows["at"].tolist()
-            self.waiting[1] += rows["event_id"].tolist()
-            self.waiting[2] += [x if isinstance(x, str) else None for x in rows["event_type"]]
+        text = [[x if isinstance(x, str) else None for x in rows[c]] for c in ("session_id", "event_type")]
+        self.waiting += zip(rows["at"].tolist(), rows["event_id"].tolist(), *text, strict=True)
 
-    def _expire(self) -> None:
-        if self.status not in ENDED:
-            self.out.append((None, EXPIRED, self.last, self.status, "STOPPED", True))
-        self.status, self.last = "NONE", None
+    def _expire(self, session: str | None, status: str, last: int) -> None:
+        if status not in ENDED:
+            self.out.append((session, None, EXPIRED, last, status, "STOPPED", True))
 
     def advance(self, watermark: int) -> None:
         """Apply all rows up to the watermark in order of (time, id); no earlier ones can come."""
-        times, ids, types = self.waiting
-        order = np.lexsort((ids, times)) if times else []
-        ready = [i for i in order if times[i] <= watermark]
-        for i in ready:
-            if self.last is not None and times[i] - self.last >= self.idle:
-                self._expire()
-            before, event = self.status, types[i]
+        ready = sorted((r for r in self.waiting if r[0] <= watermark), key=itemgetter(0, 1))
+        self.waiting = [r for r in self.waiting if not r[0] <= watermark]
+        for at, event_id, session, event in ready:
+            before, last = self.known.get(session, ("NONE", None))
+            if last is not None and at - last >= self.idle:
+                self._expire(session, before, last)
+                before = "NONE"
             legal = before in ALLOWED_BEFORE.get(event, [])
-            if legal or not self.strict:
-                self.status = STATE_AFTER.get(event, before)
-            self.last = times[i]
-            self.out.append((ids[i], event, times[i], before, self.status, legal))
-        left = set(ready)
-        self.waiting = [[x for i, x in enumerate(w) if i not in left] for w in self.waiting]
-        if self.last is not None and self.last + self.idle <= watermark:
-            self._expire()
+            after = STATE_AFTER.get(event, before) if legal or not self.strict else before
+            self.known[session] = (after, at)
+            self.out.append((session, event_id, event, at, before, after, legal))
+        silent = [(s, *k) for s, k in self.known.items() if k[1] + self.idle <= watermark]
+        for session, status, last in silent:
+            self._expire(session, status, last)
+            del self.known[session]
 
     def due(self) -> int | None:
         """When the watermark next changes something; None if nothing is left."""
-        times = [*self.waiting[0], *([] if self.last is None else [self.last + self.idle])]
-        return min(times, default=None)
+        ends = (last + self.idle for _, last in self.known.values())
+        return min(chain((r[0] for r in self.waiting), ends), default=None)
+
+    def kept(self) -> tuple:
+        """The bucket as its state row."""
+        known = [(s, *k) for s, k in self.known.items()]
+        return (*_columns(known, 3), *_columns(self.waiting, 4))
+
+
+def _columns(rows: list[tuple], width: int) -> list[list]:
+    return [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(width)]
 
 
-def live_states(events: DataFrame, lateness: str, idle_seconds: int = IDLE_SECONDS, strict: bool = False) -> DataFrame:
+def live_states(
+    events: DataFrame, lateness: str, idle_seconds: int = IDLE_SECONDS, strict: bool = False, buckets: int = BUCKETS
+) -> DataFrame:
     """State around each event in order of event time, and expiry of silent sessions.
 
     A row waits in its session's state until the watermark has passed it, so its state does not
@@ -75,37 +89,40 @@ def live_states(events: DataFrame, lateness: str, idle_seconds: int = IDLE_SECON
     is neither stopped nor unbegun gives one ``SessionExpired`` row at its last event's time, and
     what follows begins anew. With ``strict`` illegal events leave the state.
 
-    A session's state holds its rows of the last ``lateness`` only. Rows of one (timestamp,
-    event_id) are applied as they come; rows without a session form one of their own.
+    The state holds rows of the last ``lateness`` only, and those of sessions not yet silent for
+    ``idle_seconds``. Sessions share ``buckets`` state rows by hash, a number that must stay the same
+    as long as the checkpoint lives. Rows of one (timestamp, event_id) are applied as they come; rows
+    without a session form one of their own.
     """
     idle = idle_seconds * 1_000_000
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session = Session(state.get if state.exists else None, idle, strict)
+        sessions = Sessions(state.get if state.exists else None, idle, strict)
         for rows in batches:
-            session.take(rows)
+            sessions.take(rows)
         watermark = state.getCurrentWatermarkMs()
-        session.advance(watermark * 1000)
-        due = session.due()
+        sessions.advance(watermark * 1000)
+        due = sessions.due()
         if due is None:
             state.remove()
         else:
-            state.update((session.status, session.last, *session.waiting))
+            state.update(sessions.kept())
             # A timer fires once the watermark is past it, so it is set one before.
             state.setTimeoutTimestamp(max(-(-due // 1000) - 1, watermark + 1))
-        if session.out:
-            found = pd.DataFrame([(key[0], *row) for row in session.out], columns=COLUMNS)
-            found["event_id"] = found["event_id"].astype("Int64")
+        if sessions.out:
+            found = pd.DataFrame(sessions.out, columns=COLUMNS)
+            found["event_id"] = pd.array(found["event_id"], dtype="Int64")
             found["timestamp"] = pd.to_datetime(found["timestamp"], unit="us")
             yield found
 
     slim = events.select(
+        F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket"),
         "session_id",
         F.coalesce("event_id", F.lit(0).cast("long")).alias("event_id"),
         "event_type",
         F.unix_micros("timestamp").alias("at"),
         "timestamp",
     ).withWatermark("timestamp", lateness)
-    return slim.groupBy("session_id").applyInPandasWithState(
+    return slim.groupBy("bucket").applyInPandasWithState(
         run, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -72,6 +72,15 @@ def test_rows_wait_for_the_watermark_and_sessions_expire_once(spark, tmp_path):
     assert seen == [(0, "SessionStarted", "STARTED"), (None, EXPIRED, "STOPPED"), (1, "SessionPaused", "PAUSED")]
 
 
+def test_many_sessions_share_few_state_rows(spark, tmp_path):
+    rows = [(i, "SessionStarted", f"s{i % 60}" if i % 7 else None, *[None] * 8, START + dt.timedelta(minutes=i)) for i in range(300)]
+    _land(spark, str(tmp_path / "t"), [rows[:200], rows[200:], [LAST]])
+    out, query = _run(spark, live_states(_stream(spark, str(tmp_path / "t")), "40 days", 3600, buckets=3), tmp_path)
+    assert sorted(map(str, map(tuple, out.collect()))) == _walk(rows, dt.timedelta(hours=1), False)
+    held = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress]
+    assert 0 < max(held) <= 3
+
+
 def test_live_enrichment(spark, tmp_path):
     hour = lambda n: START + dt.timedelta(hours=n)
     start = lambda i, s, at, user: (i, "SessionStarted", s, user, 7, 128, *[None] * 5, at)
