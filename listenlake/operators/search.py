@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 from dataclasses import asdict, dataclass
 from datetime import date
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -277,15 +279,18 @@ def wanted_terms(asked: DataFrame, index: SearchIndex) -> DataFrame:
 
 
 def rarest_scores(wanted: DataFrame, index: SearchIndex) -> DataFrame:
-    """(body, track_id, score): documents that meet the body's rarest clause, with that clause's BM25."""
-    hits = wanted.where("first").join(index.postings, ["field", "token"])
+    """(body, track_id, score): documents that meet the body's rarest clause, with that clause's BM25.
+
+    Postings are dealt by document before they meet the terms, so that where the terms are few
+    enough to go to every task, the many matches are summed and checked where they arise.
+    """
+    hits = index.postings.repartition("track_id").join(wanted.where("first"), ["field", "token"])
     return hits.groupBy("body", "track_id").agg(F.sum(F.col("times") * term_score()).alias("score"))
 
 
-def add_other_scores(candidates: DataFrame, wanted: DataFrame, index: SearchIndex) -> DataFrame:
-    """Candidates that meet their body's other clause too, where there is one, scores added."""
+def add_other_scores(asked: DataFrame, wanted: DataFrame, index: SearchIndex) -> DataFrame:
+    """Candidates of bodies with two clauses that meet the other clause too, scores added."""
     others = wanted.where("NOT first")
-    asked = candidates.join(others.select("body").distinct(), "body", "left_semi")
     hits = (
         asked.select("body", "track_id")
         .join(others, "body")
@@ -293,9 +298,7 @@ def add_other_scores(candidates: DataFrame, wanted: DataFrame, index: SearchInde
         .groupBy("body", "track_id")
         .agg(F.sum(F.col("times") * term_score()).alias("more"))
     )
-    both = asked.join(hits, ["body", "track_id"]).select("body", "track_id", (F.col("score") + F.col("more")).alias("score"))
-    alone = candidates.join(others.select("body").distinct(), "body", "left_anti")
-    return alone.select("body", "track_id", "score").unionByName(both)
+    return asked.join(hits, ["body", "track_id"]).select("body", "track_id", (F.col("score") + F.col("more")).alias("score"))
 
 
 # -- answering -------------------------------------------------------------------------
@@ -380,13 +383,17 @@ def matches(bodies: DataFrame, index: SearchIndex, text: bool = True, plain: boo
     """
     found = []
     if text:
-        wanted = wanted_terms(_asked_tokens(bodies), index)
-        checked = _checked(rarest_scores(wanted, index), bodies, index)
-        found.append(add_other_scores(checked, wanted, index))
+        # Written, as each use would expand all tokens again, and so that their size is known.
+        wanted = freeze(wanted_terms(_asked_tokens(bodies), index), "search-terms")
+        two = wanted.where("NOT first").select("body").distinct()
+        alone, asked = (
+            _checked(rarest_scores(wanted.join(two, "body", kind), index), bodies, index) for kind in ("left_anti", "left_semi")
+        )
+        found += [alone, add_other_scores(asked, wanted, index)]
     if plain:
         bare = bodies.where(_text_clauses() == 0)
         found.append(_checked(_filter_candidates(bare, index.documents), bodies, index))
-    all_found = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    all_found = reduce(DataFrame.unionByName, found)
     # Rounding makes equal scores equal whatever the order of summing.
     return all_found.withColumn("score", F.round("score", 6))
 
@@ -425,7 +432,7 @@ def answer(requests: DataFrame, index: SearchIndex, text: bool = True, plain: bo
     from the requests when this is called, so building the answer starts jobs.
     """
     stamped = requests.withColumn("body", fingerprint(_CLAUSES))
-    bodies = stamped.select("body", *_CLAUSES).dropDuplicates(["body"])
+    bodies = freeze(stamped.select("body", *_CLAUSES).dropDuplicates(["body"]), "search-bodies")
     deepest = requests.agg(F.max(F.col("page") * F.col("page_size"))).first()[0] or 0
     found = freeze(best_of_tasks(matches(bodies, index, text, plain), int(deepest)), "search-best")
     totals = found.groupBy("body").agg(F.sum("matched").alias("total"))
@@ -450,11 +457,13 @@ def best_of_tasks(found: DataFrame, depth: int, most_rows: int = 1 << 20) -> Dat
     depth = max(depth, 1)  # a body's count needs a row to stand on
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["body", "score", "track_id"], ascending=[True, False, True], kind="stable")
-        body = rows.groupby("body", sort=False)
-        matched = body["matched"].transform("sum")
-        place = body.cumcount()
-        return rows.assign(matched=matched.where(place == 0, 0))[place < depth]
+        body = pd.factorize(rows["body"])[0]
+        matched = np.bincount(body, rows["matched"]).astype("int64")
+        order = np.lexsort((rows["track_id"], -rows["score"], body))
+        body = body[order]
+        place = np.arange(len(body)) - np.searchsorted(body, body)
+        kept = place < depth
+        return rows.iloc[order[kept]].assign(matched=np.where(place == 0, matched[body], 0)[kept])
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, waiting = [], 0

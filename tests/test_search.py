@@ -117,6 +117,12 @@ def test_requests_of_several_depths(spark, index):
     assert {(r["request_id"], r["rank"], r["track_id"]) for r in rows} == {(0, 1, 3), (1, 2, 2)}
 
 
+def test_tokens_are_expanded_once_for_all_uses(spark, index):
+    bodies = search.SearchRequest(title="rde", artist_name="band").frame(spark).withColumn("body", F.lit("b"))
+    read = search.matches(bodies, index).inputFiles()
+    assert any("search-postings" in f for f in read) and not any("search-keys" in f for f in read)
+
+
 def test_guards():
     with pytest.raises(ValueError):
         search.SearchRequest()
