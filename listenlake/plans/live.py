@@ -20,6 +20,7 @@ from listenlake.streaming.late import LateSplit
 from listenlake.streaming.session_machine import live_states
 
 LATE = "2 days"
+LINES_A_FILE = 1 << 17  # rows of a table whose change lines share a file
 
 
 def _finish(stream_query):
@@ -45,18 +46,28 @@ def _update(d, rows, name, keys):
 # -- capture pipelines ---------------------------------------------------------------------
 
 
-def _captured(d, table, lines):
+def _land(d, lines, path, table, kind="text"):
+    """Write change lines of a table as files of bounded size; returns how many files a batch takes.
+
+    The files grow in number with the table, so no task writes or reads more in a larger one;
+    the batches stay STREAM_FILES.
+    """
+    files = max(STREAM_FILES, -(-d.table(table).count() // LINES_A_FILE))
+    lines.repartition(files).write.format(kind).save(path)
+    return -(-files // STREAM_FILES)
+
+
+def _captured(d, table, lines, given):
     """Land change lines as text, stream them through the table's pipeline."""
     out = staging_path(d.spark, f"stream-{table}")
-    lines.select("value").repartition(STREAM_FILES).write.text(f"{out}/topic")
-    source = cdc.read_lines(d.spark, f"{out}/topic", files_per_trigger=1)
+    source = cdc.read_lines(d.spark, f"{out}/topic", _land(d, lines.select("value"), f"{out}/topic", given))
     _finish(pipelines.run_cdc({table: source}, f"{out}/rows", f"{out}/checkpoints", once=True)[table])
     return d.spark.read.parquet(f"{out}/rows/{table}")
 
 
 @query("stream_cdc_session", ingest.PARSE_SQL)
 def stream_cdc_session(d):
-    return _captured(d, "session_events", d.cdc_lines())
+    return _captured(d, "session_events", d.cdc_lines(), "events")
 
 
 @query(
@@ -66,7 +77,7 @@ def stream_cdc_session(d):
               CAST(l_suppkey AS INTEGER) AS user_id, l_shipdate AS "timestamp" FROM lineitem""",
 )
 def stream_cdc_playlist(d):
-    return _captured(d, "playlist_events", d.playlist_cdc_lines())
+    return _captured(d, "playlist_events", d.playlist_cdc_lines(), "lineitem")
 
 
 @query(
@@ -75,15 +86,15 @@ def stream_cdc_playlist(d):
               o_orderdate AS "timestamp" FROM orders""",
 )
 def stream_cdc_users(d):
-    return _captured(d, "users_events", d.user_cdc_lines())
+    return _captured(d, "users_events", d.user_cdc_lines(), "orders")
 
 
 @query("stream_capture_session", ingest.STORED_SQL)
 def stream_capture_session(d):
     """Change lines through defaults, day folders and sort key, merged after every third batch."""
     out = staging_path(d.spark, "capture-session")
-    d.cdc_lines().select("value").repartition(STREAM_FILES).write.text(f"{out}/topic")
-    source = {"session_events": cdc.read_lines(d.spark, f"{out}/topic", files_per_trigger=1)}
+    files = _land(d, d.cdc_lines().select("value"), f"{out}/topic", "events")
+    source = {"session_events": cdc.read_lines(d.spark, f"{out}/topic", files)}
     _finish(pipelines.run_capture(d.spark, source, f"{out}/tables", f"{out}/checkpoints", 3, once=True)["session_events"])
     return pipelines.capture_tables(d.spark, f"{out}/tables")["session_events"].read()
 

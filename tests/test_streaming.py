@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from listenlake.operators import charts, history, sessions
 from listenlake.operators.sinks import KeyedTable
+from listenlake.plans import live as plans_live
 from listenlake.sources import cdc
+from listenlake.sources.domain import Domain
 from listenlake.streaming import live, pipelines
 
 SCHEMA = (
@@ -216,3 +218,15 @@ def test_three_captured_tables_with_defaults(spark, tmp_path):
     assert session["timestamp"].microsecond == 0 and session["event_date"].isoformat() == "1970-01-01"
     assert (playlist["track_id"], playlist["user_id"], playlist["timestamp"], playlist["event_date"]) == (0, 0, None, None)
     assert (user["event_type"], user["user_id"]) == ("", "")
+
+
+def test_landed_lines_are_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """A larger table gives more files, not larger ones, and the batches keep their number."""
+    monkeypatch.setattr(plans_live, "LINES_A_FILE", 10)
+    spark.range(95).select(F.col("id").alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    d = Domain(spark, str(tmp_path))
+    lines = d.table("events").select(F.col("event_id").cast("string").alias("value"))
+    a_batch = plans_live._land(d, lines, str(tmp_path / "topic"), "events")
+    written = spark.read.text(str(tmp_path / "topic")).groupBy(F.input_file_name()).count().collect()
+    assert (len(written), a_batch) == (10, 3) and max(r["count"] for r in written) <= 10 + 2
+    assert sum(r["count"] for r in written) == 95
