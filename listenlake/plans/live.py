@@ -127,11 +127,10 @@ def stream_dedup(d):
 def stream_cdc_current_state(d):
     """The change log in no order over the batches, updates with their changed columns only, each batch twice."""
     out = staging_path(d.spark, "stream-state")
-    lines = d.partial_cdc_lines().select("value", "offset").withColumn("share", F.pmod(F.xxhash64("value"), F.lit(STREAM_FILES)))
-    for share in range(STREAM_FILES):
-        lines.where(F.col("share") == share).drop("share").write.mode("append").parquet(f"{out}/topic")
+    lines = d.partial_cdc_lines().select("value", "offset")
+    files = _land(d, lines, f"{out}/topic", "events", "parquet")
     table = ChangeTable(d.spark, f"{out}/rows", "event_id", cdc.columns(cdc.SESSION_ROW)[1:])
-    source = d.spark.readStream.schema(lines.drop("share").schema).option("maxFilesPerTrigger", 8).parquet(f"{out}/topic")
+    source = d.spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", files).parquet(f"{out}/topic")
 
     def twice(batch, batch_id):
         table.write(batch, batch_id)

@@ -230,3 +230,12 @@ def test_landed_lines_are_files_of_bounded_size(spark, tmp_path, monkeypatch):
     written = spark.read.text(str(tmp_path / "topic")).groupBy(F.input_file_name()).count().collect()
     assert (len(written), a_batch) == (10, 3) and max(r["count"] for r in written) <= 10 + 2
     assert sum(r["count"] for r in written) == 95
+
+
+def test_landed_rows_keep_their_offsets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(plans_live, "LINES_A_FILE", 5)
+    rows = spark.range(20).select(F.col("id").alias("event_id"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    lines = rows.select(F.col("event_id").cast("string").alias("value"), F.col("event_id").alias("offset"))
+    assert plans_live._land(Domain(spark, str(tmp_path)), lines, str(tmp_path / "topic"), "events", "parquet") == 1
+    assert sorted(r["offset"] for r in spark.read.parquet(str(tmp_path / "topic")).where("value = offset").collect()) == list(range(20))
