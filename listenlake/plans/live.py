@@ -10,7 +10,7 @@ from listenlake.plans import dashboard, ingest, sessions
 from listenlake.plans.http import LOG, P95_SQL, SLIDING
 from listenlake.plans.playlists import HISTORY_CTES
 from listenlake.plans.registry import query
-from listenlake.session import staging_path
+from listenlake.session import freeze, staging_path
 from listenlake.sources import cdc, files
 from listenlake.sources.domain import SHARE_FILES, STREAM_FILES, ctes
 from listenlake.streaming import live, pipelines
@@ -363,6 +363,12 @@ LEFT = {
 }
 
 
+def _stored_keys(rows, name):
+    """A table's keys, written: every batch reads them, what is joined and grouped to make them is done once."""
+    kept = freeze(rows.select(*[c for c in ("user_id", "playlist_id") if c in rows.columns]), f"cascade-{name}")
+    return lambda: kept
+
+
 def _cascade(d, counted):
     """Deletions of one segment's users, streamed over all tables; counted ones write each batch twice."""
     owners = d.table("orders").select(F.col("o_orderkey").alias("playlist_id"), F.col("o_custkey").alias("user_id"))
@@ -373,6 +379,8 @@ def _cascade(d, counted):
         "playlists": d.playlists,
         "playlist_tracks": d.playlist_tracks,
     }
+    if counted:
+        tables = {name: _stored_keys(table(), name) for name, table in tables.items()}
     cascade = Cascade(d.spark, staging_path(d.spark, "stream-cascade"), tables if counted else {}, lambda: owners)
 
     def write(batch, batch_id):

@@ -36,14 +36,16 @@ class Cascade:
         playlists = self._record("playlists", owned, self.playlist, batch_id)
         affected = None
         for name, table in self.tables.items():
-            hit = self.left(table(), earlier)
-            marks = []
-            for column, gone in ((self.user, users), (self.playlist, playlists)):
-                if column in hit.columns:
-                    marks.append(F.col(f"_{column}").isNotNull())
+            hit = table()
+            held = [(c, gone) for c, gone in ((self.user, users), (self.playlist, playlists)) if c in hit.columns]
+            if len(held) == 1:  # a batch's keys are no earlier one's
+                hit = hit.join(held[0][1], held[0][0], "left_semi")
+            else:
+                for column, gone in held:
                     hit = hit.join(gone.withColumn(f"_{column}", F.lit(True)), column, "left")
-            lost = F.count_if(marks[0] if len(marks) == 1 else marks[0] | marks[1])
-            counted = hit.agg(lost.alias("affected")).select(F.lit(name).alias("table"), "affected")
+                marked = F.col(f"_{self.user}").isNotNull() | F.col(f"_{self.playlist}").isNotNull()
+                hit = self.left(hit.where(marked), earlier)
+            counted = hit.agg(F.count(F.lit(1)).alias("affected")).select(F.lit(name).alias("table"), "affected")
             affected = counted if affected is None else affected.unionByName(counted)
         if affected is not None:
             affected.write.mode("overwrite").parquet(f"{self.path}/affected/batch_id={batch_id}")
