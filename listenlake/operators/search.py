@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from listenlake.functions.rules import check_any_filter, check_page
 from listenlake.functions.scalars import fingerprint
 from listenlake.operators import ordered, paging
-from listenlake.session import freeze
+from listenlake.session import fine_pieces, freeze
 
 # Token pattern, BM25 parameters, edit budget by token length.
 TOKEN = r"[\p{L}\p{N}]+"
@@ -76,7 +76,9 @@ def postings(documents: DataFrame) -> DataFrame:
         F.struct(F.lit("title").alias("field"), tokens(F.col("title")).alias("words")),
         F.struct(F.lit("artist_name").alias("field"), tokens(F.concat_ws(" ", "artists")).alias("words")),
     )
-    words = documents.select("track_id", F.inline(texts)).select(
+    # Dealt before the words are unfolded: a document's words are grouped where it is.
+    dealt = fine_pieces(documents.select("track_id", "title", "artists"), "track_id")
+    words = dealt.select("track_id", F.inline(texts)).select(
         "track_id", "field", F.size("words").alias("length"), F.explode("words").alias("token")
     )
     return words.groupBy("field", "token", "track_id", "length").agg(F.count(F.lit(1)).alias("tf"))
