@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from listenlake.functions.rules import visible
 from listenlake.operators import ordered
 from listenlake.operators.ordered import OrderedRows
+from listenlake.session import fine_pieces
 
 
 def owners(playlist_users: DataFrame) -> DataFrame:
@@ -154,7 +155,7 @@ def append(playlist_tracks: DataFrame, additions: DataFrame) -> DataFrame:
     A track already in the playlist is refused; one requested twice is added once, at its
     first request. ``additions`` holds playlist_id, track_id, added_at.
     """
-    wanted = additions.groupBy("playlist_id", "track_id").agg(F.min("added_at").alias("added_at"))
+    wanted = fine_pieces(additions, "playlist_id", "track_id").groupBy("playlist_id", "track_id").agg(F.min("added_at").alias("added_at"))
     fresh = wanted.join(playlist_tracks.select("playlist_id", "track_id"), ["playlist_id", "track_id"], "left_anti")
     numbered = (
         OrderedRows.of(fresh, ["playlist_id"], ["added_at", "track_id"]).add(_n=ordered.row_number()).frame()
